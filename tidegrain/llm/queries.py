@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality_rules, resharding, secrets, token_counts, token_files
+from . import exact_dedup, jaccard_join, mixing, packing, passages, quality_rules, resharding, secrets, token_counts, token_files
 from .staging import shared_dir
 
 #: Shards that the documents of op1 come from; they are filed by source there, so the hot source makes one shard large.
@@ -34,6 +34,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(documents(spark, sf_dir))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality_rules.passes(quality_rules.BASE)).alias("base_failed"), quality_rules.passes(quality_rules.PRODUCTION).alias("kept"))
@@ -43,6 +47,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir)).drop("fill", "gap")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(documents(spark, sf_dir), words=4, percent=85)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -60,6 +68,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_reshard, op2_token_counts, op3_secrets, op5_quality_rules, op6_packing, op8_exact_dedup, op9_mixing, op10_token_files)
+    f.__name__: f for f in (op1_reshard, op2_token_counts, op3_secrets, op4_passages, op5_quality_rules, op6_packing, op7_jaccard_join, op8_exact_dedup, op9_mixing, op10_token_files)
 }
 ORACLES = {"op5_quality_rules": quality_rules.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
