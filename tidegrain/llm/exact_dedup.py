@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import partitions, small_side, written
+from .staging import partitions, small_side, unused, written
 
 BUCKET_ROWS = 1 << 16
 
@@ -89,14 +89,15 @@ def drop_copies(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
     Only the keys of what goes are joined to the texts, and only rows that occur twice are shuffled whole."""
     found = written(_resolved(docs, bucket_rows), "resolved")
-    key = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")]
+    name, digest = unused(docs, "id", "sha")
+    key = [F.col("doc_id").alias(name), F.col("text_sha256").alias(digest)]
     gone, twice = found.filter("not stays").select(*key), found.filter("stays and rows > 1").select(*key)
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & (sha == F.col(digest))
     out = docs.join(small_side(gone), same, "left_anti")
     if twice.isEmpty():
         return out
-    hold = docs.join(small_side(twice), same, "left_semi").withColumn("__sha", sha).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    hold = docs.join(small_side(twice), same, "left_semi").withColumn(digest, sha).dropDuplicates(["doc_id", digest]).drop(digest)
     return out.join(small_side(twice), same, "left_anti").unionByName(hold)
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import partitions, running_sums, small_side, written
+from .staging import partitions, running_sums, small_side, unused, written
 
 #: Bytes that separate words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -86,13 +86,12 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     positions.  A document that gives only a part of its words in its last pass is given whole there.
 
     The plan meets the rows by (doc_id, source, size); rows equal in these share their takes in one plan row each."""
-    chosen = plan(docs, **settings).filter("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "positions")
-    chosen = chosen.groupBy("__id", "__source", "__size").agg(F.count("*").alias("__n"), F.max("positions").alias("__positions"))
-    chosen = written(chosen, "takes")
-    size = word_count(F.col("text"))
-    at = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (size == F.col("__size"))
-    out = docs.join(chosen, at).withColumn("__at", F.explode("__positions"))
-    out = out.repartitionByRange(partitions(docs.sparkSession), "__at", "doc_id").sortWithinPartitions("__at", "doc_id")
+    name, source, words, places, place = unused(docs, "id", "source", "words", "places", "place")
+    chosen = plan(docs, **settings).filter("taken > 0").groupBy(F.col("doc_id").alias(name), F.col("source").alias(source), F.col("size").alias(words))
+    chosen = written(chosen.agg(F.max("positions").alias(places)), "takes")
+    at = F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & F.col("source").eqNullSafe(F.col(source)) & (word_count(F.col("text")) == F.col(words))
+    out = docs.join(chosen, at).withColumn(place, F.explode(places))
+    out = out.repartitionByRange(partitions(docs.sparkSession), place, "doc_id").sortWithinPartitions(place, "doc_id")
     return out.select(*[F.col(c) for c in docs.columns])
 
 

@@ -15,7 +15,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import small_side
 
 #: Words in a window of the rule on repeated words.
 WINDOW = 8
@@ -112,7 +111,7 @@ def ablations(book: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
 
 def filter_documents(docs: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
     """The documents that the policy keeps, with all their columns.  Measured in one pass beside the columns."""
-    held = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
+    held = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")  # clashing names stay inside the struct
     book = ledger(docs.select(held, F.col("text").alias("text")), ("__row",))
     return book.filter(passes(policy)).select("__row.*")
 

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import partitions, running_sums, written
+from .staging import partitions, running_sums, unused, written
 
 
 def moving_cost(old: int, new: int) -> int:
@@ -132,13 +132,15 @@ def write_affected(docs: DataFrame, plan: DataFrame, path: str) -> DataFrame:
     touched = moved.select("shard").unionByName(moved.select(F.col("old_shard").alias("shard"))).distinct()
     touched = F.broadcast(touched)  # at most as many rows as there are shards
     todo = plan.join(touched, "shard", "left_semi")
-    key = ["__doc", "__size", "__crc"]
+    doc, size, crc, nth, shard, slot = unused(docs, "doc", "size", "crc", "nth", "shard", "slot")
+    key = [doc, size, crc]
     text = F.coalesce(F.col("text"), F.lit(""))
-    extra = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__size": (F.octet_length(text) + F.lit(1)).cast("long"), "__crc": F.crc32(text.cast("binary"))})
-    place = todo.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__doc"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    extra = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), size: (F.octet_length(text) + F.lit(1)).cast("long"), crc: F.crc32(text.cast("binary"))})
+    place = todo.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(doc), F.col("size").alias(size), F.col("text_crc32").alias(crc), F.col("shard").alias(shard), F.col("slot").alias(slot))
     # equal rows are dealt by their number among their equals
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    out = extra.withColumn("__nth", nth).join(place.withColumn("__nth", nth), [*key, "__nth"])
-    out.repartitionByRange(partitions(docs.sparkSession), "__shard", "__slot").sortWithinPartitions("__shard", "__slot").withColumn("shard", F.col("__shard")).drop(*key, "__nth", "__shard", "__slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    among = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    out = extra.withColumn(nth, among).join(place.withColumn(nth, among), [*key, nth])
+    out = out.repartitionByRange(partitions(docs.sparkSession), shard, slot).sortWithinPartitions(shard, slot)
+    out.withColumn("shard", F.col(shard)).drop(*key, nth, shard, slot).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     flags = touched.withColumn("rewritten", F.lit(True))
     return plan.groupBy("shard").agg(F.count("*").alias("rows")).join(flags, "shard", "left").fillna(False, ["rewritten"])

@@ -67,3 +67,11 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], wi
     run = dealt.withColumns({f"__r_{a}": F.coalesce(F.sum(f"__v_{a}").over(inner), F.lit(0)) for a in sums})
     out = run.join(small_side(written(offsets, f"{name}-offsets")), at)
     return out.withColumns({a: F.col(f"__r_{a}") + F.col(f"__o_{a}") for a in sums}).select(*df.columns, *sums)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with a prefix that no column of df has, in upper or lower case."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return [prefix + n for n in names]
