@@ -145,7 +145,9 @@ def _shingles(text, k):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def test_jaccard_components(spark, none):
+@pytest.mark.parametrize("apart", [jaccard_join.APART, 0])
+def test_jaccard_components(spark, none, monkeypatch, apart):
+    monkeypatch.setattr(jaccard_join, "APART", apart)
     rng = np.random.default_rng(8)
     docs = [(i, words(120, i % 3)) for i in range(4)] + [(4, None), (5, ""), (6, "A b"), (7, "a B"), (7, "a b"), (None, words(120, 1))]
     for i in range(10, 60):
