@@ -140,6 +140,34 @@ def test_passages(spark, none):
     assert ((got.end_word - got.start_word) >= 50).all() and passages.repeated_passages(none).count() == 0
 
 
+def _edited(shared, every, kind, rng):
+    out = []
+    for i, w in enumerate(shared):
+        hit = i % every == every // 2
+        out += [w] if not hit else [f"s{rng.integers(1 << 40)}"] if kind == 0 else [] if kind == 1 else [w, f"i{rng.integers(1 << 40)}"]
+    return out
+
+
+def test_passages_find_edited_ones(spark):
+    """60 and 100 words at identities from 0.8 up; the whole-table oracle is that each pair reaches them by its own LCS."""
+    rng, docs, want = np.random.default_rng(3), [], set()
+    fresh = lambda n: [f"r{x}" for x in rng.integers(1 << 40, size=n)]
+    for n in (60, 100):
+        for every in (5, 6, 8, 10, 12, 20):
+            for kind in range(3):
+                for _ in range(3):
+                    a, i = fresh(n), len(docs)
+                    b = _edited(a, every, kind, rng)
+                    assert min(len(a), len(b)) >= 50 or kind == 1
+                    if min(len(a), len(b)) >= 50 and 2 * passages.common_words(a, b) / (len(a) + len(b)) >= 0.8:
+                        want.add((i, i + 1))
+                    docs += [(i, " ".join(fresh(40) + a + fresh(30))), (i + 1, " ".join(fresh(25) + b + fresh(60)))]
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
+    assert ((got.end_word - got.start_word >= 50) & (got.partner_end - got.partner_start >= 50) & (got.identity >= 0.8)).all()
+    pairs = {(min(p), max(p)) for p in zip(got.doc_id, got.partner_id)}
+    assert len(want) > 90 and pairs == want
+
+
 def _shingles(text, k):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
