@@ -168,6 +168,19 @@ def test_passages_find_edited_ones(spark):
     assert len(want) > 90 and pairs == want
 
 
+def test_passages_beside_holders_of_their_phrases(spark):
+    """Two documents share a passage; four others hold each of its phrases, and most have smaller nodes."""
+    rng = np.random.default_rng(7)
+    fresh = lambda n: [f"r{x}" for x in rng.integers(1 << 40, size=n)]
+    docs = []
+    for k in range(20):
+        a = fresh(55)
+        docs += [(100 * k, " ".join(fresh(30) + a + fresh(20))), (100 * k + 1, " ".join(fresh(20) + a + fresh(30)))]
+        docs += [(100 * k + 2 + 4 * i + j, " ".join(fresh(20) + a[11 * i : 11 * i + 14] + fresh(20))) for i in range(5) for j in range(4)]
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
+    assert {(min(p), max(p)) for p in zip(got.doc_id, got.partner_id)} == {(100 * k, 100 * k + 1) for k in range(20)}
+
+
 def _shingles(text, k):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
