@@ -141,3 +141,19 @@ def test_merge_renames_clashes(spark):
     c = spark.createDataFrame([(1, 0.5)], "episode_id int, ndi double")
     p = spark.createDataFrame([(1, 0.7)], "episode_id int, ndi double")
     assert patterns.merge([p], ["episode_id"], c, ["bg"]).columns == ["episode_id", "ndi", "ndi_bg_dup"]
+
+
+@pytest.mark.parametrize("by", [[], ["category"]])
+def test_nearest_takes_all_orders(spark, by):
+    r = queries.Roles(spark, "/root/testdata/sf0.001")
+    people = queries._placed(r.t("orders"), "o_orderkey").select("o_orderkey", "x", "y").toPandas()
+    shops = queries._placed(r.t("supplier").join(r.t("nation"), F.col("s_nationkey") == F.col("n_nationkey")), "s_suppkey").select("n_regionkey", "x", "y").toPandas()
+    got = queries.QUERIES["n1_nearest_by_category_all" if by else "n1_nearest_all"](spark, "/root/testdata/sf0.001").collect()
+    groups = shops.n_regionkey.unique() if by else [None]
+    want = {}
+    for g in groups:
+        own = shops[shops.n_regionkey == g] if by else shops
+        for k, x, y in people.itertuples(index=False):
+            want[k, g] = ((own.x - x) ** 2 + (own.y - y) ** 2).min() ** 0.5
+    assert len(got) == len(want) == len(people) * len(groups)
+    assert all(abs(row.distance - want[row.episode_id, row.category if by else None]) < 0.01 for row in got)
