@@ -123,6 +123,18 @@ def test_secrets(odd, none):
     assert secrets.base_spans('password="secret":"abcdefghijklmnop"') == []
 
 
+def test_secrets_count_every_occurrence_of_a_value(spark):
+    copied, keyed, spread, live = (f"zX9q8Kp4Lm2Rt7Yv1Bn6{c}" for c in "abcd")
+    docs = [
+        (1, f"see {copied} here", "en", "s1"), (2, f"token = {copied}", "en", "s2"),  # bare here, a base match there
+        (3, f"see {keyed} here", "en", "s3"), (4, f"see MY_KEY={keyed} here", "en", "s4"),
+        (5, f"see {spread} here", "en", "s5"), (6, f"see {spread} here", "fr", "s5"),  # two repositories of one owner
+        (7, f"see {live} here", "en", "s6"), (8, f"token = {live}", "en", "s6"), (9, f"MY_KEY={live}", "en", "s6"),
+    ]
+    got = {r.doc_id: r.n_owned for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 1, 8: 0, 9: 1}
+
+
 def test_chains_and_alignment():
     assert passages.common_words(list("abcbdab"), list("bdcaba")) == 4
     best = passages.chains([0, 5, 10, 12], [100, 105, 40, 112], [8] * 4)[0]

@@ -1,10 +1,10 @@
 """Operator 3: secret scan with corpus-wide ownership of candidates.
 
 One pass finds the base matches of each text and, beside them, candidates: runs of 20 and more characters of keys and
-tokens that mix letters and digits and have the entropy of random strings.  Candidates are known by a hash; over the whole
-corpus, each hash is counted by distinct repositories and owners (here source and lang, source).  A value that several owners
-carry is a copied example; a value of a single owner is taken for a live credential and its runs are added to
-the spans of the documents, as kind `owned`, unless a base match covers them.
+tokens that mix letters and digits and have the entropy of random strings.  Values are known by a hash: those of all
+candidates, a run `KEY=VALUE` by its value, and those of all base matches.  Over the whole corpus, each hash is counted by
+distinct repositories and owners (here source and lang, source).  A value that several owners or repositories carry is a copied
+example; a value of a single repository is taken for a live credential and its runs are added to the spans of the documents, as kind `owned`, unless a base match covers them.
 
 Counting is two aggregations with map-side combining (hash, owner, repository), then (hash), so a value in a third of all rows
 reaches each reducer as one row for each task.  Only documents with candidates take part in the joins.
@@ -36,6 +36,8 @@ BASE = (
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Least bits of entropy a character in a candidate.
 ENTROPY = 3.5
+#: Least length of what follows `=` in a run to count as its value.
+VALUE = 12
 
 
 def entropy(value: str) -> float:
@@ -59,9 +61,26 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def value_of(run: str) -> str:
+    """The value in a run: without padding, and without a key before `=`."""
+    run = run.rstrip("=.")
+    value = run.rpartition("=")[2]
+    return value if len(value) >= VALUE else run
+
+
+def value_hash(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def base_value(text: str, kind: int, start: int, end: int) -> str:
+    """The value of a base match."""
+    _, pattern, group, _ = BASE[kind]
+    return pattern.match(text, start, end)[group]
+
+
 def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     """One row per document: doc_id, owner, repository, n_assign, n_access, n_hex, base_sha256, base (kind:start:end
-    each), extra (candidates that no base match covers: value_hash, start, end)."""
+    each), extra (candidates that no base match covers: value_hash, start, end), seen (hashes of all values)."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -70,21 +89,23 @@ def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
                 base = base_spans(text)
                 listed = [f"{BASE[k][0]}:{a}:{b}" for a, k, b in base]
                 counts = [sum(k == i for _, k, _ in base) for i in range(len(BASE))]
-                extra = [{"value": int.from_bytes(hashlib.blake2b(text[a:b].encode(), digest_size=8).digest(), "little", signed=True), "start": a, "end": b} for a, b in candidates(text) if not any(x <= a and b <= y for x, _, y in base)]
-                out.append((*counts, hashlib.sha256(",".join(listed).encode()).hexdigest(), listed, extra))
-            made = pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "base", "extra"], index=batch.index)
+                runs = [(value_hash(value_of(text[a:b])), a, b) for a, b in candidates(text)]
+                extra = [{"value": v, "start": a, "end": b} for v, a, b in runs if not any(x <= a and b <= y for x, _, y in base)]
+                seen = {v for v, _, _ in runs} | {value_hash(value_of(base_value(text, k, a, b))) for a, k, b in base}
+                out.append((*counts, hashlib.sha256(",".join(listed).encode()).hexdigest(), listed, extra, list(seen)))
+            made = pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "base", "extra", "seen"], index=batch.index)
             yield pd.concat([batch.astype({"doc_id": "Int64"}), made], axis=1)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(find, "doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, base array<string>, extra array<struct<value: long, start: long, end: long>>")
+    return rows.mapInPandas(find, "doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, base array<string>, extra array<struct<value: long, start: long, end: long>>, seen array<long>")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """For each candidate hash: documents, repositories, owners, verdict (`live`: one owner, else `example`)."""
-    seen = scanned.select("owner", "repository", F.explode("extra").alias("x")).groupBy("x.value", "owner", "repository").agg(F.count("*").alias("documents"))
+    """For each value hash: documents, repositories, owners, verdict (`live`: one owner and one repository, else `example`)."""
+    seen = scanned.select("owner", "repository", F.explode("seen").alias("value")).groupBy("value", "owner", "repository").agg(F.count("*").alias("documents"))
     owners = seen.groupBy("value", "owner").agg(F.count("*").alias("repositories"), F.sum("documents").alias("documents"))
     out = owners.groupBy("value").agg(F.sum("documents").alias("documents"), F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
-    return out.withColumn("verdict", F.when(F.col("owners") == 1, "live").otherwise("example"))
+    return out.withColumn("verdict", F.when((F.col("owners") == 1) & (F.col("repositories") == 1), "live").otherwise("example"))
 
 
 def find_secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
