@@ -110,6 +110,21 @@ def test_resharding(spark, odd, none, tmp_path):
     assert resharding.reshard(none, old, 3, 4).count() == 0
 
 
+def test_resharding_query_moves_the_texts(spark, odd, none, tmp_path):
+    got = queries.op1_reshard(spark, DATA).toPandas()
+    made = [p for p in Path(queries.shared_dir(spark).removeprefix("file:")).resolve().glob("resharded-*")]
+    files = pd.concat([spark.read.parquet(f"file://{p}").select("doc_id", "text", "shard").toPandas() for p in made])
+    held = {r.doc_id: (zlib.crc32((r.text or "").encode()), r.shard) for r in files.itertuples()}
+    moved = got[got.shard != got.old_shard]
+    assert len(moved) and all(held[r.doc_id] == (r.text_crc32, r.shard) for r in moved.itertuples())
+    docs = pd.read_parquet(f"{DATA}/documents.parquet")
+    assert Counter(zip(got.doc_id, got.text_crc32)) == Counter((d, zlib.crc32((t or "").encode())) for d, t in zip(docs.doc_id, docs.text))
+    old = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3))
+    whole = lambda df: Counter((r["size"], r.text_crc32, r.shard, r.slot) for r in df.collect())
+    assert whole(resharding.resharded(odd, old, 3, 4, str(tmp_path / "odd"))) == whole(resharding.reshard(odd, old, 3, 4))
+    assert resharding.resharded(none, old, 3, 4, str(tmp_path / "none")).count() == 0
+
+
 def test_secrets(odd, none):
     rows = {r.doc_id: r for r in secrets.find_secrets(odd).collect()}
     text = dict(TABLE)[12]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(OLD_SHARDS))
-    out = resharding.reshard(documents(spark, sf_dir), old, OLD_SHARDS, NEW_SHARDS)
+    out = resharding.resharded(documents(spark, sf_dir), old, OLD_SHARDS, NEW_SHARDS, f"{shared_dir(spark)}/resharded-{uuid.uuid4().hex}")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
@@ -60,8 +61,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     token_files.write_ids(documents(spark, sf_dir), path)
     return token_files.read_ids(spark, path)

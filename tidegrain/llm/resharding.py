@@ -122,25 +122,42 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     return out.select("doc_id", "size", "text_crc32", "old_shard", F.coalesce("odd_shard", "shard").alias("shard"), slot.alias("slot"))
 
 
-def write_affected(docs: DataFrame, plan: DataFrame, path: str) -> DataFrame:
+def write_affected(docs: DataFrame, plan: DataFrame, path: str, places: tuple[str, str] | None = None) -> DataFrame:
     """Writes the shards that gain or lose a document under path/shard=k, in the order of their slots, and returns
     (shard, rows, rewritten) for all shards; the files of the others stay as they are.
 
-    plan is reshard()'s result.  Rows equal in (doc_id, size, text_crc32) may swap places."""
+    plan is reshard()'s result; places, if given, names the columns that keep old_shard and slot in the files.  Rows equal in (doc_id, size, text_crc32) may swap places."""
     plan = written(plan, "plan")
     moved = plan.filter("shard != old_shard")
     touched = moved.select("shard").unionByName(moved.select(F.col("old_shard").alias("shard"))).distinct()
     touched = F.broadcast(touched)  # at most as many rows as there are shards
     todo = plan.join(touched, "shard", "left_semi")
-    doc, size, crc, nth, shard, slot = unused(docs, "doc", "size", "crc", "nth", "shard", "slot")
+    doc, size, crc, nth, shard, slot, old = unused(docs, "doc", "size", "crc", "nth", "shard", "slot", "old")
     key = [doc, size, crc]
     text = F.coalesce(F.col("text"), F.lit(""))
     extra = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), size: (F.octet_length(text) + F.lit(1)).cast("long"), crc: F.crc32(text.cast("binary"))})
-    place = todo.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(doc), F.col("size").alias(size), F.col("text_crc32").alias(crc), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    place = todo.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(doc), F.col("size").alias(size), F.col("text_crc32").alias(crc), F.col("shard").alias(shard), F.col("slot").alias(slot), F.col("old_shard").alias(old))
     # equal rows are dealt by their number among their equals
     among = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
     out = extra.withColumn(nth, among).join(place.withColumn(nth, among), [*key, nth])
     out = out.repartitionByRange(partitions(docs.sparkSession), shard, slot).sortWithinPartitions(shard, slot)
-    out.withColumn("shard", F.col(shard)).drop(*key, nth, shard, slot).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    if places:
+        out = out.withColumns({places[0]: F.col(old), places[1]: F.col(slot)})
+    out.withColumn("shard", F.col(shard)).drop(*key, nth, shard, slot, old).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     flags = touched.withColumn("rewritten", F.lit(True))
     return plan.groupBy("shard").agg(F.count("*").alias("rows")).join(flags, "shard", "left").fillna(False, ["rewritten"])
+
+
+def resharded(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, path: str) -> DataFrame:
+    """Writes the affected shards under path, and returns the rows of reshard() as the files of all shards have them: the
+    rewritten ones are read back, the others are still where docs has them."""
+    spark = docs.sparkSession
+    plan = written(reshard(docs, old_shard, old_shards, new_shards), "plan")
+    old, slot = unused(docs, "kept_old", "kept_slot")
+    flags = written(write_affected(docs, plan, path, (old, slot)), "flags")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name.lower() in ("doc_id", "text")]
+    files = spark.read.schema(", ".join([*fields, f"{old} int", f"{slot} long", "shard int"])).parquet(path)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    moved = files.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col(old).alias("old_shard"), "shard", F.col(slot).alias("slot"))
+    kept = plan.join(F.broadcast(flags.filter("not rewritten").select("shard")), "shard", "left_semi")  # as many rows as shards
+    return moved.unionByName(kept.select(*moved.columns))
