@@ -213,9 +213,9 @@ def _shingles(text, k):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("apart", [jaccard_join.APART, 0])
+@pytest.mark.parametrize("apart", [32, 2])
 def test_jaccard_components(spark, none, monkeypatch, apart):
-    monkeypatch.setattr(jaccard_join, "APART", apart)
+    monkeypatch.setattr(jaccard_join, "SMALL", apart)
     rng = np.random.default_rng(8)
     docs = [(i, words(120, i % 3)) for i in range(4)] + [(4, None), (5, ""), (6, "A b"), (7, "a B"), (7, "a b"), (None, words(120, 1))]
     for i in range(10, 60):
@@ -223,6 +223,13 @@ def test_jaccard_components(spark, none, monkeypatch, apart):
         for at in rng.integers(0, 150, rng.integers(0, 5)):
             w[at] = f"edit{i}{at}"
         docs.append((i, " ".join(w)))
+    for i in range(60, 160):  # a group in groups: blocks left out or put in, and edits on top
+        w = words(150, 30 + i % 3 // 2).split()
+        at = int(rng.integers(0, 120))
+        w[at : at + int(rng.integers(0, 3)) * 6] = words(int(rng.integers(0, 3)) * 5, 40 + i % 4).split()
+        for at in rng.integers(0, 100, rng.integers(0, 3)):
+            w[at] = f"edit{i % 40}{at}"
+        docs.append((i, " ".join(w)))
     got = jaccard_join.similar_components(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85).toPandas()
     sets = [_shingles(t, 4) for _, t in docs]
     root = list(range(len(docs)))

@@ -7,18 +7,23 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of a key table of at most 32 bytes each that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes that a table may have to be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, a temporary one for a local
+    master, whose tasks run on this machine; a cluster must name one."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="spark-")
@@ -29,21 +34,62 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: the lineage ends there, and a lost executor
     costs only the tasks that ran on it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return _written(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one run of an operator, deleted as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, list[str]] = {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        self.tables.setdefault(name, []).append(path)
+        return _written(df, path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes the tables of these names; without names, all."""
+        for path in [p for n in names for p in self.tables.pop(n, [])] if names else [self.path]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it was counted and found small enough, else as it is."""
+#: Bytes of a value in a broadcast table, by type; a string is taken for a digest.
+_WIDTH = {"boolean": 8, "int": 8, "bigint": 8, "double": 8, "string": 100}
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows were counted and fit the limit, else as it is.  Columns of unbounded width: never."""
+    kinds = [kind for _, kind in df.dtypes]
+    if any(k not in _WIDTH for k in kinds):
+        return df
+    rows = limit // (16 + sum(_WIDTH[k] for k in kinds))
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], within: str | None = None, name: str = "runs") -> DataFrame:
+def id_columns(docs: DataFrame) -> list[Column]:
+    """doc_id for a Python worker: pandas turns a batch of longs with nulls into floats, so nulls travel as a flag."""
+    doc_id = F.col("doc_id").cast("long")
+    return [F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id")]
+
+
+def ids(batch: pd.DataFrame) -> pd.arrays.IntegerArray:
+    """The doc_ids of a batch of id_columns(), nulls in place and every digit kept."""
+    return pd.arrays.IntegerArray(batch.doc_id.to_numpy(np.int64), batch.no_id.to_numpy(bool))
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], within: str | None = None, name: str = "runs", scratch: Scratch | None = None) -> DataFrame:
     """Adds, for each (alias, value) of sums, the exclusive running sum of value over `order`; `within` restarts it for
     each value of that column, which must then lead the order.
 
@@ -54,7 +100,7 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], wi
     spark = df.sparkSession
     base = df.select("*", *[v.cast("long").alias(f"__v_{a}") for a, v in sums.items()])
     dealt = base.repartitionByRange(partitions(spark), *order).withColumn("__part", F.spark_partition_id())
-    dealt = written(dealt, name)
+    dealt = (scratch.written if scratch else written)(dealt, name)
     keys = [within] if within else []
     totals = dealt.groupBy("__part", *keys).agg(*[F.sum(f"__v_{a}").alias(f"__t_{a}") for a in sums])
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,7 +111,7 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], wi
         at &= F.col(within).eqNullSafe(F.col("__k"))
     inner = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     run = dealt.withColumns({f"__r_{a}": F.coalesce(F.sum(f"__v_{a}").over(inner), F.lit(0)) for a in sums})
-    out = run.join(small_side(written(offsets, f"{name}-offsets")), at)
+    out = run.join(small_side((scratch.written if scratch else written)(offsets, f"{name}-offsets")), at)
     return out.withColumns({a: F.col(f"__r_{a}") + F.col(f"__o_{a}") for a in sums}).select(*df.columns, *sums)
 
 
