@@ -1,23 +1,24 @@
 """Occurrences of 64-bit hashes packed for their owners: a task's finds go to each owner as one row of arrays, so that the
-shuffle moves some 10 bytes an occurrence.  A hash keeps its upper 48 bits; two that agree in these count as one, which only
-adds candidates."""
+shuffle moves some 7 bytes an occurrence.  The owner is told by the lower 24 bits of a hash and the seed by the upper 40; two
+hashes of one owner that agree in the seed count as one, which only adds candidates."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 
-SCHEMA = "owner int, seeds binary, docs binary, places binary, nodes binary, sizes binary"
+SCHEMA = "owner int, seeds binary, steps binary, nodes binary, sizes binary, counts binary"
 #: Occurrences packed at once.
 PACK = 500_000
+LOW = np.uint64((1 << 24) - 1)
 
 
-def _planes(a: np.ndarray, width: int) -> bytes:
-    """The lowest `width` bytes of each number, byte by byte, which compresses well."""
+def planes(a: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bytes of each number, byte by byte: planes of small numbers compress to nothing."""
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1)[:, :width].T).tobytes()
 
 
-def _unplanes(data: bytes, width: int, kind: type) -> np.ndarray:
+def unplanes(data: bytes, width: int, kind: type) -> np.ndarray:
     out = np.zeros((len(data) // width, np.dtype(kind).itemsize), np.uint8)
     out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
     return out.view(kind)[:, 0]
@@ -39,46 +40,50 @@ class Packer:
 
     def add(self, node: int, size: int, hashes: np.ndarray, spread: np.ndarray | None = None) -> None:
         """Hashes of a node in their order; those marked in `spread` go to further owners by node, not by hash."""
-        seeds = hashes >> np.uint64(16)
-        own = (seeds % np.uint64(self.owners)).astype(np.int32)
+        own = ((hashes & LOW) % np.uint64(self.owners)).astype(np.int32)
         if spread is not None:
             own[spread] = self.owners + node % self.owners
         self.nodes.append(node)
         self.sizes.append(size)
-        self.seeds.append(seeds)
+        self.seeds.append(hashes >> np.uint64(24))
         self.own.append(own)
-        self.waiting += len(seeds)
+        self.waiting += len(hashes)
 
     @property
     def full(self) -> bool:
         return self.waiting >= PACK or len(self.nodes) == 65535
 
     def flush(self) -> pd.DataFrame:
-        counts = [len(s) for s in self.seeds]
+        lengths = [len(s) for s in self.seeds]
         seed, own = np.concatenate(self.seeds), np.concatenate(self.own)
-        doc = np.repeat(np.arange(len(counts), dtype=np.uint16), counts)
-        at = np.concatenate([np.arange(n, dtype=np.uint32) for n in counts])
-        order = np.lexsort((seed, own))
+        doc = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
+        at = np.concatenate([np.arange(n, dtype=np.uint32) for n in lengths])
+        order = np.argsort(own, kind="stable")  # inside an owner by node and place
         own, seed, doc, at = own[order], seed[order], doc[order], at[order]
         edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])).tolist()
         nodes, sizes = np.array(self.nodes, np.int64), np.array(self.sizes, np.int32)
         out = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            used, place = np.unique(doc[a:b], return_inverse=True)
-            out.append((int(own[a]), _planes(seed[a:b], 6), _planes(place.astype(np.uint16), 2), _planes(at[a:b], 4), nodes[used].tobytes(), sizes[used].tobytes()))
+            used, first, counts = np.unique(doc[a:b], return_index=True, return_counts=True)
+            steps = np.diff(at[a:b], prepend=np.uint32(0))
+            steps[first] = at[a:b][first]
+            out.append((int(own[a]), planes(seed[a:b], 5), planes(steps, 4), nodes[used].tobytes(), sizes[used].tobytes(), counts.astype(np.uint32).tobytes()))
         self.clear()
-        return pd.DataFrame(out, columns=["owner", "seeds", "docs", "places", "nodes", "sizes"])
+        return pd.DataFrame(out, columns=["owner", "seeds", "steps", "nodes", "sizes", "counts"])
 
 
 def unpacked(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(seed, node, size, place) of all rows of one owner."""
     seed, node, size, place = [], [], [], []
-    for seeds, docs, places, nodes, sizes in part[["seeds", "docs", "places", "nodes", "sizes"]].itertuples(index=False):
-        doc = _unplanes(docs, 2, np.uint16)
-        seed.append(_unplanes(seeds, 6, np.int64))
-        node.append(np.frombuffer(nodes, np.int64)[doc])
-        size.append(np.frombuffer(sizes, np.int32)[doc])
-        place.append(_unplanes(places, 4, np.uint32).astype(np.int64))
+    for seeds, steps, nodes, sizes, counts in part[["seeds", "steps", "nodes", "sizes", "counts"]].itertuples(index=False):
+        counts = np.frombuffer(counts, np.uint32)
+        at = np.cumsum(unplanes(steps, 4, np.uint32), dtype=np.int64)
+        first = np.cumsum(counts, dtype=np.int64) - counts
+        before = np.where(first > 0, at[first - 1], 0)  # the sums start anew with each node
+        seed.append(unplanes(seeds, 5, np.int64))
+        node.append(np.repeat(np.frombuffer(nodes, np.int64), counts))
+        size.append(np.repeat(np.frombuffer(sizes, np.int32), counts))
+        place.append(at - np.repeat(before, counts))
     return tuple(map(np.concatenate, (seed, node, size, place)))
 
 

@@ -1,81 +1,15 @@
-"""Shared-folder tables, running sums over a global order, and joins that broadcast only behind a size check."""
+"""Shared-folder tables, running sums over a global order, and ids for Python workers."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes that a table may have to be broadcast; beyond it the join shuffles.
-BROADCAST_BYTES = 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, a temporary one for a local
-    master, whose tasks run on this machine; a cluster must name one."""
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        own = shared_dir.own = tempfile.mkdtemp(prefix="spark-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return f"file://{own}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: the lineage ends there, and a lost executor
-    costs only the tasks that ran on it."""
-    return _written(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Written tables of one run of an operator, deleted as soon as nothing reads them any more."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.tables: dict[str, list[str]] = {}
-
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
-        self.tables.setdefault(name, []).append(path)
-        return _written(df, path)
-
-    def drop(self, *names: str) -> None:
-        """Deletes the tables of these names; without names, all."""
-        for path in [p for n in names for p in self.tables.pop(n, [])] if names else [self.path]:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-#: Bytes of a value in a broadcast table, by type; a string is taken for a digest.
-_WIDTH = {"boolean": 8, "int": 8, "bigint": 8, "double": 8, "string": 100}
-
+from ..shared import Scratch, partitions, shared_dir, small_side, written
 
-def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its rows were counted and fit the limit, else as it is.  Columns of unbounded width: never."""
-    kinds = [kind for _, kind in df.dtypes]
-    if any(k not in _WIDTH for k in kinds):
-        return df
-    rows = limit // (16 + sum(_WIDTH[k] for k in kinds))
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+__all__ = ["Scratch", "id_columns", "ids", "partitions", "running_sums", "shared_dir", "small_side", "unused", "written"]
 
 
 def id_columns(docs: DataFrame) -> list[Column]:
