@@ -3,23 +3,26 @@
 Old shard sizes and new capacities form a transport problem: a unit of flow is a byte, staying costs nothing, moving from
 shard i to j costs cost(i, j).  Its solution by successive shortest paths (on the driver, over as many nodes as there are
 shards, whatever the data) says how many bytes each old shard gives to each new one.  Every old shard is then cut, in the
-order of doc_id, into one block for each flow it sends; running sums of bytes over range partitions place a document in its
-block, so a shard with a third of all rows is cut by many tasks.  A document that straddles a cut (at most one for each
-flow) goes where most room is left.  write_affected() rewrites only the shards that gain or lose a document.
-
-Defined results: null text weighs 1 byte; null doc_ids come first; rows equal in doc_id and text have places of their own; an empty table
-gives an empty result; other columns are carried by write_affected only.
+order of doc_id, into one block for each flow it sends; running sums of bytes over range partitions place the cuts, so a shard
+with a third of all rows is cut by many tasks.  A document that straddles a cut (at most one for each flow) goes where most
+room is left.  The cuts are a table of a few rows, so write_affected() finds the new shard of each document beside its text
+and moves the texts of the shards that gain or lose a document once, by ranges of (shard, place).
+
+Defined results: null text weighs 1 byte; null doc_ids come first; rows equal in doc_id and text stay together, in places of
+their own; groups of equal texts with other doc_ids are not kept together, as one may exceed a shard; an empty table gives an
+empty result; other columns are carried by write_affected only.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .staging import partitions, running_sums, unused, written
+from .staging import partitions, running_sums, small_side, unused, written
 
 
 def moving_cost(old: int, new: int) -> int:
@@ -83,81 +86,115 @@ def equal_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (k < total % shards) for k in range(shards)]
 
 
-def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, capacities: list[int] | None = None, cost: Callable[[int, int], int] = moving_cost) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, old_shard, shard, slot.  old_shard gives 0 .. old_shards - 1."""
+#: What orders the documents of an old shard.
+KEY = ("known", "id", "size", "crc")
+_KEY = "struct<known: boolean, id: bigint, size: bigint, crc: bigint>"
+
+
+@dataclass(frozen=True)
+class Plan:
+    """rows: old_shard, KEY, n (equal rows), shard, slot (of the first of them).  runs: (old_shard, first key, last key, shard) of
+    the pieces that old shards are cut into.  flow: {(old, new): bytes} of the solution."""
+
+    rows: DataFrame
+    runs: list[tuple[int, Row, Row, int]]
+    flow: dict[tuple[int, int], int]
+
+    @property
+    def touched(self) -> set[int]:
+        """Shards that gain or lose a document."""
+        return {k for old, _, _, new in self.runs if old != new for k in (old, new)}
+
+
+def _keyed(old_shard: Column) -> list[Column]:
+    text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    return [old_shard.cast("int").alias("old"), doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.lit(0)).alias("id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc")]
+
+
+def solve(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, capacities: list[int] | None = None, cost: Callable[[int, int], int] = moving_cost) -> Plan:
+    """Where every document goes.  old_shard gives 0 .. old_shards - 1."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
-    order = [F.col(c).asc_nulls_first() for c in ("old_shard", "doc_id", "size", "text_crc32")]
-    rows = written(running_sums(rows, order, {"byte_at": F.col("size"), "row_at": F.lit(1)}, "old_shard", "shards"), "placed")
+    rows = docs.select(*_keyed(old_shard)).groupBy("old", *KEY).agg(F.count("*").alias("n"))
+    rows = written(running_sums(rows, [F.col(c) for c in ("old", *KEY)], {"byte_at": F.col("size") * F.col("n"), "row_at": F.col("n")}, "old", "shards"), "placed")
     supply = [0] * old_shards
-    for r in rows.groupBy("old_shard").agg(F.sum("size").alias("n")).collect():  # one row for each shard
-        supply[r.old_shard] = r.n
+    for r in rows.groupBy("old").agg(F.sum(F.col("size") * F.col("n")).alias("bytes")).collect():  # one row for each shard
+        supply[r.old] = r.bytes
     capacities = capacities or equal_capacities(sum(supply), new_shards)
     flow = min_cost_flow(supply, capacities, cost)
     blocks, at = [], [0] * old_shards
     for (i, j), n in sorted(flow.items(), key=lambda x: (x[0][0], x[0][0] != x[0][1], x[0][1])):  # what stays comes first
         blocks.append((len(blocks), i, j, at[i], at[i] + n))
         at[i] += n
-    table = F.broadcast(spark.createDataFrame(blocks, "block int, __old int, shard int, lo long, hi long"))  # at most old + new - 1 rows
-    inside = (F.col("old_shard") == F.col("__old")) & (F.col("byte_at") >= F.col("lo")) & (F.col("byte_at") < F.col("hi"))
-    rows = rows.join(table, inside).withColumn("straddles", F.col("byte_at") + F.col("size") > F.col("hi"))
-    whole = {r.block: r for r in rows.filter("not straddles").groupBy("block").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), F.min("row_at").alias("first")).collect()}
-    room, filled, bases = list(capacities), [0] * new_shards, {}
-    for b, _, j, _, _ in blocks:
-        if b in whole:
-            bases[b] = filled[j] - whole[b]["first"]
-            filled[j] += whole[b]["rows"]
-            room[j] -= whole[b]["bytes"]
-    odd = []
-    for r in sorted(rows.filter("straddles").select("old_shard", "row_at", "size").collect(), key=lambda r: (-r["size"], r.old_shard, r.row_at)):  # at most one for each block
-        j = max(range(new_shards), key=lambda k: (room[k], -k))
-        odd.append((r.old_shard, r.row_at, j, filled[j]))
-        filled[j] += 1
-        room[j] -= r["size"]
-    base = F.broadcast(spark.createDataFrame(list(bases.items()), "block int, base long"))
-    lone = F.broadcast(spark.createDataFrame(odd, "old_shard int, row_at long, odd_shard int, odd_slot long"))
-    out = rows.join(base, "block", "left").join(lone, ["old_shard", "row_at"], "left")
-    slot = F.coalesce("odd_slot", F.col("base") + F.col("row_at"))
-    return out.select("doc_id", "size", "text_crc32", "old_shard", F.coalesce("odd_shard", "shard").alias("shard"), slot.alias("slot"))
-
-
-def write_affected(docs: DataFrame, plan: DataFrame, path: str, places: tuple[str, str] | None = None) -> DataFrame:
-    """Writes the shards that gain or lose a document under path/shard=k, in the order of their slots, and returns
-    (shard, rows, rewritten) for all shards; the files of the others stay as they are.
-
-    plan is reshard()'s result; places, if given, names the columns that keep old_shard and slot in the files.  Rows equal in (doc_id, size, text_crc32) may swap places."""
-    plan = written(plan, "plan")
-    moved = plan.filter("shard != old_shard")
-    touched = moved.select("shard").unionByName(moved.select(F.col("old_shard").alias("shard"))).distinct()
-    touched = F.broadcast(touched)  # at most as many rows as there are shards
-    todo = plan.join(touched, "shard", "left_semi")
-    doc, size, crc, nth, shard, slot, old = unused(docs, "doc", "size", "crc", "nth", "shard", "slot", "old")
-    key = [doc, size, crc]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    extra = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), size: (F.octet_length(text) + F.lit(1)).cast("long"), crc: F.crc32(text.cast("binary"))})
-    place = todo.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(doc), F.col("size").alias(size), F.col("text_crc32").alias(crc), F.col("shard").alias(shard), F.col("slot").alias(slot), F.col("old_shard").alias(old))
-    # equal rows are dealt by their number among their equals
-    among = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    out = extra.withColumn(nth, among).join(place.withColumn(nth, among), [*key, nth])
-    out = out.repartitionByRange(partitions(docs.sparkSession), shard, slot).sortWithinPartitions(shard, slot)
+    table = F.broadcast(spark.createDataFrame(blocks, "block int, __old int, __shard int, lo long, hi long"))  # at most old + new - 1 rows
+    inside = (F.col("old") == F.col("__old")) & (F.col("byte_at") >= F.col("lo")) & (F.col("byte_at") < F.col("hi"))
+    # a run: the documents wholly in a block, or one that straddles its end
+    placed = rows.join(table, inside).withColumn("odd", F.col("byte_at") + F.col("size") * F.col("n") > F.col("hi"))
+    key = F.struct(*KEY)
+    runs = placed.groupBy("block", "old", "__shard", "odd").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("bytes"), F.min("row_at").alias("row_at")).collect()
+    room, to = list(capacities), {}
+    for r in runs:
+        if not r.odd:
+            to[r.block, False] = r["__shard"]
+            room[r["__shard"]] -= r.bytes
+    for r in sorted((r for r in runs if r.odd), key=lambda r: (-r.bytes, r.block)):
+        j = to[r.block, True] = max(range(new_shards), key=lambda k: (room[k], -k))
+        room[j] -= r.bytes
+    bases, filled = [], [0] * new_shards
+    for r in sorted(runs, key=lambda r: (r.old, r.row_at)):  # the slots of a shard follow (old shard, key)
+        j = to[r.block, r.odd]
+        bases.append((r.block, r.odd, j, filled[j] - r.row_at))
+        filled[j] += r.n
+    base = F.broadcast(spark.createDataFrame(bases, "block int, odd boolean, shard int, base long"))
+    out = placed.join(base, ["block", "odd"]).select("old", *KEY, "n", "shard", (F.col("base") + F.col("row_at")).alias("slot"))
+    return Plan(written(out, "plan"), [(r.old, r.first, r.last, to[r.block, r.odd]) for r in runs], flow)
+
+
+def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, capacities: list[int] | None = None, cost: Callable[[int, int], int] = moving_cost) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, old_shard, shard, slot."""
+    return _listed(solve(docs, old_shard, old_shards, new_shards, capacities, cost).rows)
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    each = rows.withColumn("nth", F.explode(F.expr("sequence(0L, n - 1)")))
+    return each.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.col("old").alias("old_shard"), "shard", (F.col("slot") + F.col("nth")).alias("slot"))
+
+
+def write_affected(docs: DataFrame, old_shard: Column, plan: Plan, path: str, places: tuple[str, str, str] | None = None) -> set[int]:
+    """Writes the shards that gain or lose a document under path/shard=k, in the order of their slots, and returns them; the
+    files of the others stay as they are.
+
+    places, if given, names columns of the files for the old shard, the writing task and the place there, which rises with the slot."""
+    names = unused(docs, "old", *KEY, "new", "from", "first", "last")
+    old, key, new, start, first, last = names[0], names[1:5], *names[5:]
+    runs = [(i, a, b, j) for i, a, b, j in plan.runs if i in plan.touched or j in plan.touched]
+    table = F.broadcast(docs.sparkSession.createDataFrame(runs, f"`{start}` int, `{first}` {_KEY}, `{last}` {_KEY}, `{new}` int"))  # two rows at most for each flow
+    rows = docs.select("*", *[c.alias(n) for c, n in zip(_keyed(old_shard), [old, *key], strict=True)])
+    whole = F.struct(*[F.col(n).alias(k) for n, k in zip(key, KEY, strict=True)])
+    out = rows.join(table, (F.col(old) == F.col(start)) & (whole >= F.col(first)) & (whole <= F.col(last)))
+    out = out.repartitionByRange(partitions(docs.sparkSession), new, old, *key).sortWithinPartitions(new, old, *key)
     if places:
-        out = out.withColumns({places[0]: F.col(old), places[1]: F.col(slot)})
-    out.withColumn("shard", F.col(shard)).drop(*key, nth, shard, slot, old).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    flags = touched.withColumn("rewritten", F.lit(True))
-    return plan.groupBy("shard").agg(F.count("*").alias("rows")).join(flags, "shard", "left").fillna(False, ["rewritten"])
+        out = out.withColumns({places[0]: F.col(old), places[1]: F.spark_partition_id(), places[2]: F.monotonically_increasing_id()})
+    out = out.withColumn("shard", F.col(new)).drop(old, *key, new, start, first, last)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    return plan.touched
 
 
 def resharded(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, path: str) -> DataFrame:
     """Writes the affected shards under path, and returns the rows of reshard() as the files of all shards have them: the
     rewritten ones are read back, the others are still where docs has them."""
     spark = docs.sparkSession
-    plan = written(reshard(docs, old_shard, old_shards, new_shards), "plan")
-    old, slot = unused(docs, "kept_old", "kept_slot")
-    flags = written(write_affected(docs, plan, path, (old, slot)), "flags")
+    plan = solve(docs, old_shard, old_shards, new_shards)
+    old, task, place = unused(docs, "kept_old", "kept_task", "kept_place")
+    touched = write_affected(docs, old_shard, plan, path, (old, task, place))
+    kept = _listed(plan.rows.filter(~F.col("shard").isin(sorted(touched))))
+    if not touched:
+        return kept
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name.lower() in ("doc_id", "text")]
-    files = spark.read.schema(", ".join([*fields, f"{old} int", f"{slot} long", "shard int"])).parquet(path)
+    files = spark.read.schema(", ".join([*fields, f"{old} int", f"{task} int", f"{place} long", "shard int"])).parquet(path)
+    # each task wrote one range, so the documents of a shard in one task have adjacent places
+    held = files.groupBy("shard", task).agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy(task).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = written(held.select("shard", task, (ahead - F.col("first")).alias("base")), "bases")
     text = F.coalesce(F.col("text"), F.lit(""))
-    moved = files.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col(old).alias("old_shard"), "shard", F.col(slot).alias("slot"))
-    kept = plan.join(F.broadcast(flags.filter("not rewritten").select("shard")), "shard", "left_semi")  # as many rows as shards
+    moved = files.join(small_side(held), ["shard", task]).select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col(old).alias("old_shard"), "shard", (F.col("base") + F.col(place)).alias("slot"))
     return moved.unionByName(kept.select(*moved.columns))
