@@ -1,11 +1,12 @@
 """Operator 8: exact dedup over an extendible-hash index on shared files (DataFrame functions only).
 
-Every row enters an index of (hash, digest, length) by its 64-bit hash.  A directory addresses buckets by the leading bits
+Every row enters an index of (hash, digest, rows) by its 64-bit hash.  A directory addresses buckets by the leading bits
 of the hash; a bucket with more than `bucket_rows` rows is split by one more bit, doubling the directory there, until it
-fits or holds a single hash: equal hashes chain and cannot be split.  The index is written in bucket order, so each
-owner task holds a range of hashes.  Only rows whose hash occurs more than once go on to the comparison of bytes: they are
-grouped by (hash, text) with map-side combining, so a hash collision forms a chain of several groups, and a hot
-group of copies reaches its owner as one row for each task.
+fits or holds a single hash: equal hashes chain and cannot be split.  The directory gives each owner task a range of buckets
+of about as many rows, and a bucket of one hash with more rows than that as many owners as it needs; the index is written by owners.
+Rows whose hash occurs more than once in its bucket go on to the comparison of bytes: they are grouped by (bucket, hash, text)
+with map-side combining, so a hot group of copies reaches its bucket as one row for each task, and the texts of a bucket that
+collide in the hash form its chain.  Every row finds its place by its bucket, its hash and the link of the chain that has its text.
 
 Defined results: null text counts as empty; rows equal in doc_id and text count one each in group_size and exactly one of
 them is kept; a null doc_id is smaller than any other; an empty table gives an empty result; other columns are ignored.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import partitions, small_side, unused, written
@@ -39,7 +40,7 @@ def directory(keys: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
         sizes = open_.groupBy(_prefix(F.lit(depth)).alias("bucket")).agg(F.sum("count").alias("rows"), F.min("hash").alias("lo"), F.max("hash").alias("hi"))
         sizes = written(sizes.withColumn("chained", F.col("lo") == F.col("hi")), "buckets")
         full = (F.col("rows") > bucket_rows) & ~F.col("chained") & F.lit(depth < 63)
-        part = sizes.filter(~full).select(F.lit(depth).alias("depth"), "bucket", "rows", "chained")
+        part = sizes.filter(~full).select(F.lit(depth).alias("depth"), F.col("bucket").cast("long").alias("bucket"), "rows", "chained")
         done = part if done is None else done.unionByName(part)
         split = sizes.filter(full).select("bucket")
         if split.isEmpty():
@@ -48,40 +49,55 @@ def directory(keys: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
         depth += 1
 
 
+def _owners(buckets: DataFrame, owners: int) -> DataFrame:
+    """(depth, bucket, owner, shares): the first owner of each bucket and how many it has.  The directory has one row for
+    each bucket, so one task can number it."""
+    rows = buckets.agg(F.sum("rows").alias("rows")).first().rows or 0
+    each = max(1, -(-rows // owners))
+    first = F.call_function("shiftleft", F.col("bucket"), (64 - F.col("depth")).cast("int"))  # the least hash, unsigned, of the bucket
+    start = F.when(F.col("depth") == 0, F.lit(0)).otherwise(first).bitwiseXOR(F.lit(-(1 << 63)))
+    before = Window.partitionBy().orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
+    owner = F.floor(F.coalesce(F.sum("rows").over(before), F.lit(0)) / each)
+    return buckets.select("depth", "bucket", owner.alias("owner"), F.when(F.col("chained"), F.ceil(F.col("rows") / each)).otherwise(F.lit(1)).alias("shares"))
+
+
 def index(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The written index: doc_id, hash, text_sha256, rows (equal rows), depth and bucket, in the order of the hashes."""
+    """The written index, by owners and in the order of the hashes: doc_id, hash, text_sha256, rows (equal rows), depth, bucket, owner."""
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.sha2(text, 256).alias("text_sha256"))
     keys = written(keys.groupBy("doc_id", "hash", "text_sha256").agg(F.count("*").alias("rows")), "keys")
-    buckets = directory(keys.select("hash"), bucket_rows).select("depth", "bucket")
+    buckets = written(directory(keys.select("hash"), bucket_rows), "directory")
     depths = [r.depth for r in buckets.select("depth").distinct().orderBy("depth").collect()]  # at most 64
-    own = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.lit(d)).alias("bucket")) for d in depths])
-    placed = keys.withColumn("at", F.explode(own)).select("doc_id", "hash", "text_sha256", "rows", "at.depth", "at.bucket") if depths else keys.withColumns({"depth": F.lit(0), "bucket": F.lit(0)})
-    placed = placed.join(small_side(buckets), ["depth", "bucket"], "left_semi")
+    own = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.lit(d)).cast("long").alias("bucket")) for d in depths or [0]])
+    placed = keys.withColumn("at", F.explode(own)).select("doc_id", "hash", "text_sha256", "rows", "at.depth", "at.bucket")
+    owners = partitions(docs.sparkSession)
+    placed = placed.join(small_side(written(_owners(buckets, owners), "owners")), ["depth", "bucket"])
+    placed = placed.withColumn("owner", F.col("owner") + F.pmod(F.xxhash64("doc_id"), F.col("shares"))).drop("shares")
     unsigned = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))
-    ranged = placed.repartitionByRange(partitions(docs.sparkSession), unsigned, "doc_id").sortWithinPartitions(unsigned)
-    return written(ranged, "hash-index")
+    return written(placed.repartition(owners, "owner").sortWithinPartitions("owner", unsigned, "doc_id"), "hash-index")
 
 
 def _resolved(docs: DataFrame, bucket_rows: int) -> DataFrame:
     """Index rows (one for equal rows of doc_id and text) with the document that stays and the size of the group."""
     idx = index(docs, bucket_rows)
-    twice = written(idx.groupBy("hash").agg(F.sum("rows").alias("n")).filter("n > 1").select("hash"), "chains")
+    bucket = ["depth", "bucket", "hash"]
+    twice = written(idx.groupBy(*bucket).agg(F.sum("rows").alias("n")).filter("n > 1").select(*bucket), "chains")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
     # bytes are compared here: the text itself is a grouping key
-    chains = rows.join(small_side(twice), "hash", "left_semi").groupBy("hash", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = written(chains.select("hash", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"), "groups")
-    out = idx.join(groups, ["hash", "text_sha256"], "left")
+    chains = rows.join(small_side(twice), "hash").groupBy(*bucket, "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    link = F.row_number().over(Window.partitionBy(*bucket).orderBy("text_sha256"))
+    groups = chains.select(*bucket, F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size").withColumn("link", link)
+    out = idx.join(written(groups, "groups"), [*bucket, "text_sha256"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    out = out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", "rows").alias("group_size"), "text_sha256", "rows")
+    out = out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", "rows").alias("group_size"), "text_sha256", "rows", "depth", "bucket", "owner", F.coalesce("link", F.lit(1)).alias("link"))
     return out.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def exact_groups(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and its place in the index: depth, bucket, owner, link."""
     out = _resolved(docs, bucket_rows).withColumn("copy", F.explode(F.expr("sequence(1L, rows)")))
-    return out.select("doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"), "text_sha256", "depth", "bucket", "owner", "link")
 
 
 def drop_copies(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
