@@ -9,7 +9,8 @@ due by a time; the inverse of that integral at the words taken before a document
 
 Word counts stand in running sums over (source, digest) in range partitions, so a source with a third of all rows is
 spread over as many tasks as it needs.  Null text has size 0; a null source comes last in the order of sources; equal
-doc_ids stand side by side; an empty table gives an empty result; other columns are ignored.
+doc_ids stand side by side, by the hash of their texts, each with takes of its own; an empty table gives an empty result; plan()
+ignores other columns, mix() keeps them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import partitions, running_sums, small_side, unused, written
+from .staging import Scratch, partitions, running_sums, small_side, unused, written
 
 #: Bytes that separate words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -52,9 +53,19 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs
 def plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, share: float = 1.0, start: tuple[float, ...] = (1, 1, 1), end: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, positions (one for each pass that takes words
     from it), sorted by the range of the first position.  start and end, cycled like weights, set the schedules."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    return _plan(docs, weights, max_epochs, share, start, end).drop("mark")
+
+
+def _mark(text: Column) -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, share: float = 1.0, start: tuple[float, ...] = (1, 1, 1), end: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
+    """plan() with the mark of the text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), _mark(F.col("text")).alias("mark"))
     rows = rows.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = running_sums(rows, [F.col("source").asc_nulls_last(), F.col("digest"), F.col("doc_id"), F.col("size")], {"before": F.col("size")}, "source", "words")
+    rows = running_sums(rows, [F.col("source").asc_nulls_last(), F.col("digest"), F.col("doc_id"), F.col("size"), F.col("mark")], {"before": F.col("size")}, "source", "words")
     sizes = written(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     by_name = Window.partitionBy().orderBy(F.col("source").asc_nulls_last())
     slope = lambda ends: F.get(F.array(*[F.lit(float(w)) for w in ends]), (F.row_number().over(by_name) - 1) % len(ends))
@@ -71,7 +82,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: in
     out = out.withColumn("positions", F.transform(times, lambda k: _inverse(due(k), F.col("w0"), F.col("w1"))))
     first = F.get("positions", F.lit(0))
     out = out.repartitionByRange(partitions(docs.sparkSession), first, "doc_id").sortWithinPartitions(first, "doc_id")
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "positions")
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "positions", "mark")
 
 
 def _inverse(due: Column, w0: Column, w1: Column) -> Column:
@@ -85,13 +96,22 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     """The training stream: each document once for every pass that takes words from it, all columns kept, in the order of
     positions.  A document that gives only a part of its words in its last pass is given whole there.
 
-    The plan meets the rows by (doc_id, source, size); rows equal in these share their takes in one plan row each."""
-    name, source, words, places, place = unused(docs, "id", "source", "words", "places", "place")
-    chosen = plan(docs, **settings).filter("taken > 0").groupBy(F.col("doc_id").alias(name), F.col("source").alias(source), F.col("size").alias(words))
-    chosen = written(chosen.agg(F.max("positions").alias(places)), "takes")
-    at = F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & F.col("source").eqNullSafe(F.col(source)) & (word_count(F.col("text")) == F.col(words))
-    out = docs.join(chosen, at).withColumn(place, F.explode(places))
-    out = out.repartitionByRange(partitions(docs.sparkSession), place, "doc_id").sortWithinPartitions(place, "doc_id")
+    The plan meets the rows by (doc_id, source, text); of rows equal in these each has its own takes."""
+    name, source, mark, places, place, nth, order = unused(docs, "id", "source", "mark", "places", "place", "nth", "order")
+    scratch = Scratch(docs.sparkSession, "mixing")
+    key = [name, source, mark]
+    chosen = scratch.written(_plan(docs, **settings).select(F.col("doc_id").alias(name), F.col("source").alias(source), F.col("mark").alias(mark), F.col("positions").alias(places)), "plan")
+    chosen = chosen.groupBy(*key).agg(F.array_sort(F.collect_list(places)).alias(places))
+    chosen = written(chosen.filter(F.size(F.flatten(places)) > 0), "takes")
+    scratch.drop()
+    at = F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & F.col("source").eqNullSafe(F.col(source)) & (_mark(F.col("text")) == F.col(mark))
+    out = docs.join(chosen, at)
+    if chosen.filter(F.size(places) > 1).isEmpty():
+        out = out.withColumn(nth, F.lit(0))
+    else:  # rows equal in the key are dealt by their number among their equals
+        out = out.withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))) - 1)
+    out = out.withColumn(place, F.explode(F.get(places, F.col(nth)))).withColumn(order, F.col("doc_id"))
+    out = out.repartitionByRange(partitions(docs.sparkSession), place, order).sortWithinPartitions(place, order, mark)
     return out.select(*[F.col(c) for c in docs.columns])
 
 
@@ -110,13 +130,16 @@ f as (
          row_number() over (order by cap / weight, source nulls last) as place
   from c),
 o as (select arg_min(level, place) as level from f where cap >= level * weight),
-g as (select f.source, f.source_size, least(f.cap, coalesce(o.level * f.weight, f.cap)) as target from f, o),
+g as (select f.source, f.source_size, f.weight, least(f.cap, coalesce(o.level * f.weight, f.cap)) as target from f, o),
 r as (
-  select t.doc_id, t.size, g.source_size, g.target, cast(round(g.target) as bigint) as goal,
+  select t.doc_id, t.size, g.source_size, g.target, g.weight as w1, cast(round(g.target) as bigint) as goal,
          cast(coalesce(sum(t.size) over (partition by t.source order by t.digest, t.doc_id, t.size rows between unbounded preceding and 1 preceding), 0) as bigint) as before
   from t join g on t.source is not distinct from g.source)
 select doc_id, size, source_size, target,
        cast(case when source_size = 0 then 0
-            else (goal // source_size) * size + greatest(0, least(size, goal % source_size - before)) end as bigint) as taken
+            else (goal // source_size) * size + greatest(0, least(size, goal % source_size - before)) end as bigint) as taken,
+       case when source_size > 0 and (goal >= source_size and size > 0 or least(size, goal % source_size - before) > 0)
+            then round(case when w1 = 1 then before / goal
+                            else (sqrt(1 + 4 * ((w1 - 1) / 2) * ((1 + w1) / 2) * (before / goal)) - 1) / (2 * ((w1 - 1) / 2)) end, 9) end as position
 from r
 """

@@ -116,7 +116,7 @@ def filter_documents(docs: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
     return book.filter(passes(policy)).select("__row.*")
 
 
-ORACLE = """
+_BITS = """
 with t as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from t),
@@ -131,9 +131,17 @@ m as (
          cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, len(lines) as n_lines,
          coalesce(n_repeat_words, 0) as n_repeat_words, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as n_upper
   from w left join rep on w.doc_id = rep.doc_id),
-b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not (base_failed or n_symbols > 0.5 * n_words or 2 * n_dup_lines > n_lines or word_chars < 2 * n_words
-            or word_chars > 20 * n_words or (2 * n_upper > word_chars and n_words >= 20)) as kept
+b as (select *, n_words < 20 as r0, 100 * n_repeat_words > 30 * n_words as r1, n_symbols > 0.5 * n_words as r2, 2 * n_dup_lines > n_lines as r3,
+             word_chars < 2 * n_words or word_chars > 20 * n_words as r4, 2 * n_upper > word_chars and n_words >= 20 as r5 from m)
+"""
+ORACLE = f"""{_BITS}
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       cast(r0 as bigint) + 2 * cast(r1 as bigint) + 4 * cast(r2 as bigint) + 8 * cast(r3 as bigint) + 16 * cast(r4 as bigint) + 32 * cast(r5 as bigint) as fail_bits,
+       r0 or r1 as base_failed, not (r0 or r1 or r2 or r3 or r4 or r5) as kept
 from b
 """
+_WITHOUT = [" or ".join(f"r{j}" for j in range(len(RULES)) if j != k) for k in range(len(RULES))]
+ABLATIONS = _BITS + " union all ".join(
+    f"select '{PRODUCTION.version}' as policy, '{rule}' as rule, count(*) filter (r{k}) as rejected, count(*) filter (r{k} and not ({_WITHOUT[k]})) as only_this, count(*) filter (not ({_WITHOUT[k]})) as kept_without from b"
+    for k, rule in enumerate(RULES)
+)

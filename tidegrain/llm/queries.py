@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, jaccard_join, mixing, packing, passages, quality_rules, resharding, secrets, token_counts, token_files
-from .staging import shared_dir
+from .staging import shared_dir, written
 
 #: Shards that the documents of op1 come from; they are filed by source there, so the hot source makes one shard large.
 OLD_SHARDS, NEW_SHARDS = 12, 16
@@ -40,8 +40,14 @@ def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality_rules.ledger(documents(spark, sf_dir))
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality_rules.passes(quality_rules.BASE)).alias("base_failed"), quality_rules.passes(quality_rules.PRODUCTION).alias("kept"))
+    book = written(quality_rules.ledger(documents(spark, sf_dir)), "ledger")
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits", (~quality_rules.passes(quality_rules.BASE)).alias("base_failed"), quality_rules.passes(quality_rules.PRODUCTION).alias("kept"))
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy rejects, alone rejects, and would leave if it were dropped: from the ledger."""
+    book = written(quality_rules.ledger(documents(spark, sf_dir)), "ledger")
+    return quality_rules.ablations(book, quality_rules.PRODUCTION)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +59,13 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(documents(spark, sf_dir))
+    return exact_dedup.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    """position: of the first take in the curriculum, the schedules going from even weights to the targets' weights."""
+    out = mixing.plan(documents(spark, sf_dir), weights=(1, 2, 3), start=(1, 1, 1), end=(1, 2, 3))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +75,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_reshard, op2_token_counts, op3_secrets, op4_passages, op5_quality_rules, op6_packing, op7_jaccard_join, op8_exact_dedup, op9_mixing, op10_token_files)
+    f.__name__: f for f in (op1_reshard, op2_token_counts, op3_secrets, op4_passages, op5_quality_rules, op6_packing, op7_jaccard_join, op8_exact_dedup, op9_mixing, op10_token_files, rule_ablations)
 }
-ORACLES = {"op5_quality_rules": quality_rules.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLES = {"op5_quality_rules": quality_rules.ORACLE, "rule_ablations": quality_rules.ABLATIONS, "op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
