@@ -104,9 +104,9 @@ def test_resharding(spark, odd, none, tmp_path):
     a = plan.toPandas()
     assert len(a) == len(TABLE) and all(sorted(g.slot) == list(range(len(g))) for _, g in a.groupby("shard"))
     assert a["size"].sum() == sum(len((t or "").encode()) + 1 for _, t in TABLE)
-    flags = resharding.write_affected(odd, plan, str(tmp_path / "shards")).collect()
-    touched = {r.shard for r in flags if r.rewritten}
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == a.shard.isin(touched).sum()
+    made = resharding.solve(odd, old, 3, 4)
+    touched = resharding.write_affected(odd, old, made, str(tmp_path / "shards"))
+    assert touched == made.touched and spark.read.parquet(str(tmp_path / "shards")).count() == a.shard.isin(touched).sum()
     assert resharding.reshard(none, old, 3, 4).count() == 0
 
 

@@ -4,7 +4,7 @@ A document's ids and its end id are cut into pieces of at most `capacity` ids; o
 rest that does not fill a piece comes first.  Pieces are dealt at random over partitions of some `part_rows` rows, and each
 packs its own by best-fit decreasing.  Dual feasible functions of the lengths bound a partition's number of bins
 from below; a partition that meets its bound is certified and stays.  Partitions with a gap give up the bins that have room:
-their pieces are dealt anew over fewer partitions and packed again, as long as that saves bins.
+their pieces are dealt anew over fewer partitions and packed again, as long as that saves more than one bin in a thousand.
 
 Defined results: null text is empty and gives one piece, its end id; rows equal in doc_id and text are packed one by one; an empty
 table gives an empty result; other columns are ignored.
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import written
+from .staging import Scratch, id_columns, ids, written
 from .tokens import Encoder
 
 CAPACITY = 1024
@@ -38,14 +38,15 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int
         encoder = Encoder(tokenizer)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                ids = np.append(encoder.ids(text), np.uint32(end_id)).astype("<u4")
-                first = len(ids) % capacity or capacity
-                edges = [0, *range(first, len(ids) + 1, capacity)]
-                out += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            for row, text in enumerate(batch.text):
+                found = np.append(encoder.ids(text), np.uint32(end_id)).astype("<u4")
+                first = len(found) % capacity or capacity
+                edges = [0, *range(first, len(found) + 1, capacity)]
+                out += [(row, k, a, b - a, zlib.crc32(found[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+            made = pd.DataFrame(out, columns=["row", "piece", "start", "length", "ids_crc32"])
+            yield made.assign(doc_id=ids(batch)[made.pop("row").to_numpy()])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, _PIECE)
+    return docs.select(*id_columns(docs), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, _PIECE)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -92,41 +93,52 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets, np.array(fills, np.int64)
 
 
-def _packed(rows: DataFrame, turn: int, part_rows: int, capacity: int) -> DataFrame:
+def _packed(rows: DataFrame, turn: int, part_rows: int, capacity: int, scratch: Scratch) -> DataFrame:
     """Deals rows at random over partitions and packs each."""
     parts = max(1, -(-rows.count() // part_rows))
-    dealt = rows.select("doc_id", "piece", "start", "length", "ids_crc32", F.floor(F.rand(turn) * parts).alias("part"))
+    doc_id = [F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id")]
+    dealt = rows.select(*doc_id, "piece", "start", "length", "ids_crc32", F.floor(F.rand(turn) * parts).alias("part"))
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ignore_index=True)
-        lengths = group.pop("length").to_numpy()
-        del group["part"]
+        group = group.sort_values(["length", "no_id", "doc_id", "piece", "ids_crc32"], ignore_index=True)
+        lengths = group.length.to_numpy()
         bins, offsets, fills = best_fit_decreasing(lengths, capacity)
         gap = len(fills) - lower_bound(lengths, capacity)
-        return group.assign(length=lengths, doc_id=group.doc_id.astype("Int64"), sequence_id=(turn << 56) + (int(key[0]) << 24) + bins, offset=offsets, fill=fills[bins], gap=gap)[[c.split()[0] for c in _PLACED.split(", ")]]
+        made = group.assign(doc_id=ids(group), sequence_id=(turn << 56) + (int(key[0]) << 24) + bins, offset=offsets, fill=fills[bins], gap=gap)
+        return made[[c.split()[0] for c in _PLACED.split(", ")]]
 
-    return written(dealt.groupBy("part").applyInPandas(pack, _PLACED), f"packed-{turn}")
+    return scratch.written(dealt.groupBy("part").applyInPandas(pack, _PLACED), f"packed-{turn}")
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, turns: int = 4) -> DataFrame:
+#: Share of the sequences of a pool that a turn must save to be followed by another one; turns that ids have room for.
+WORTH, TURNS = 0.001, 127
+
+
+def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
     """pieces() -> the same with sequence_id, offset, fill (ids in the sequence) and gap (bins over the bound of the
     partition that packed it; 0: certified)."""
     n_bins = lambda df: df.filter("offset = 0").count()  # noqa: E731  each bin has one piece at its start
-    last = _packed(written(rows, "pieces"), 0, part_rows, capacity)
+    scratch = Scratch(rows.sparkSession, "packing")
+    last = _packed(scratch.written(rows, "pieces"), 0, part_rows, capacity, scratch)
     done: DataFrame | None = None
-    for turn in range(1, turns + 1):
+    for turn in range(1, TURNS):
         loose = (F.col("gap") > 0) & (F.col("fill") < capacity)
         pool = last.filter(loose)
         before = n_bins(pool)
         if before < 2:
             break
-        again = _packed(pool, turn, part_rows, capacity)
-        if n_bins(again) >= before:
+        again = _packed(pool, turn, part_rows, capacity, scratch)
+        after = n_bins(again)
+        if after >= before:
             break
         stay = last.filter(~loose)
         done = stay if done is None else done.unionByName(stay)
         last = again
-    return last if done is None else done.unionByName(last)
+        if before - after < WORTH * before:
+            break
+    out = written(last if done is None else done.unionByName(last), "packed")
+    scratch.drop()
+    return out
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID, part_rows: int = PART_ROWS) -> DataFrame:

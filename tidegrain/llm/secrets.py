@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import small_side, written
+from .staging import id_columns, ids, small_side, written
 
 #: Base kinds in their order: pattern, group whose length counts, least length.
 BASE = (
@@ -94,9 +94,9 @@ def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
                 seen = {v for v, _, _ in runs} | {value_hash(value_of(base_value(text, k, a, b))) for a, k, b in base}
                 out.append((*counts, hashlib.sha256(",".join(listed).encode()).hexdigest(), listed, extra, list(seen)))
             made = pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "base", "extra", "seen"], index=batch.index)
-            yield pd.concat([batch.astype({"doc_id": "Int64"}), made], axis=1)
+            yield pd.concat([batch.assign(doc_id=ids(batch)).drop(columns="no_id"), made], axis=1)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(*id_columns(docs), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(find, "doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, base array<string>, extra array<struct<value: long, start: long, end: long>>, seen array<long>")
 
 

@@ -9,8 +9,8 @@ on what came before.  A left chunk's end cannot reach back to such an offset, as
 front of it are complete.  Where an overlap has no such offset the document is chunked again with eight times the overlap
 and twice the chunk, at last as a whole.
 
-Defined results: null counts as empty (0 bytes, 0 tokens); rows equal in doc_id and text each get their row; null
-doc_ids stay; an empty table gives an empty result; other columns are ignored.
+Defined results: null counts as empty (0 bytes, 0 tokens); rows equal in doc_id and text each get their row, and
+a huge text is encoded once for all its copies; null doc_ids stay; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import partitions, small_side, written
+from .staging import Scratch, id_columns, ids, partitions, small_side, written
 from .tokens import Encoder
 
 #: Bytes of a text that is encoded in one piece, and of a chunk; bytes that neighbours share.
@@ -60,19 +60,18 @@ def _chunks(data: bytes, chunk: int, overlap: int) -> Iterator[tuple[int, int]]:
 
 
 def chunk_rows(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(doc_id, sha, part, parts, start, ahead, behind, text): ahead and behind are the bytes shared with the neighbours."""
+    """(sha, part, parts, start, ahead, behind, text): ahead and behind are the bytes shared with the neighbours."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc_id, sha, text in zip(batch.doc_id, batch.sha, batch.text, strict=True):
+            for sha, text in zip(batch.sha, batch.text, strict=True):
                 data = text.encode()
                 spans = list(_chunks(data, chunk, overlap))
-                out = [(doc_id, sha, k, len(spans), a, spans[k - 1][1] - a if k else 0, b - spans[k + 1][0] if k + 1 < len(spans) else 0, data[a:b].decode()) for k, (a, b) in enumerate(spans)]
+                out = [(sha, k, len(spans), a, spans[k - 1][1] - a if k else 0, b - spans[k + 1][0] if k + 1 < len(spans) else 0, data[a:b].decode()) for k, (a, b) in enumerate(spans)]
                 for k in range(0, len(out), 256):
-                    part = pd.DataFrame(out[k : k + 256], columns=["doc_id", "sha", "part", "parts", "start", "ahead", "behind", "text"])
-                    yield part.astype({"doc_id": "Int64"})
+                    yield pd.DataFrame(out[k : k + 256], columns=["sha", "part", "parts", "start", "ahead", "behind", "text"])
 
-    return rows.mapInPandas(cut, "doc_id long, sha string, part long, parts long, start long, ahead long, behind long, text string")
+    return rows.mapInPandas(cut, "sha string, part long, parts long, start long, ahead long, behind long, text string")
 
 
 def _encode_chunks(chunks: DataFrame, tokenizer: str) -> DataFrame:
@@ -82,58 +81,59 @@ def _encode_chunks(chunks: DataFrame, tokenizer: str) -> DataFrame:
         encoder = Encoder(tokenizer)
         for batch in batches:
             out = []
-            for doc_id, sha, part, parts, start, ahead, behind, text in batch.itertuples(index=False):
+            for sha, part, parts, start, ahead, behind, text in batch.itertuples(index=False):
                 data = text.encode()
-                ids = encoder.ids(text)
-                starts = encoder.starts(ids)
+                found = encoder.ids(text)
+                starts = encoder.starts(found)
                 where = np.intersect1d(_stable(data), starts)
                 before = np.searchsorted(starts, where)
                 head, tail = where < ahead, where >= len(data) - behind
-                out.append((doc_id, sha, part, parts, len(ids), where[head] + start, before[head], where[tail] + start, before[tail]))
-            yield pd.DataFrame(out, columns=["doc_id", "sha", "part", "parts", "n", "head", "head_n", "tail", "tail_n"]).astype({"doc_id": "Int64"})
+                out.append((sha, part, parts, len(found), where[head] + start, before[head], where[tail] + start, before[tail]))
+            yield pd.DataFrame(out, columns=["sha", "part", "parts", "n", "head", "head_n", "tail", "tail_n"])
 
     ints = ", ".join(f"{c} array<long>" for c in ("head", "head_n", "tail", "tail_n"))
-    return chunks.mapInPandas(encode, f"doc_id long, sha string, part long, parts long, n long, {ints}")
+    return chunks.mapInPandas(encode, f"sha string, part long, parts long, n long, {ints}")
 
 
 def _splice(encoded: DataFrame) -> DataFrame:
-    """(doc_id, sha, n_tokens, failed) of the chunked documents; each pair of neighbours meets by an equi-join."""
-    one = encoded.dropDuplicates(["doc_id", "sha", "part"])
-    left = one.filter("part + 1 < parts").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), (F.col("part") + 1).alias("__part"), F.col("tail").alias("left_tail"), F.col("tail_n").alias("left_tail_n"), F.col("n").alias("left_n"))
-    met = one.drop("tail", "tail_n").join(left, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")) & (F.col("part") == F.col("__part")), "left")
+    """(sha, n_tokens, failed) of the chunked texts; each pair of neighbours meets by an equi-join."""
+    left = encoded.filter("part + 1 < parts").select("sha", (F.col("part") + 1).alias("part"), F.col("tail").alias("left_tail"), F.col("tail_n").alias("left_tail_n"), F.col("n").alias("left_n"))
+    met = encoded.drop("tail", "tail_n").join(left, ["sha", "part"], "left")
     shared = F.array_min(F.array_intersect("head", "left_tail"))
     at = lambda where, count: F.get(F.col(count), (F.array_position(where, shared) - 1).cast("int"))
     lost = (F.col("left_n") - at("left_tail", "left_tail_n")) + at("head", "head_n")
     met = met.withColumns({"lost": F.when(F.col("part") > 0, lost).otherwise(0), "miss": (F.col("part") > 0) & shared.isNull()})
-    return met.groupBy("doc_id", "sha").agg(F.sum(F.col("n") - F.coalesce("lost", F.lit(0))).alias("n_tokens"), F.max("miss").alias("failed"))
+    return met.groupBy("sha").agg(F.sum(F.col("n") - F.coalesce("lost", F.lit(0))).alias("n_tokens"), F.max("miss").alias("failed"))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    rows = docs.select(*id_columns(docs), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(tokenizer)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "n_bytes": batch.n_bytes, "n_tokens": [len(encoder.ids(t)) for t in batch.text]})
+            yield pd.DataFrame({"doc_id": ids(batch), "n_bytes": batch.n_bytes, "n_tokens": [len(encoder.ids(t)) for t in batch.text]})
 
     short = rows.filter(F.col("n_bytes") <= chunk).mapInPandas(count, "doc_id long, n_bytes long, n_tokens long")
-    long_ = rows.filter(F.col("n_bytes") > chunk).withColumn("sha", F.sha2("text", 256))
-    keys = written(long_.groupBy("doc_id", "sha", "n_bytes").agg(F.count("*").alias("copies")), "huge")
-    pending, found = keys, None
-    while not pending.isEmpty():
-        todo = pending.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"))
-        texts = long_ if pending is keys else long_.join(small_side(todo), long_["doc_id"].eqNullSafe(F.col("__id")) & (long_["sha"] == F.col("__sha")), "left_semi")
-        dealt = chunk_rows(texts.select("doc_id", "sha", "text"), chunk, overlap).repartition(partitions(spark), "sha", "part")
-        done = written(_splice(written(_encode_chunks(dealt, tokenizer), "chunks")), "spliced")
-        good = done.filter("not failed").select("doc_id", "sha", "n_tokens")
+    huge = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).filter(F.octet_length("text") > chunk).withColumn("sha", F.sha2("text", 256))
+    names = written(huge.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "huge")
+    if names.isEmpty():
+        return short
+    scratch = Scratch(spark, "token-counts")
+    texts, found = huge.select("sha", "text").dropDuplicates(["sha"]), None  # a text once, whatever its copies
+    while True:
+        dealt = chunk_rows(texts, chunk, overlap).repartition(partitions(spark), "sha", "part")
+        done = scratch.written(_splice(scratch.written(_encode_chunks(dealt, tokenizer), "chunks")), "spliced")
+        good = done.filter("not failed").select("sha", "n_tokens")
         found = good if found is None else found.unionByName(good)
-        pending = written(done.filter("failed").select("doc_id", "sha"), "failed")
+        failed = done.filter("failed").select("sha")
+        if failed.isEmpty():
+            break
+        texts = huge.join(small_side(failed), "sha", "left_semi").select("sha", "text").dropDuplicates(["sha"])
         chunk, overlap = 2 * chunk + 8 * overlap, 8 * overlap
-    if found is None:
-        return short
-    found = found.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), "n_tokens")
-    huge = keys.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))).select("doc_id", "n_bytes", "n_tokens", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
-    return short.unionByName(huge.drop("copy"))
+    found = written(found, "counts")
+    scratch.drop()
+    return short.unionByName(names.join(found, "sha").select("doc_id", "n_bytes", "n_tokens"))

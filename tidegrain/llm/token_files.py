@@ -5,8 +5,8 @@ Documents are dealt by ranges of doc_id and sorted there; a task encodes its tex
 the blocks and the Simple-8b words (simple8b.py).  Segments are the rows of a Parquet table, so any store that Spark
 writes to can hold them and a lost task leaves nothing half written; `part` and `segment` give the order.
 
-Defined results: null counts as empty (the end id alone); null doc_ids come first; rows equal in doc_id and text get
-adjacent places; an empty table gives an empty file and result; other columns are ignored.
+Defined results: null counts as empty (the end id alone); null doc_ids come first; rows equal in doc_id stand in the order of
+a digest of their texts, so a rerun gives the same file; an empty table gives an empty file and result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .staging import partitions, small_side, written
+from .staging import id_columns, partitions, small_side, written
 from .tokens import Encoder
 
 MAGIC, VERSION = b"TGS8", 1
@@ -49,32 +49,37 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> None:
-    """Writes the file; its rows are (part, segment, doc_ids, n_ids, payload)."""
+    """Writes the file; its rows are (part, segment, doc_ids, no_ids, n_ids, payload); no_ids tells null doc_ids."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(tokenizer)
-        names: list[int | None] = []
+        names: list[int] = []
+        none: list[bool] = []
         held: list[np.ndarray] = []
         size = segment = part = 0
 
         def flush() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "segment": [segment], "doc_ids": [names], "n_ids": [size], "payload": [pack(held)]})
+            return pd.DataFrame({"part": [part], "segment": [segment], "doc_ids": [names], "no_ids": [none], "n_ids": [size], "payload": [pack(held)]})
 
         for batch in batches:
-            for part, doc_id, text in zip(batch.part, batch.doc_id, batch.text, strict=True):  # noqa: B007
-                names.append(None if pd.isna(doc_id) else int(doc_id))
+            for part, doc_id, no_id, text in zip(batch.part, batch.doc_id, batch.no_id, batch.text, strict=True):  # noqa: B007
+                names.append(int(doc_id))
+                none.append(bool(no_id))
                 held.append(np.append(encoder.ids(text), np.uint32(end_id)))
                 size += len(held[-1])
                 if size >= segment_ids:
                     yield flush()
-                    names, held, size, segment = [], [], 0, segment + 1
+                    names, none, held, size, segment = [], [], [], 0, segment + 1
         if names:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("digest")]
+    dealt = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = dealt.select(*id_columns(dealt), "text")
     dealt = dealt.withColumn("part", F.spark_partition_id().cast("long"))
-    dealt.mapInPandas(encode, "part long, segment long, doc_ids array<long>, n_ids long, payload binary").write.parquet(path)
+    dealt.mapInPandas(encode, "part long, segment long, doc_ids array<long>, no_ids array<boolean>, n_ids long, payload binary").write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -82,12 +87,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for before, names, payload in zip(batch.before, batch.doc_ids, batch.payload, strict=True):
+            for before, names, none, payload in zip(batch.before, batch.doc_ids, batch.no_ids, batch.payload, strict=True):
                 docs = unpack(payload)
                 lens = np.array([len(d) for d in docs], np.int64)
                 crc = [zlib.crc32(d.astype("<u4").tobytes()) for d in docs]
-                ids = pd.array([None if n is None or n != n else int(n) for n in names], "Int64")
-                yield pd.DataFrame({"doc_id": ids, "start": before + np.cumsum(lens) - lens, "n_tokens": lens, "ids_crc32": crc})
+                known = pd.arrays.IntegerArray(np.array(names, np.int64), np.array(none, bool))
+                yield pd.DataFrame({"doc_id": known, "start": before + np.cumsum(lens) - lens, "n_tokens": lens, "ids_crc32": crc})
 
     stored = spark.read.parquet(path)
     # sums of whole parts first (one row for each), then the few segments inside a part
@@ -96,5 +101,5 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     inner = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     starts = stored.select("part", "segment", F.coalesce(F.sum("n_ids").over(inner), F.lit(0)).alias("within"))
     starts = written(starts.join(ahead, "part").select("part", "segment", (F.col("within") + F.col("ahead")).alias("before")), "segment-starts")
-    rows = stored.select("part", "segment", "doc_ids", "payload").join(small_side(starts), ["part", "segment"])
-    return rows.select("before", "doc_ids", "payload").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = stored.select("part", "segment", "doc_ids", "no_ids", "payload").join(small_side(starts), ["part", "segment"])
+    return rows.select("before", "doc_ids", "no_ids", "payload").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
