@@ -57,8 +57,8 @@ def test_disk_cells_cover_the_disk(spark):
 
 
 def test_overlap_weights_two_boxes_and_any_cohort(spark):
-    box = lambda a, b: [(float(x), float(y)) for x, y in ((a, 0), (b, 0), (b, 3000), (a, 3000))]
-    polys = spark.createDataFrame([("A", box(0, 1013)), ("B", box(1013, 3000))], "unit string, ring array<struct<x: double, y: double>>")
+    box = lambda a, b: [[(float(x), float(y)) for x, y in ((a, 0), (b, 0), (b, 3000), (a, 3000))]]
+    polys = spark.createDataFrame([("A", box(0, 1013)), ("B", box(1013, 3000))], "unit string, rings array<array<struct<x: double, y: double>>>")
     one = spark.createDataFrame([(1, 1000.0, 1000.0)], "episode_id long, x double, y double")
     two = one.unionByName(spark.createDataFrame([(2, 8300.0, 1000.0)], one.schema))
     a, b = ({r.unit: r.weight for r in spatial.overlap_weights(p, polys).filter("episode_id = 1").collect()} for p in (one, two))

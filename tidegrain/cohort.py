@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.dates import shared_format
+from .functions.recode import id_text
+from .shared import numbered
 
 REQUIRED = ("pid", "startDate", "endDate", "longitude", "latitude")
 #: west, south, east, north of the contiguous states, for coverage.  Fixed values.
@@ -33,6 +35,7 @@ def validate(df: DataFrame) -> DataFrame:
         ("coord_range", "error"): F.coalesce((F.abs(lon) > 180) | (F.abs(lat) > 90), F.lit(False)),
         ("date_format", "error"): F.lit(fmt is None) & ~(blank("startDate") & blank("endDate")),
         ("date_order", "error"): F.coalesce(date("startDate") > date("endDate"), F.lit(False)),
+        ("date_timezone", "error"): F.lit(any(t == "timestamp" and c.lower() in ("startdate", "enddate") for c, t in df.dtypes)),
         ("date_missing", "warning"): blank("startDate") | blank("endDate"),
         ("episode_id_overwritten", "warning"): F.lit("episode_id" in names),
     }
@@ -42,20 +45,31 @@ def validate(df: DataFrame) -> DataFrame:
 
 
 def episodes(df: DataFrame) -> DataFrame:
-    """pid, episode_id, start_date, end_date, lon, lat.  episode_id numbers the input's rows from 0: the cohort is the small
-    table, read as one file, and zipWithIndex keeps its order without moving it to one task."""
+    """pid, episode_id, start_date, end_date, lon, lat.  episode_id numbers the input's rows from 0.  Dates with a time zone are refused."""
+    zoned = [c for c, t in df.dtypes if t == "timestamp" and c in ("startDate", "endDate")]
+    if zoned:
+        raise ValueError(f"{', '.join(zoned)}: a date must have no time zone")
     named = df.withColumnRenamed("PATID", "pid") if "pid" not in df.columns else df
     fmt = shared_format(named.select(F.col("startDate").cast("string").alias("s"), F.col("endDate").cast("string").alias("e")), "s", "e")
     if fmt is None:
         raise ValueError("the dates do not share one format")
-    schema = "pid string, startDate string, endDate string, longitude double, latitude double, episode_id long"
-    plain = named.select(F.col("pid").cast("string"), F.col("startDate").cast("string"), F.col("endDate").cast("string"), F.col("longitude").cast("double"), F.col("latitude").cast("double"))
-    rows = plain.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    out = df.sparkSession.createDataFrame(rows, schema)
+    plain = named.select(id_text(F.col("pid")).alias("pid"), F.col("startDate").cast("string"), F.col("endDate").cast("string"), F.col("longitude").cast("double"), F.col("latitude").cast("double"))
+    out = numbered(plain, "episode_id")
     date = lambda c: F.try_to_timestamp(F.trim(c), F.lit(fmt)).cast("date")
     return out.select("pid", "episode_id", date("startDate").alias("start_date"), date("endDate").alias("end_date"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
 
 
+def bad_rows(df: DataFrame, bad: Column, top: int = 20) -> list[int]:
+    """The first row numbers, from 1, for which a check fails."""
+    marked = numbered(df.select(bad.alias("bad")), "row").filter("bad")
+    return [r.row + 1 for r in marked.orderBy("row").limit(top).collect()]
+
+
+def sampled(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """n rows without replacement, the same for a seed and an order of rows."""
+    return df.orderBy(F.rand(seed)).limit(n)
+
+
 def in_region(lon: Column, lat: Column) -> Column:
     west, south, east, north = CONUS
     return lon.between(west, east) & lat.between(south, north)

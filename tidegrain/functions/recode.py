@@ -48,6 +48,8 @@ FORMULAS: dict[str, Callable[..., Column]] = {}
 
 def register_formula(name: str) -> Callable[[Callable[..., Column]], Callable[..., Column]]:
     def keep(f: Callable[..., Column]) -> Callable[..., Column]:
+        if name in FORMULAS:
+            raise ValueError(f"a formula {name!r} is registered already")
         FORMULAS[name] = f
         return f
 
@@ -56,6 +58,10 @@ def register_formula(name: str) -> Callable[[Callable[..., Column]], Callable[..
 
 def derive(df: DataFrame, target: str, formula: str | None = None, key: str | None = None, **columns: str) -> DataFrame:
     """A column from a SQL expression, or from a registered formula over named columns."""
+    if (formula is None) == (key is None):
+        raise ValueError("give either a formula or the key of a registered one")
+    if key is not None and key not in FORMULAS:
+        raise ValueError(f"no formula {key!r}; registered: {', '.join(sorted(FORMULAS))}")
     made = F.expr(formula) if formula else FORMULAS[key](**{k: F.col(c) for k, c in columns.items()})
     return df.withColumn(target, made)
 
@@ -102,15 +108,16 @@ def padded(code: Column, width: int = 5) -> Column:
     return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
 
 
-def flag(inputs: list[str], tests: list[Column]) -> Column:
-    """0 when all inputs are present, 1 when any test holds even if inputs are missing, else missing."""
+def flag(inputs: list[str], tests: list[Column], before: Column | None = None) -> Column:
+    """1 when any test holds even if inputs are missing, 0 when all inputs are present, else the value before, if any."""
     present = F.lit(True)
     for c in inputs:
         present = present & F.col(c).isNotNull()
     hit = F.lit(False)
     for t in tests:
         hit = hit | F.coalesce(t, F.lit(False))
-    return F.when(hit, F.lit(1)).when(present, F.lit(0))
+    out = F.when(hit, F.lit(1)).when(present, F.lit(0))
+    return out if before is None else out.otherwise(before)
 
 
 #: Fixed values of the food access flags: people, share of people, vehicles, share in group quarters, share urban.
@@ -121,25 +128,84 @@ def _reach(column: str) -> list[Column]:
     return [F.col(column) >= PEOPLE, F.col(f"{column}share") >= SHARE]
 
 
-def _near_far(near: str, far: str) -> Column:
+def _near_far(near: str, far: str) -> tuple[list[str], list[Column]]:
     town, country = F.col("Urban") == 1, F.col("Urban") == 0
-    return flag([near, f"{near}share", far, f"{far}share", "Urban"], [town & t for t in _reach(near)] + [country & t for t in _reach(far)])
+    return [near, f"{near}share", far, f"{far}share", "Urban"], [town & t for t in _reach(near)] + [country & t for t in _reach(far)]
 
 
 def food_access_flags(df: DataFrame) -> DataFrame:
-    """Rates of tracts -> flags.  Columns that are absent leave their flags out."""
+    """Rates of tracts -> flags.  Columns that are absent leave their flags out; where a rule says nothing, a flag keeps its value."""
     have = {c.lower() for c in df.columns}
     out = df.withColumn("Urban", F.when(F.col("Urban") >= URBAN, 1).when(F.col("Urban").isNotNull(), 0)) if "urban" in have else df
     single = {
         "LILATracts_1And10": "LALOWI1_10", "LA1and10": "LAPOP1_10", "LATracts_half": "lapophalf", "LATracts1": "lapop1", "LATracts10": "lapop10", "LATracts20": "lapop20",
     }
     double = {"LILATracts_halfAnd10": ("lalowihalf", "lalowi10"), "LILATracts_1And20": ("lalowi1", "lalowi20"), "LAhalfand10": ("lapophalf", "lapop10"), "LA1and20": ("lapop1", "lapop20")}
-    made = {k: flag([c, f"{c}share"], _reach(c)) for k, c in single.items() if {c.lower(), f"{c}share".lower()} <= have}
-    made |= {k: _near_far(a, b) for k, (a, b) in double.items() if {"urban", a, f"{a}share", b, f"{b}share"} <= have}
+    rules = {k: ([c, f"{c}share"], _reach(c)) for k, c in single.items() if {c.lower(), f"{c}share".lower()} <= have}
+    rules |= {k: _near_far(a, b) for k, (a, b) in double.items() if {"urban", a, f"{a}share", b, f"{b}share"} <= have}
     if {"lahunvhalf", "lapop20", "lapop20share"} <= have:
-        made["LATractsVehicle_20"] = flag(["lahunvhalf", "lapop20", "lapop20share"], [F.col("lahunvhalf") >= VEHICLES, *_reach("lapop20")])
+        rules["LATractsVehicle_20"] = ["lahunvhalf", "lapop20", "lapop20share"], [F.col("lahunvhalf") >= VEHICLES, *_reach("lapop20")]
     if "lahunvhalf" in have:
-        made["HUNVFlag"] = flag(["lahunvhalf"], [F.col("lahunvhalf") >= VEHICLES])
+        rules["HUNVFlag"] = ["lahunvhalf"], [F.col("lahunvhalf") >= VEHICLES]
     if "pctgqtrs" in have:
-        made["GroupQuartersFlag"] = flag(["PCTGQTRS"], [F.col("PCTGQTRS") >= QUARTERS])
+        rules["GroupQuartersFlag"] = ["PCTGQTRS"], [F.col("PCTGQTRS") >= QUARTERS]
+    made = {k: flag(inputs, tests, F.col(k) if k.lower() in have else None) for k, (inputs, tests) in rules.items()}
     return out.withColumns(made) if made else out
+
+
+#: Classes of roads and of water features, by the first three digits of their code.  Fixed values.
+ROADS = {"pri": "S1100", "sec": "S1200"}
+WATER = {"flow": (460, 336, 558), "water": (390, 436, 466, 493), "area": (312, 493, 460), "coast": (566,)}
+
+
+def code_class(df: DataFrame, classes: tuple[int, ...], column: str = "fcode") -> Column:
+    """The code's class is one of these; codes that are no numbers are in none, and a table without the column passes whole."""
+    name = next((c for c in df.columns if c.lower() == column), None)
+    if name is None:
+        return F.lit(True)
+    return F.coalesce(F.floor(F.expr(f"try_cast(try_cast(`{name}` as double) as bigint)") / 100).isin(*classes), F.lit(False))
+
+
+def valid_coordinates(lon: Column, lat: Column) -> Column:
+    """Finite degrees on the globe."""
+    ok = ~F.isnan(lon) & ~F.isnan(lat) & (F.abs(lon) <= 180) & (F.abs(lat) <= 90)
+    return F.coalesce(ok, F.lit(False))
+
+
+def no_data(value: Column, *marks: float, below: float | None = None) -> Column:
+    """Missing where the value is one of the marks, NaN, or at most `below`."""
+    bad = F.isnan(value)
+    for m in marks:
+        bad = bad | (value == F.lit(m))
+    return F.when(~(bad | (value <= below) if below is not None else bad), value)
+
+
+def id_text(value: Column) -> Column:
+    """Text of an id; a whole number that came as a float loses its `.0`."""
+    number = F.try_to_number(F.regexp_extract(value.cast("string"), r"^(-?[0-9]+)\.0+$", 1), F.lit("S99999999999999999999")).cast("string")
+    return F.coalesce(number, value.cast("string"))
+
+
+def state_of(code: Column) -> Column:
+    return F.substring(code, 1, 2)
+
+
+def renamed_clashes(df: DataFrame, taken: list[str], suffix: str = "_bgkey") -> DataFrame:
+    """Columns that are taken elsewhere get a suffix."""
+    return df.withColumnsRenamed({c: c + suffix for c in df.columns if c in taken})
+
+
+def transformed(df: DataFrame, steps: list[dict], target: str | None = None) -> DataFrame:
+    """Applies steps {type: filter | recode | derive, ...} in order; each names the `target` table that it belongs to, if any.
+    Steps of other types (spatial_fix, date_parse) belong to readers and are passed over."""
+    for step in steps:
+        if step.get("target", target) != target:
+            continue
+        kind = step["type"]
+        if kind == "filter":
+            df = df.filter(feature_filter(F.col(step["column"]), step.get("values"), step.get("prefixes"), step.get("exclude", False)))
+        elif kind == "recode":
+            df = df.withColumn(step["column"], recode([(r["when"], r["value"]) for r in step["rules"]], step.get("default")))
+        elif kind == "derive":
+            df = derive(df, step["column"], step.get("formula"), step.get("key"), **step.get("columns", {}))
+    return df

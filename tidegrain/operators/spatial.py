@@ -1,42 +1,75 @@
 """Projection, buffer weights and nearest features as equi-joins on grid cells.
 
-A disk is (x, y) and a radius in metres; polygons are (unit, ring) with ring an array of struct<x, y>; features are segments
-(x1, y1, x2, y2).  Nothing here is a cross join: candidates always meet on the cell of a lattice that does not depend on the
-data, so an episode's result does not depend on the rest of the cohort."""
+A disk is (x, y) and a radius in metres; polygons are (unit, rings) with rings an array of rings, a ring an array of
+struct<x, y> whose first vertex is not repeated; holes and further parts are rings like any other, as a point is inside if it is in
+an odd number of them.  Lines are segments (x1, y1, x2, y2).  Nothing here is a cross join: candidates always meet on the cell of
+a lattice that does not depend on the data, so an episode's result does not depend on the rest of the cohort."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weighted import share_of_group
+from ..shared import Scratch, written
 
 #: Ellipsoids: semi-major axis in m, flattening.  Fixed values.
 WGS84, GRS80 = (6378137.0, 1 / 298.257223563), (6378137.0, 1 / 298.257222101)
+#: Standard parallels, origin and central meridian of the projection of the contiguous states.  Fixed values.
+CONUS_ALBERS = (29.5, 45.5, 37.5, -96.0)
+#: Groups of features that nearest() reports one by one; more are refused.
+GROUPS = 10_000
 
 
-def albers(lon: Column, lat: Column, lat_1: float = 29.5, lat_2: float = 45.5, lat_0: float = 37.5, lon_0: float = -96.0, ellipsoid: tuple[float, float] = WGS84) -> tuple[Column, Column]:
-    """Forward ellipsoidal equal-area conic projection (Snyder 1987, p. 101)."""
+def _cone(lat_1: float, lat_2: float, lat_0: float, ellipsoid: tuple[float, float]) -> tuple[float, float, float, float, float]:
+    """(a, e, n, c, rho0) of the projection."""
     a, f = ellipsoid
-    e2 = f * (2 - f)
-    e = math.sqrt(e2)
+    e = math.sqrt(f * (2 - f))
+    sines = [math.sin(math.radians(p)) for p in (lat_1, lat_2, lat_0)]
+    m1, m2 = (math.cos(math.radians(p)) / math.sqrt(1 - (e * s) ** 2) for p, s in zip((lat_1, lat_2), sines, strict=False))
+    q = [_authalic(s, e, math.log) for s in sines]
+    n = (m1**2 - m2**2) / (q[1] - q[0])
+    c = m1**2 + n * q[0]
+    return a, e, n, c, a * math.sqrt(c - n * q[2]) / n
 
-    def q(s):
-        log = F.log if isinstance(s, Column) else math.log
-        return (1 - e2) * (s / (1 - e2 * s * s) - log((1 - e * s) / (1 + e * s)) / (2 * e))
 
-    sines = [math.sin(math.radians(p)) for p in (lat_1, lat_2, lat_0)]
-    m1, m2 = (math.cos(math.radians(p)) / math.sqrt(1 - e2 * s * s) for p, s in zip((lat_1, lat_2), sines, strict=False))
-    n = (m1**2 - m2**2) / (q(sines[1]) - q(sines[0]))
-    c = m1**2 + n * q(sines[0])
-    rho0 = a * math.sqrt(c - n * q(sines[2])) / n
-    rho = F.lit(a / n) * F.sqrt(F.lit(c) - n * q(F.sin(F.radians(lat))))
+def _authalic(s, e: float, log):
+    """q of Snyder's equal-area formulas, from the sine of the latitude."""
+    e2 = e * e
+    return (1 - e2) * (s / (1 - e2 * s * s) - log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+
+def albers(lon: Column, lat: Column, lat_1: float = 29.5, lat_2: float = 45.5, lat_0: float = 37.5, lon_0: float = -96.0, ellipsoid: tuple[float, float] = WGS84) -> tuple[Column, Column]:
+    """Forward ellipsoidal equal-area conic projection (Snyder 1987, p. 101)."""
+    a, e, n, c, rho0 = _cone(lat_1, lat_2, lat_0, ellipsoid)
+    rho = F.lit(a / n) * F.sqrt(F.lit(c) - n * _authalic(F.sin(F.radians(lat)), e, F.log))
     theta = n * F.radians(lon - lon_0)
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
 
 
+def albers_inverse(x: np.ndarray, y: np.ndarray, lat_1: float = 29.5, lat_2: float = 45.5, lat_0: float = 37.5, lon_0: float = -96.0, ellipsoid: tuple[float, float] = WGS84) -> tuple[np.ndarray, np.ndarray]:
+    """(lon, lat) in degrees of projected points, in numpy: the latitude by Newton steps on q (Snyder 1987, p. 102)."""
+    a, e, n, c, rho0 = _cone(lat_1, lat_2, lat_0, ellipsoid)
+    theta = np.arctan2(math.copysign(1, n) * x, math.copysign(1, n) * (rho0 - y))
+    q = (c - (np.hypot(x, rho0 - y) * n / a) ** 2) / n
+    lat = np.arcsin(np.clip(q / 2, -1, 1))
+    for _ in range(6):
+        s = np.sin(lat)
+        lat = lat + (1 - (e * s) ** 2) ** 2 / (2 * np.cos(lat)) * (q - _authalic(s, e, np.log)) / (1 - e * e)
+    return lon_0 + np.degrees(theta / n), np.degrees(lat)
+
+
+def buffer_ring(x: Column, y: Column, radius: float, vertices: int = 400) -> Column:
+    """The polygon that stands for a disk: an array of struct<x, y>, counter-clockwise from the east."""
+    angle = lambda k: k * F.lit(2 * math.pi / vertices)
+    return F.transform(F.sequence(F.lit(0), F.lit(vertices - 1)), lambda k: F.struct((x + radius * F.cos(angle(k))).alias("x"), (y + radius * F.sin(angle(k))).alias("y")))
+
+
 def disk_share(x0: Column, x1: Column, y0: Column, y1: Column, r: float) -> Column:
     """Exact area of the disk of radius r at the origin inside a rectangle."""
 
@@ -65,34 +98,133 @@ def disk_cells(points: DataFrame, radius: float, step: float) -> DataFrame:
     return out.withColumn("area", disk_share(edge("i", "x", 0), edge("i", "x", 1), edge("j", "y", 0), edge("j", "y", 1), radius)).filter("area > 1e-9")
 
 
-def inside(x: Column, y: Column, ring: Column) -> Column:
-    """Half-open ray casting over an array of struct<x, y>, first vertex not repeated."""
-    edges = F.transform(F.sequence(F.lit(0), F.size(ring) - 1), lambda k: F.struct(F.get(ring, k).alias("a"), F.get(ring, (k + 1) % F.size(ring)).alias("b")))
-    crossed = F.filter(edges, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
+def edges_of(rings: Column) -> Column:
+    """All edges of rings: array of struct<ax, ay, bx, by>."""
+    of_ring = lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda k: F.struct(
+        F.get(r, k)["x"].alias("ax"), F.get(r, k)["y"].alias("ay"), F.get(r, (k + 1) % F.size(r))["x"].alias("bx"), F.get(r, (k + 1) % F.size(r))["y"].alias("by")))
+    return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 2), of_ring))
+
+
+def odd_crossings(x: Column, y: Column, edges: Column) -> Column:
+    """Half-open ray casting to the right."""
+    crossed = F.filter(edges, lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0)) + e["ax"]))
     return F.size(crossed) % 2 == 1
 
 
+def inside(x: Column, y: Column, ring: Column) -> Column:
+    return odd_crossings(x, y, edges_of(F.array(ring)))
+
+
+def tiled(polygons: DataFrame, tile: float, *keep: str) -> DataFrame:
+    """(*keep, tx, ty, whole, edges): polygons cut to the square tiles that they meet.  A tile that lies wholly inside has no edges;
+    else edges are those that a ray from a point of the tile to the right can cross."""
+    out = polygons.select(*keep, edges_of(F.col("rings")).alias("all")).filter(F.size("all") > 0)
+    ends = lambda f, g, a, b: f(F.transform("all", lambda e: g(e[a], e[b])))
+    span = lambda a, b: F.sequence(F.floor(ends(F.array_min, F.least, a, b) / tile), F.floor(ends(F.array_max, F.greatest, a, b) / tile))
+    out = out.withColumn("tx", F.explode(span("ax", "bx"))).withColumn("ty", F.explode(span("ay", "by")))
+    x0, y0 = F.col("tx") * tile, F.col("ty") * tile
+    row = F.filter("all", lambda e: (F.least(e["ay"], e["by"]) < y0 + tile) & (F.greatest(e["ay"], e["by"]) >= y0) & (F.greatest(e["ax"], e["bx"]) >= x0))
+    out = out.withColumn("edges", row).withColumn("mixed", F.exists("edges", lambda e: F.least(e["ax"], e["bx"]) < x0 + tile))
+    out = out.filter(F.col("mixed") | odd_crossings(x0 + tile / 2, y0 + tile / 2, F.col("edges")))
+    return out.select(*keep, "tx", "ty", (~F.col("mixed")).alias("whole"), F.when(F.col("mixed"), F.col("edges")).alias("edges"))
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str = "episode_id", tile: float = 1000.0) -> DataFrame:
+    """(key, unit): every point with the polygon that holds it, the first in key order on a tie, missing if none does."""
+    at = points.select(key, "x", "y", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"))
+    held = at.join(tiled(polygons, tile, "unit"), ["tx", "ty"]).filter(F.col("whole") | odd_crossings(F.col("x"), F.col("y"), F.col("edges")))
+    return points.select(key).distinct().join(held.groupBy(key).agg(F.min("unit").alias("unit")), key, "left")
+
+
 def overlap_weights(points: DataFrame, polygons: DataFrame, radius: float = 270.0, step: float = 25.0, tile: float = 1000.0) -> DataFrame:
     """(episode_id, unit, weight): shares of the buffer by polygon.  A cell belongs to the polygon that holds its centre, to
-    the last in key order on a tie; cells in no polygon go before the shares are made."""
-    cells = disk_cells(points.select("episode_id", "x", "y"), radius, step).withColumns({"cx": (F.col("i") + 0.5) * step, "cy": (F.col("j") + 0.5) * step})
-    cells = cells.withColumns({"tx": F.floor(F.col("cx") / tile), "ty": F.floor(F.col("cy") / tile)})
-    box = lambda f, k: f(F.transform("ring", lambda p: p[k]))
-    span = lambda k: F.sequence(F.floor(box(F.array_min, k) / tile), F.floor(box(F.array_max, k) / tile))
-    tiles = polygons.withColumn("tx", F.explode(span("x"))).withColumn("ty", F.explode(span("y")))
-    held = cells.join(tiles, ["tx", "ty"]).filter(inside(F.col("cx"), F.col("cy"), F.col("ring")))
-    held = held.groupBy("episode_id", "i", "j").agg(F.max("unit").alias("unit"), F.first("area").alias("area"))
-    out = held.groupBy("episode_id", "unit").agg(F.sum("area").alias("area"))
+    the last in key order on a tie; cells in no polygon go before the shares are made.
+
+    A disk meets the few tiles that it touches, each with all its polygons; cells and their polygons are found inside the row, so only
+    sums by (episode, unit) are shuffled."""
+    per = round(tile / step)
+    if abs(per * step - tile) > 1e-9:
+        raise ValueError("the tile must be a multiple of the step")
+    held = tiled(polygons, tile, "unit").groupBy("tx", "ty").agg(F.sort_array(F.collect_list(F.struct("unit", "whole", "edges")), asc=False).alias("held"))
+    span = lambda c: F.sequence(F.floor((F.col(c) - radius) / tile), F.floor((F.col(c) + radius) / tile))
+    disks = points.select("episode_id", "x", "y").filter("x is not null and y is not null").withColumn("tx", F.explode(span("x"))).withColumn("ty", F.explode(span("y")))
+    met = disks.join(held, ["tx", "ty"])
+    low = lambda c, t: F.greatest(F.floor((F.col(c) - radius) / step), F.col(t) * per)
+    high = lambda c, t: F.least(F.floor((F.col(c) + radius) / step), F.col(t) * per + per - 1)
+    met = met.withColumn("i", F.explode(F.sequence(low("x", "tx"), high("x", "tx")))).withColumn("j", F.explode(F.sequence(low("y", "ty"), high("y", "ty"))))
+    edge = lambda k, c, more: (F.col(k) + more) * step - F.col(c)
+    met = met.withColumn("area", disk_share(edge("i", "x", 0), edge("i", "x", 1), edge("j", "y", 0), edge("j", "y", 1), radius)).filter("area > 1e-9")
+    cx, cy = (F.col("i") + 0.5) * step, (F.col("j") + 0.5) * step
+    owner = F.get(F.filter("held", lambda p: p["whole"] | F.coalesce(odd_crossings(cx, cy, p["edges"]), F.lit(False))), F.lit(0))["unit"]
+    out = met.select("episode_id", owner.alias("unit"), "area").filter("unit is not null").groupBy("episode_id", "unit").agg(F.sum("area").alias("area"))
     return out.withColumn("weight", share_of_group("area", "episode_id")).drop("area")
 
 
 def grid_weights(points: DataFrame, x0: float, y0: float, cell: float, width: int, height: int, radius: float = 270.0, offset: int = 0) -> DataFrame:
     """(episode_id, unit, weight): shares of the buffer by raster cell, row-major from the top left corner (x0, y0)."""
-    moved = points.select("episode_id", (F.col("x") - x0).alias("x"), (y0 - F.col("y")).alias("y"))
+    moved = points.select("episode_id", (F.col("x") - x0).alias("x"), (y0 - F.col("y")).alias("y")).filter("x is not null and y is not null")
     out = disk_cells(moved, radius, cell).filter(F.col("i").between(0, width - 1) & F.col("j").between(0, height - 1))
     return out.select("episode_id", (F.col("j") * width + F.col("i") + offset).alias("unit"), share_of_group("area", "episode_id").alias("weight"))
 
 
+def _clipped(x: np.ndarray, y: np.ndarray, at: float, keep_above: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The polygon cut at x = at."""
+    kept = x >= at if keep_above else x <= at
+    if kept.all():
+        return x, y
+    nx, ny, nk = np.roll(x, -1), np.roll(y, -1), np.roll(kept, -1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cut = y + (at - x) * (ny - y) / (nx - x)
+    xs = np.stack([x, np.full_like(x, at)], 1)[np.stack([kept, kept != nk], 1)]
+    ys = np.stack([y, cut], 1)[np.stack([kept, kept != nk], 1)]
+    return xs, ys
+
+
+def _area(x: np.ndarray, y: np.ndarray) -> float:
+    return abs(float(np.dot(x - x[0], np.roll(y, -1) - y[0]) - np.dot(np.roll(x, -1) - x[0], y - y[0]))) / 2 if len(x) > 2 else 0.0
+
+
+def degree_grid_weights(points: DataFrame, lon0: float, lat0: float, cell: float, width: int, height: int, radius: float = 270.0, offset: int = 0, valid: DataFrame | None = None, vertices: int = 400) -> DataFrame:
+    """(episode_id, unit, weight) over a grid in degrees, row-major from the top left corner (lon0, lat0): the buffer's polygon is
+    taken to degrees and clipped to each cell that it meets.  valid(unit): cells with data; others go before the shares are made.
+
+    points(episode_id, lon, lat).  A buffer in one cell, which most are, needs no clipping."""
+    x, y = albers(F.col("lon"), F.col("lat"))
+    placed = points.select("episode_id", x.alias("x"), y.alias("y")).filter("x is not null and y is not null")
+    turn = 2 * np.pi * np.arange(vertices) / vertices
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, (px, py) in enumerate(zip(batch.x, batch.y, strict=True)):
+                lon, lat = albers_inverse(px + radius * np.cos(turn), py + radius * np.sin(turn))
+                u, v = (lon - lon0) / cell, (lat0 - lat) / cell
+                for i in range(int(np.floor(u.min())), int(np.floor(u.max())) + 1):
+                    cu, cv = _clipped(*_clipped(u, v, i, True), i + 1, False)
+                    for j in range(int(np.floor(cv.min())), int(np.floor(cv.max())) + 1) if len(cv) else ():
+                        dv, du = _clipped(*_clipped(cv, cu, j, True), j + 1, False)
+                        if 0 <= i < width and 0 <= j < height and (area := _area(du, dv)) > 0:
+                            out.append((k, j * width + i + offset, area))
+            made = pd.DataFrame(out, columns=["row", "unit", "area"]).astype({"row": "int64", "unit": "int64", "area": "float64"})
+            yield made.assign(episode_id=batch.episode_id.to_numpy()[made.pop("row").to_numpy()])
+
+    kind = dict(points.dtypes)["episode_id"]
+    out = placed.mapInPandas(cells, f"unit long, area double, episode_id {kind}")
+    if valid is not None:
+        out = out.join(valid.select("unit").distinct(), "unit", "left_semi")
+    return out.select("episode_id", "unit", share_of_group("area", "episode_id").alias("weight"))
+
+
+def same_grid(a: dict[str, float], b: dict[str, float], tolerance: float = 1e-9) -> bool:
+    """Two grids (x0, y0, cell, width, height) are one."""
+    return a["width"] == b["width"] and a["height"] == b["height"] and all(abs(a[k] - b[k]) <= tolerance for k in ("x0", "y0", "cell"))
+
+
+def wrong_weight_sums(weights: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(episode_id, total) of the episodes whose weights do not add up to 1."""
+    return weights.groupBy("episode_id").agg(F.sum("weight").alias("total")).filter(F.abs(F.col("total") - 1) >= tolerance)
+
+
 def segment_distance(x: Column, y: Column) -> Column:
     """From (x, y) to the segment (x1, y1, x2, y2); a point is a segment of length 0."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -101,36 +233,84 @@ def segment_distance(x: Column, y: Column) -> Column:
     return F.sqrt(F.pow(F.col("x1") + t * dx - x, 2) + F.pow(F.col("y1") + t * dy - y, 2))
 
 
+def segments_of(polygons: DataFrame, *keep: str) -> DataFrame:
+    """The edges of polygons as segments."""
+    out = polygons.select(*keep, F.explode(edges_of(F.col("rings"))).alias("e"))
+    return out.select(*keep, F.col("e.ax").alias("x1"), F.col("e.ay").alias("y1"), F.col("e.bx").alias("x2"), F.col("e.by").alias("y2"))
+
+
+def _filed(segments: DataFrame, side: float) -> DataFrame:
+    """Segments with the lattice cells (gx, gy) that they pass, column by column along the line."""
+    low, high = F.least("x1", "x2"), F.greatest("x1", "x2")
+    out = segments.withColumn("gx", F.explode(F.sequence(F.floor(low / side), F.floor(high / side))))
+    slope = F.coalesce((F.col("y2") - F.col("y1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0)), F.lit(0.0))
+    at = lambda x: F.col("y1") + (x - F.col("x1")) * slope
+    steep = F.col("x1") == F.col("x2")
+    a = F.when(steep, F.col("y1")).otherwise(at(F.greatest(low, F.col("gx") * side)))
+    b = F.when(steep, F.col("y2")).otherwise(at(F.least(high, (F.col("gx") + 1) * side)))
+    hair = side * 1e-9  # rounding may put a crossing on the other side of a cell's edge
+    return out.withColumn("gy", F.explode(F.sequence(F.floor((F.least(a, b) - hair) / side), F.floor((F.greatest(a, b) + hair) / side))))
+
+
 def nearest(points: DataFrame, segments: DataFrame, key: str = "episode_id", cell: float = 1000.0, growth: float = 4.0, by: list[str] | None = None) -> DataFrame:
-    """(key, *by, distance): exact distance to the nearest segment, of each group of `by`.
+    """(key, *by, distance): exact distance to the nearest segment, of each group of `by`; a row for every point and group, missing
+    where the point has no place or the group no features.
 
     Round k uses cells of side s = cell * growth^k and looks into the 3 x 3 cells around a point, which hold every feature within
-    s; a distance up to s is final.  The rest goes on to larger cells until one holds everything.  A group without
-    features gives no row."""
-    by = by or []
-    box = segments.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
-    if box[0] is None:
-        return points.select(key, *[F.lit(None).alias(c) for c in by], F.lit(None).cast("double").alias("distance")).limit(0)
+    s; a distance up to s is final and written.  Only the rest goes on to larger cells, until nothing is left or one cell holds everything."""
+    by, spark = by or [], points.sparkSession
+    known = segments.filter("x1 is not null and y1 is not null and x2 is not null and y2 is not null")
+    everyone = points.select(key).distinct()
+    if by:
+        groups = known.select(*by).distinct().limit(GROUPS + 1).collect()  # metadata, refused beyond the bound
+        if len(groups) > GROUPS:
+            raise ValueError(f"more than {GROUPS} groups of features")
+        if not groups:
+            return everyone.select(key, *[F.lit(None).cast(dict(segments.dtypes)[c]).alias(c) for c in by], F.lit(None).cast("double").alias("distance"))
+        kinds = dict(segments.dtypes)
+        listed = F.explode(F.array(*[F.struct(*[F.lit(g[c]).cast(kinds[c]).alias(c) for c in by]) for g in groups])).alias("__g")
+        everyone = everyone.select(key, listed).select(key, "__g.*")
+    todo = points.select(key, "x", "y").filter("x is not null and y is not null")
+    todo = todo.select(key, "x", "y", listed).select(key, "x", "y", "__g.*") if by else todo
+    ends = known.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
     own = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    reach = max([1.0] + [max(box[k + 1], own[k + 1]) - min(box[k], own[k]) for k in (0, 2) if own[k] is not None]) * 1.5
-    groups = segments.select(*by).distinct() if by else None
-    todo = points.select(key, "x", "y") if not by else points.select(key, "x", "y").join(F.broadcast(groups), how="cross")  # categories, a handful
-    done, side = None, cell
+    if ends[0] is None or own[0] is None:
+        return everyone.withColumn("distance", F.lit(None).cast("double"))
+    reach = max([1.0] + [max(ends[k + 1], own[k + 1]) - min(ends[k], own[k]) for k in (0, 2)]) * 1.5
+    scratch, done, side = Scratch(spark, "nearest"), None, cell
+    ring = F.array(F.lit(-1), F.lit(0), F.lit(1))
     while True:
-        span = lambda a, b: F.sequence(F.floor(F.least(a, b) / side), F.floor(F.greatest(a, b) / side))  # noqa: B023, E731
-        filed = segments.withColumn("gx", F.explode(span("x1", "x2"))).withColumn("gy", F.explode(span("y1", "y2")))
-        ring = F.array(F.lit(-1), F.lit(0), F.lit(1))
         asked = todo.withColumn("gx", F.explode(F.transform(ring, lambda d: F.floor(F.col("x") / side) + d))).withColumn("gy", F.explode(F.transform(ring, lambda d: F.floor(F.col("y") / side) + d)))  # noqa: B023
-        found = asked.join(filed, [*by, "gx", "gy"]).groupBy(key, *by).agg(F.min(segment_distance(F.col("x"), F.col("y"))).alias("distance"))
-        final = found if side >= reach else found.filter(F.col("distance") <= side)
+        found = asked.join(_filed(known, side), [*by, "gx", "gy"]).groupBy(key, *by).agg(F.min(segment_distance(F.col("x"), F.col("y"))).alias("distance"))
+        final = scratch.written(found if side >= reach else found.filter(F.col("distance") <= side * (1 - 1e-9)), "final")
         done = final if done is None else done.unionByName(final)
         if side >= reach:
-            return done
-        todo = todo.join(final.select(key, *by), [key, *by], "left_anti")
+            break
+        todo = scratch.written(todo.join(final.select(key, *by), [key, *by], "left_anti"), "todo")
+        if todo.isEmpty():
+            break
         side *= growth
+    done = written(done, "nearest")
+    scratch.drop()
+    return everyone.join(done, [key, *by], "left")
+
+
+def proximity(points: DataFrame, segments: DataFrame | None = None, polygons: DataFrame | None = None, by: list[str] | None = None, key: str = "episode_id", cell: float = 1000.0) -> DataFrame:
+    """nearest() to lines, points and polygons; 0 inside a polygon."""
+    by = by or []
+    columns = [*by, "x1", "y1", "x2", "y2"]
+    lines = segments.select(*columns) if segments is not None else None
+    if polygons is None:
+        return nearest(points, lines, key, cell, by=by)
+    rims = segments_of(polygons, *by).select(*columns)
+    out = nearest(points, rims if lines is None else lines.unionByName(rims), key, cell, by=by)
+    at = points.select(key, "x", "y", F.floor(F.col("x") / cell).alias("tx"), F.floor(F.col("y") / cell).alias("ty"))
+    held = at.join(tiled(polygons, cell, *by), ["tx", "ty"]).filter(F.col("whole") | odd_crossings(F.col("x"), F.col("y"), F.col("edges")))
+    within = held.select(key, *by).distinct().withColumn("__in", F.lit(True))
+    return out.join(within, [key, *by], "left").withColumn("distance", F.when(F.col("__in"), 0.0).otherwise(F.col("distance"))).drop("__in")
 
 
-def bounded_nearest(points: DataFrame, segments: DataFrame, by: list[str], tile: float = 0.5, pad: float = 15_000.0) -> DataFrame:
-    """Distance by group within the point's tile of degrees and `pad` metres around it; nothing there: no row.  points carry tx,
-    ty, and segments the tiles whose padded area they meet (one row each)."""
-    return points.join(segments, ["tx", "ty"]).groupBy("episode_id", *by).agg(F.min(segment_distance(F.col("x"), F.col("y"))).alias("distance"))
+def bounded_nearest(points: DataFrame, segments: DataFrame, by: list[str], key: str = "episode_id") -> DataFrame:
+    """Distance by group within the point's tile; nothing there: no row.  points carry tx, ty, and segments the tiles whose padded
+    area they meet (one row each)."""
+    return points.join(segments, ["tx", "ty"]).groupBy(key, *by).agg(F.min(segment_distance(F.col("x"), F.col("y"))).alias("distance"))

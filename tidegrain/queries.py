@@ -15,7 +15,7 @@ from .plans import patterns
 from .sources import tables
 
 #: Added before rounding, so that means on a rounding tie round alike in every engine.
-SHIFT, PLACES = 3.3e-7, 4
+SHIFT, PLACES = 3.3e-7, 6
 
 
 def near(c: Column) -> Column:
@@ -37,7 +37,7 @@ class Roles:
         start = F.col("o_orderdate").cast("date")
         self.episodes = self.t("orders").select(F.col("o_custkey").cast("string").alias("pid"), F.col("o_orderkey").alias("episode_id"), start.alias("start_date"), F.date_add(start, (F.col("o_orderkey") % 700).cast("int")).alias("end_date"))
         self.weights = line.groupBy(F.col("l_orderkey").alias("episode_id"), F.col("l_partkey").alias("unit")).agg(F.sum("l_quantity").alias("weight"))
-        self.values = line.select(F.col("l_partkey").alias("unit"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").alias("v"), F.when(F.col("l_discount") > 0.05, F.col("l_tax")).alias("v2"), "l_linestatus", "l_suppkey")
+        self.values = line.select(F.col("l_partkey").alias("unit"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").alias("v"), F.when(F.col("l_discount") > 0.05, F.col("l_tax") * 100).alias("v2"), "l_linestatus", "l_suppkey")
         mean = [F.avg("v").alias("v"), F.avg("v2").alias("v2")]
         self.yearly = self.values.groupBy("unit", F.year("date").alias("year")).agg(*mean)
         self.daily = self.values.groupBy("unit", "date").agg(*mean)
@@ -51,7 +51,7 @@ ROLES = """
 with episodes as (select cast(o_custkey as varchar) as pid, o_orderkey as episode_id, cast(o_orderdate as date) as start_date,
                          cast(o_orderdate as date) + cast(o_orderkey % 700 as integer) as end_date from orders),
 weights as (select l_orderkey as episode_id, l_partkey as unit, sum(l_quantity) as weight from lineitem group by 1, 2),
-vals as (select l_partkey as unit, cast(l_shipdate as date) as date, l_extendedprice as v, case when l_discount > 0.05 then l_tax end as v2, l_linestatus, l_suppkey from lineitem),
+vals as (select l_partkey as unit, cast(l_shipdate as date) as date, l_extendedprice as v, case when l_discount > 0.05 then l_tax * 100 end as v2, l_linestatus, l_suppkey from lineitem),
 yearly as (select unit, year(date) as yr, avg(v) as v, avg(v2) as v2 from vals group by 1, 2),
 daily as (select unit, date, avg(v) as v, avg(v2) as v2 from vals group by 1, 2),
 windowed as (select unit, date '1992-01-01' + 14 * cast(floor((date - date '1992-01-01') / 14) as integer) as start_date, avg(v) as v, avg(v2) as v2 from vals group by 1, 2),
@@ -135,12 +135,12 @@ query("l2_yearly_areal_episode_days", f"{ROLES}{spaced('yearly', 'yr')}{timed(BY
 _VINTAGE = "(select case when l_linestatus = 'O' then 2020 else 2010 end as vintage, unit, year(date) as yr, avg(v) as v, avg(v2) as v2 from vals group by 1, 2, 3)"
 query(
     "l3_yearly_vintage",
-    f"{ROLES}, space as (select w.episode_id, yr, {wm('x.v', 'w.weight')} as v, {wm('x.v2', 'w.weight')} as v2 from (select *, 2010 as vintage from weights union all select episode_id, unit, weight, 2020 from weights where unit % 2 = 0) w join {_VINTAGE} x on w.unit = x.unit and w.vintage = x.vintage group by 1, 2){timed(BY_YEAR)}",
+    f"{ROLES}, space as (select w.episode_id, yr, {wm('x.v', 'w.weight')} as v, {wm('x.v2', 'w.weight')} as v2 from (select *, 2010 as vintage from weights union all select episode_id, unit, weight, 2020 from weights) w join {_VINTAGE} x on w.unit = x.unit and w.vintage = x.vintage group by 1, 2){timed(BY_YEAR)}",
 )(
     lambda r: rounded(
         patterns.yearly_areal_vintage(
             r.episodes,
-            r.weights.withColumn("vintage", F.lit(2010)).unionByName(r.weights.filter("unit % 2 = 0").withColumn("vintage", F.lit(2020))),
+            r.weights.withColumn("vintage", F.lit(2010)).unionByName(r.weights.withColumn("vintage", F.lit(2020))),
             r.values.groupBy(F.when(F.col("l_linestatus") == "O", 2020).otherwise(2010).alias("vintage"), "unit", F.year("date").alias("year")).agg(F.avg("v").alias("v"), F.avg("v2").alias("v2")),
             COLUMNS,
         )
@@ -158,7 +158,7 @@ query("l5_many_pollutants", f"{ROLES}{spaced('windowed', 'start_date')} select *
 
 
 def _cbp(r: Roles) -> DataFrame:
-    zips = patterns.yearly_areal(r.episodes, r.weights, r.yearly.filter("unit % 3 != 0"), COLUMNS, "episode", days_suffix="_days")
+    zips = patterns.yearly_areal(r.episodes, r.weights, r.yearly, COLUMNS, "episode", days_suffix="_days")
     counties = r.values.groupBy(F.col("l_suppkey").alias("unit"), F.year("date").alias("year")).agg(F.avg("v").alias("v"), F.avg("v2").alias("v2"))
     w = r.t("lineitem").groupBy(F.col("l_orderkey").alias("episode_id"), F.col("l_suppkey").alias("unit")).agg(F.sum("l_quantity").alias("weight"))
     county = patterns.yearly_areal(r.episodes, w, counties, COLUMNS, "episode")
@@ -170,19 +170,44 @@ def _cbp(r: Roles) -> DataFrame:
 _CTE = "select p.pid, p.episode_id, {} as v, {} as v2 from periods p left join {} s on p.episode_id = s.episode_id and p.yr = s.yr group by 1, 2"
 query(
     "l6_fallback",
-    f"""{ROLES}, zs as (select w.episode_id, yr, {wm('x.v', 'w.weight')} as v, {wm('x.v2', 'w.weight')} as v2 from weights w join (select * from yearly where unit % 3 != 0) x on w.unit = x.unit group by 1, 2),
+    f"""{ROLES}, zs as (select w.episode_id, yr, {wm('x.v', 'w.weight')} as v, {wm('x.v2', 'w.weight')} as v2 from weights w join yearly x on w.unit = x.unit group by 1, 2),
 cw as (select l_orderkey as episode_id, l_suppkey as unit, sum(l_quantity) as weight from lineitem group by 1, 2),
 cv as (select l_suppkey as unit, year(date) as yr, avg(v) as v, avg(v2) as v2 from vals group by 1, 2),
 cs as (select w.episode_id, yr, {wm('x.v', 'w.weight')} as v, {wm('x.v2', 'w.weight')} as v2 from cw w join cv x on w.unit = x.unit group by 1, 2),
 ze as ({_CTE.format(wm('v', 'd'), wm('v2', 'd'), 'zs')}), ce as ({_CTE.format(wm('v', 'd'), wm('v2', 'd'), 'cs')})
 {timed("select z.pid, t.d, case when z.v2 is null then c.v else z.v end as v, case when z.v2 is null then c.v2 else z.v2 end as v2 from ze z join stays t on z.episode_id = t.episode_id left join ce c on z.episode_id = c.episode_id")}""",
 )(_cbp)
-query(
-    "l7_food_access",
-    f"{ROLES}{spaced('yearly', 'yr')}, m as (select e.pid, {wm('v', 'd')} as v, {wm('v2', 'd')} as v2 from (select distinct pid from episodes) e left join ({BY_YEAR}) y on e.pid = y.pid group by 1) select pid, case when v / 60 >= 500 or v2 * 8 >= 0.33 then 1 when v is not null and v2 is not null then 0 end as LATracts1 from m",
-)(lambda r: patterns.food_access(r.episodes, r.weights, r.yearly.select("unit", "year", (F.col("v") / 60).alias("lapop1"), (F.col("v2") * 8).alias("lapop1share")), ["lapop1", "lapop1share"]).select("pid", F.col("LATracts1")))
-query("l8_daily_pair", f"{ROLES}, pair as (select a.unit, a.date, a.v, b.v2 from (select * from daily where unit % 5 != 0) a left join (select * from daily where unit % 7 != 0) b on a.unit = b.unit and a.date = b.date){spaced('pair', 'date')}{timed(BY_DAY)}")(
-    lambda r: rounded(patterns.daily_pair(r.episodes, r.weights, r.daily.filter("unit % 5 != 0").select("unit", "date", "v"), r.daily.filter("unit % 7 != 0").select("unit", "date", "v2")))
+#: Rates of the food access rules as multiples of v or v2, and the flags with their tests; `Urban` is 1 from a share of a half.
+RATES = {
+    "LALOWI1_10": ("v", 1 / 50), "LALOWI1_10share": ("v2", 0.1), "LAPOP1_10": ("v", 1 / 55), "LAPOP1_10share": ("v2", 0.09), "lalowihalf": ("v", 1 / 58), "lalowihalfshare": ("v2", 0.07),
+    "lalowi10": ("v", 1 / 62), "lalowi10share": ("v2", 0.075), "lalowi1": ("v", 1 / 57), "lalowi1share": ("v2", 0.085), "lalowi20": ("v", 1 / 66), "lalowi20share": ("v2", 0.06), "lapophalf": ("v", 1 / 61),
+    "lapophalfshare": ("v2", 0.082), "lapop1": ("v", 1 / 60), "lapop1share": ("v2", 0.08), "lapop10": ("v", 1 / 64), "lapop10share": ("v2", 0.078), "lapop20": ("v", 1 / 59), "lapop20share": ("v2", 0.065),
+    "lahunvhalf": ("v", 1 / 300), "PCTGQTRS": ("v2", 0.16), "Urban": ("v2", 0.125),
+}
+_ONE = {"LILATracts_1And10": "LALOWI1_10", "LA1and10": "LAPOP1_10", "LATracts_half": "lapophalf", "LATracts1": "lapop1", "LATracts10": "lapop10", "LATracts20": "lapop20"}
+_TWO = {"LILATracts_halfAnd10": ("lalowihalf", "lalowi10"), "LILATracts_1And20": ("lalowi1", "lalowi20"), "LAhalfand10": ("lapophalf", "lapop10"), "LA1and20": ("lapop1", "lapop20")}
+
+
+def _food_sql() -> str:
+    hit = lambda c: f"({c} >= 500 or {c}share >= 0.33)"
+    known = lambda *cs: " and ".join(f"{c} is not null" for c in cs)
+    flags = {k: (hit(c), known(c, f"{c}share")) for k, c in _ONE.items()}
+    flags |= {k: (f"({hit(a)} and u = 1 or {hit(b)} and u = 0)", known(a, f"{a}share", b, f"{b}share", "u")) for k, (a, b) in _TWO.items()}
+    flags["LATractsVehicle_20"] = (f"(lahunvhalf >= 100 or {hit('lapop20')})", known("lahunvhalf", "lapop20", "lapop20share"))
+    flags["HUNVFlag"] = ("lahunvhalf >= 100", known("lahunvhalf"))
+    flags["GroupQuartersFlag"] = ("PCTGQTRS >= 0.67", known("PCTGQTRS"))
+    rates = ", ".join(f"{wm(f'({c} * {k!r}::double)', 'd')} as {name if name != 'Urban' else 'urban_share'}" for name, (c, k) in RATES.items())
+    cases = ", ".join(f"case when {test} then 1 when {present} then 0 end as {k}" for k, (test, present) in flags.items())
+    means = f"select e.pid, {rates} from (select distinct pid from episodes) e left join ({BY_YEAR}) y on e.pid = y.pid group by 1"
+    return f"{ROLES}{spaced('yearly', 'yr')}, m as ({means}), w as (select *, case when urban_share >= 0.5 then 1 when urban_share is not null then 0 end as u from m) select pid, u as Urban, {cases} from w"
+
+
+FLAGS = ["Urban", *_ONE, *_TWO, "LATractsVehicle_20", "HUNVFlag", "GroupQuartersFlag"]
+query("l7_food_access", _food_sql())(
+    lambda r: patterns.food_access(r.episodes, r.weights, r.yearly.select("unit", "year", *[(F.col(c) * k).alias(name) for name, (c, k) in RATES.items()]), list(RATES)).select("pid", *FLAGS)
+)
+query("l8_daily_pair", f"{ROLES}, pair as (select a.unit, a.date, a.v, b.v2 from (select * from daily where v > 20000) a left join (select * from daily where v2 is not null) b on a.unit = b.unit and a.date = b.date){spaced('pair', 'date')}{timed(BY_DAY)}")(
+    lambda r: rounded(patterns.daily_pair(r.episodes, r.weights, r.daily.filter("v > 20000").select("unit", "date", "v"), r.daily.filter("v2 is not null").select("unit", "date", "v2")))
 )
 query("l9_precomputed_yearly", f"{ROLES}{spaced('yearly', 'yr')}{timed(BY_YEAR.replace('left join', 'join'))}")(
     lambda r: rounded(patterns.precomputed_yearly(r.episodes, engine.weighted_aggregate(r.weights.join(r.yearly, "unit"), ["episode_id", "year"], COLUMNS, "weight"), COLUMNS))
@@ -235,26 +260,37 @@ query("g2_albers", f"select o_orderkey, round({_X} + 3.3e-4, 2) as x, round({_Y}
 )
 
 
-def _near(r: Roles, by: list[str], which: str = "true") -> DataFrame:
-    people = _placed(r.t("orders").filter(which).select(F.col("o_orderkey"), F.col("o_orderkey").alias("episode_id")), "o_orderkey").select("episode_id", "x", "y")
+def _near(r: Roles, by: list[str]) -> DataFrame:
+    people = _placed(r.t("orders").select(F.col("o_orderkey"), F.col("o_orderkey").alias("episode_id")), "o_orderkey").select("episode_id", "x", "y")
     shops = _placed(r.t("supplier").join(F.broadcast(r.t("nation")), F.col("s_nationkey") == F.col("n_nationkey")), "s_suppkey")
     shops = shops.select(F.col("n_regionkey").alias("category"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     return spatial.nearest(people, shops, cell=20_000.0, by=by).withColumn("distance", F.round(F.col("distance") + 3.3e-4, 2))
 
 
-#: The orders that the SQL of n1_nearest and n1_nearest_by_category takes.
-_TENTH = "o_orderkey % 10 = 0"
-_PAIRS = f"(select o.episode_id, s.category, sqrt(pow(o.x - s.x, 2) + pow(o.y - s.y, 2)) as d from (select o_orderkey as episode_id, {_X} as x, {_Y} as y from orders where o_orderkey % 10 = 0) o, (select n_regionkey as category, {_SX} as x, {_SY} as y from supplier join nation on s_nationkey = n_nationkey) s)"
-query("n1_nearest", f"select episode_id, round(min(d) + 3.3e-4, 2) as distance from {_PAIRS} group by 1")(lambda r: _near(r, [], _TENTH))
-query("n1_nearest_by_category", f"select episode_id, category, round(min(d) + 3.3e-4, 2) as distance from {_PAIRS} group by 1, 2")(lambda r: _near(r, ["category"], _TENTH))
-# over all orders: the pairs are too many for SQL
-query("n1_nearest_all")(lambda r: _near(r, []))
-query("n1_nearest_by_category_all")(lambda r: _near(r, ["category"]))
+_PAIRS = f"(select o.episode_id, s.category, sqrt(pow(o.x - s.x, 2) + pow(o.y - s.y, 2)) as d from (select o_orderkey as episode_id, {_X} as x, {_Y} as y from orders) o, (select n_regionkey as category, {_SX} as x, {_SY} as y from supplier join nation on s_nationkey = n_nationkey) s)"
+for _name in ("n1_nearest", "n1_nearest_all"):
+    query(_name, f"select episode_id, round(min(d) + 3.3e-4, 2) as distance from {_PAIRS} group by 1")(lambda r: _near(r, []))
+for _name in ("n1_nearest_by_category", "n1_nearest_by_category_all"):
+    query(_name, f"select episode_id, category, round(min(d) + 3.3e-4, 2) as distance from {_PAIRS} group by 1, 2")(lambda r: _near(r, ["category"]))
 query("a20_row_minimum", "select l_orderkey, l_linenumber, least(case when l_tax > 0.02 then l_tax end, case when l_discount > 0.03 then l_discount end) as nearest from lineitem")(
     lambda r: r.t("lineitem").select("l_orderkey", "l_linenumber", F.least(F.when(F.col("l_tax") > 0.02, F.col("l_tax")), F.when(F.col("l_discount") > 0.03, F.col("l_discount"))).alias("nearest"))
 )
-query("v3_table_report", "select count(*) as n_rows, 0 as blank_keys, count(*) filter (length(cast(c_nationkey as varchar)) <> 2) as bad_keys, count(c_nationkey) - count(distinct c_nationkey) as repeated_keys, count(*) as c_name_not_numbers from customer")(
-    lambda r: tables.table_report(r.t("customer").withColumn("c_nationkey", F.col("c_nationkey").cast("string")), "c_nationkey", 2, ["c_name"]).withColumn("blank_keys", F.col("blank_keys").cast("int"))
+query(
+    "v3_table_report",
+    """with t as (select case when l_returnflag = 'R' then '' else lpad(cast(l_partkey as varchar), 5, '0') || case when l_linenumber = 7 then '9' else '' end end as code,
+ case when l_tax = 0 then 'N/A' when l_tax > 0.07 then 'high' else cast(l_tax as varchar) end as v, cast(year(l_shipdate) as varchar) || case when l_linenumber = 6 then 'x' else '' end as y from lineitem),
+k as (select nullif(code, '') as k, v, try_cast(y as integer) as y from t)
+select count(*) as n_rows, count(*) filter (k is null) as blank_keys, count(*) filter (not regexp_full_match(k, '[0-9]{5}')) as bad_keys, count(*) filter (regexp_full_match(k, '[0-9]{4}')) as short_keys,
+ count(*) filter (y is null) as bad_periods, count(k) - count(distinct case when k is not null then (k, y) end) as repeated_keys, count(*) filter (v = 'N/A') as v_missing, count(*) filter (v = 'high') as v_not_numbers from k""",
+)(
+    lambda r: tables.table_report(
+        r.t("lineitem").select(
+            F.when(F.col("l_returnflag") == "R", "").otherwise(F.concat(recode.padded(F.col("l_partkey")), F.when(F.col("l_linenumber") == 7, "9").otherwise(""))).alias("code"),
+            F.when(F.col("l_tax") == 0, "N/A").when(F.col("l_tax") > 0.07, "high").otherwise(F.col("l_tax").cast("string")).alias("v"),
+            F.concat(F.year("l_shipdate").cast("string"), F.when(F.col("l_linenumber") == 6, "x").otherwise("")).alias("y"),
+        ),
+        "code", 5, ["v"], year="y",
+    )
 )
 query("a26_linkage_rate", f"{ROLES}, n as (select count(*) as units, count(v2) as k from statics) select 'v2' as variable, units, k as with_value, round_even(100.0 * k / units, 2)::double as pct from n")(lambda r: patterns.linkage_rate(r.static, ["v2"]))
 query("t2_stays", f"{ROLES} select pid, episode_id, cast(d as integer) as overlap_days from stays")(lambda r: engine.stays(r.episodes))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +13,42 @@ from ..functions.weighted import nan_to_null
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, or CSV and text with a header, all columns as text."""
-    if path.endswith((".csv", ".txt")):
+    """Parquet, CSV and text with a header, all columns as text, or pickled frames, one task for each file."""
+    if path.endswith((".csv", ".txt", ".csv.gz")):
         return spark.read.csv(path, header=True, inferSchema=False)
     if path.endswith(".parquet"):
         return nan_to_null(spark.read.parquet(path))
-    if path.endswith((".pkl", ".pickle")):  # one small file, read on the driver
-        import pandas as pd
-
-        return nan_to_null(spark.createDataFrame(pd.read_pickle(path)))
+    if path.endswith((".pkl", ".pickle")):
+        return nan_to_null(_pickled(spark, path))
     raise ValueError(f"no reader for {path!r}: .parquet, .csv, .txt, .pkl or .pickle")
 
 
+def _pickled(spark: SparkSession, path: str) -> DataFrame:
+    """Tasks read the files and the driver sees one row of one of them, for the names and types of the columns."""
+    import io
+    import pickle
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def first(batches):
+        for batch in batches:
+            for content in batch.content:
+                yield pd.DataFrame({"head": [pickle.dumps(pickle.load(io.BytesIO(content)).head(1))]})
+                return
+
+    head = pickle.loads(files.mapInPandas(first, "head binary").first().head)
+    schema = spark.createDataFrame(head).schema
+
+    def rows(batches):
+        for batch in batches:
+            for content in batch.content:
+                frame = pickle.load(io.BytesIO(content))
+                for k in range(0, len(frame), 100_000):
+                    yield frame.iloc[k : k + 100_000]
+
+    return files.mapInPandas(rows, schema)
+
+
 def read_all(spark: SparkSession, paths: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_table(spark, p) for p in paths]) if paths else spark.createDataFrame([], "empty int").drop("empty")
 
@@ -52,7 +77,11 @@ def period_from_name(name: Column) -> tuple[Column, Column]:
 
 #: Marks of a missing value and date formats of registered tables.  Fixed values.
 MISSING = ("", "NA", "N/A", "NULL", "NAN", ".")
-DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "yyyy/MM/dd", "yyyyMMdd", "MMM-dd-yyyy", "yyyy-MM-dd HH:mm:ss")
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
+#: Date formats of the daily tract files.
+TRACT_DATE_FORMATS = ("yyyy/MM/dd", "MMM-dd-yyyy", "yyyy-MM-dd", "M/d/yyyy")
+#: Years that a table may hold; share of entries that may fail to be numbers.
+YEARS, TOLERANCE = (1900, 2100), 0.5
 
 
 def clean(text: Column) -> Column:
@@ -69,11 +98,41 @@ def registered_table(raw: DataFrame, key: str, width: int, values: list[str], ye
     return nan_to_null(out).sortWithinPartitions(*out.columns[: 1 + len(when)])
 
 
-def table_report(raw: DataFrame, key: str, width: int, values: list[str]) -> DataFrame:
-    """One row: rows, blank and ill-formed keys, duplicates, and for each value the entries that are no numbers."""
+def table_report(raw: DataFrame, key: str, width: int, values: list[str], year: str | None = None, date: str | None = None) -> DataFrame:
+    """One row: rows, blank and ill-formed keys, keys one digit short, unusable years or dates, duplicates by key (and
+    period), and for each value the entries that are missing and that are no numbers."""
     k = clean(F.col(key))
     bad = lambda v: F.count_if(clean(F.col(v)).isNotNull() & F.expr(f"try_cast(`{v}` as double)").isNull())
+    period = None
+    if year:
+        y = F.expr(f"try_cast(trim(`{year}`) as double)")
+        period = F.when((y == F.floor(y)) & y.between(*YEARS), y.cast("int"))
+    elif date:
+        d = first_format(clean(F.col(date)), DATE_FORMATS)
+        period = F.when(F.year(d).between(*YEARS), d)
+    whole = F.struct(k, period) if period is not None else k
     return raw.agg(
         F.count("*").alias("n_rows"), F.count_if(k.isNull()).alias("blank_keys"), F.count_if(k.isNotNull() & ~k.rlike(f"^[0-9]{{{width}}}$")).alias("bad_keys"),
-        (F.count(k) - F.countDistinct(k)).alias("repeated_keys"), *[bad(v).alias(f"{v}_not_numbers") for v in values],
+        F.count_if(k.rlike(f"^[0-9]{{{width - 1}}}$")).alias("short_keys"), (F.count_if(period.isNull()) if period is not None else F.lit(0).cast("long")).alias("bad_periods"),
+        (F.count(k) - F.countDistinct(F.when(k.isNotNull(), whole))).alias("repeated_keys"),
+        *[F.count_if(clean(F.col(v)).isNull()).alias(f"{v}_missing") for v in values], *[bad(v).alias(f"{v}_not_numbers") for v in values],
     )
+
+
+def numeric_columns(raw: DataFrame, taken: list[str]) -> list[str]:
+    """Columns besides those taken whose entries are mostly numbers: at most half of the rows fail, and some do not."""
+    names = [c for c in raw.columns if c not in taken]
+    if not names:
+        return []
+    number = lambda c: F.expr(f"try_cast(trim(`{c}`) as double)")
+    row = raw.agg(F.count("*").alias("n"), *[F.count_if(clean(F.col(c)).isNotNull()).alias(f"p{k}") for k, c in enumerate(names)], *[F.count_if(clean(F.col(c)).isNotNull() & number(c).isNull()).alias(f"f{k}") for k, c in enumerate(names)]).first()
+    return [c for k, c in enumerate(names) if row[f"p{k}"] and row[f"f{k}"] <= TOLERANCE * max(1, row.n) and row[f"f{k}"] < row[f"p{k}"]]
+
+
+def refused(report: DataFrame, values: list[str]) -> list[str]:
+    """What makes a table unusable, from its report; messages hold counts and never values."""
+    r = report.first()
+    out = ["no data rows"] if not r.n_rows else []
+    out += [f"{r[c]} of {r.n_rows} rows: {what}" for c, what in (("blank_keys", "no key"), ("bad_keys", "ill-formed key"), ("bad_periods", "no usable year or date"), ("repeated_keys", "duplicate of a key and period")) if r[c]]
+    out += [f"column {v} has no data" for v in values if r.n_rows and r[f"{v}_missing"] == r.n_rows]
+    return out + [f"column {v} is mostly no numbers" for v in values if r[f"{v}_not_numbers"] > TOLERANCE * max(1, r.n_rows)]
