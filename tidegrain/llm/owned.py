@@ -9,7 +9,7 @@ import pandas as pd
 
 SCHEMA = "owner int, seeds binary, steps binary, nodes binary, sizes binary, counts binary"
 #: Occurrences packed at once.
-PACK = 500_000
+PACK = 250_000
 LOW = np.uint64((1 << 24) - 1)
 
 
