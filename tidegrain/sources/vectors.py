@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,13 +97,16 @@ def from_wkb(df: DataFrame, column: str = "geometry") -> DataFrame:
     """A binary column -> rings and lines; the other columns stay."""
     keep = [f for f in df.schema.fields if f.name != column]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shape = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_parts(bytes(b))[:2] if b is not None else ([], []) for b in batch.pop(column)]
-            yield batch.assign(rings=[r for r, _ in made], lines=[x for _, x in made])
+            made = [_parts(b)[:2] if b is not None else ([], []) for b in batch.column(column).to_pylist()]
+            columns = [batch.column(f.name) for f in keep] + [pa.array([m[k] for m in made], shape) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, [*[f.name for f in keep], "rings", "lines"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keep], _SHAPE])
-    return cleaned(df.select(*[f.name for f in keep], column).mapInPandas(parse, schema))
+    return cleaned(df.select(*[f.name for f in keep], column).mapInArrow(parse, schema))
 
 
 def _packed(rings: list, lines: list) -> bytes:
@@ -117,13 +120,14 @@ def write_geo(df: DataFrame, path: str) -> None:
     """Parquet with a WKB column in place of rings and lines; replaces what is there.  Each ring is a polygon of its own."""
     keep = [f for f in df.schema.fields if f.name not in ("rings", "lines")]
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rings, lines = batch.pop("rings"), batch.pop("lines")
-            yield batch.assign(geometry=[_packed(list(r), list(x)) for r, x in zip(rings, lines, strict=True)])
+            shapes = zip(batch.column("rings").to_pylist(), batch.column("lines").to_pylist(), strict=True)
+            columns = [*[batch.column(f.name) for f in keep], pa.array([_packed(r, x) for r, x in shapes], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*[f.name for f in keep], "geometry"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keep], "geometry binary"])
-    df.select(*[f.name for f in keep], "rings", "lines").mapInPandas(pack, schema).write.mode("overwrite").parquet(path)
+    df.select(*[f.name for f in keep], "rings", "lines").mapInArrow(pack, schema).write.mode("overwrite").parquet(path)
 
 
 def quadkey(lon: Column, lat: Column, level: int = 9) -> Column:
