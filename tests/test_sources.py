@@ -217,3 +217,23 @@ def test_results(spark, tmp_path):
     a, b = spark.createDataFrame([("x", 1.0)], "pid string, v double"), spark.createDataFrame([("x", 9.0, 2.0), ("y", 9.0, 3.0)], "pid string, v double, w double")
     assert {tuple(r) for r in results.partial([a, b]).collect()} == {("x", 1.0, 2.0), ("y", None, 3.0)}
     assert plans.tile_count(float("nan")) == 1 and plans.tile_count(0.7) == 2
+
+
+def test_datasets(spark, tmp_path):
+    from tidegrain.sources import datasets
+
+    folder = f"file://{tmp_path}/sets"
+    df = spark.createDataFrame([("01001", 2012, 1.0), ("01002", 2015, 2.0)], "unit string, year int, v double")
+    assert datasets.datasets(spark, folder).count() == 0
+    datasets.register(df, folder, "food", "table", {"boundary": "tract"}, ("year",))
+    assert datasets.dataset(spark, folder, "food").count() == 2 and [r.kind for r in datasets.datasets(spark, folder).collect()] == ["table"]
+    with pytest.raises(ValueError):
+        datasets.register(df, folder, "food", "table")
+    datasets.remove(spark, folder, "food")
+    with pytest.raises(ValueError):
+        datasets.dataset(spark, folder, "food")
+    assert [r.unit for r in datasets.restricted(df, df).collect()] == ["01002"]
+    assert datasets.labelled(df, spark.createDataFrame([("v",), ("x",), ("unit",)], "name string")).columns == ["v", "unit"]
+    (tmp_path / "r.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"y": "2015"}, "geometry": {"type": "LineString", "coordinates": [[-96, 40], [-96, 41]]}}]}))
+    made = datasets.prepared_features(vectors.read_geojson(spark, str(tmp_path / "r.geojson")), "y").first()
+    assert made.year == 2015 and abs(made.lines[0][0].x) < 1e-6
