@@ -37,7 +37,7 @@ class Roles:
         start = F.col("o_orderdate").cast("date")
         self.episodes = self.t("orders").select(F.col("o_custkey").cast("string").alias("pid"), F.col("o_orderkey").alias("episode_id"), start.alias("start_date"), F.date_add(start, (F.col("o_orderkey") % 700).cast("int")).alias("end_date"))
         self.weights = line.groupBy(F.col("l_orderkey").alias("episode_id"), F.col("l_partkey").alias("unit")).agg(F.sum("l_quantity").alias("weight"))
-        self.values = line.select(F.col("l_partkey").alias("unit"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").alias("v"), F.when(F.col("l_discount") > 0.05, F.col("l_tax") * 100).alias("v2"), "l_linestatus", "l_suppkey")
+        self.values = line.select(F.col("l_partkey").alias("unit"), F.col("l_shipdate").cast("date").alias("date"), (F.col("l_extendedprice") / 1000).alias("v"), F.when(F.col("l_discount") > 0.05, F.col("l_tax") * 100).alias("v2"), "l_linestatus", "l_suppkey")
         mean = [F.avg("v").alias("v"), F.avg("v2").alias("v2")]
         self.yearly = self.values.groupBy("unit", F.year("date").alias("year")).agg(*mean)
         self.daily = self.values.groupBy("unit", "date").agg(*mean)
@@ -51,7 +51,7 @@ ROLES = """
 with episodes as (select cast(o_custkey as varchar) as pid, o_orderkey as episode_id, cast(o_orderdate as date) as start_date,
                          cast(o_orderdate as date) + cast(o_orderkey % 700 as integer) as end_date from orders),
 weights as (select l_orderkey as episode_id, l_partkey as unit, sum(l_quantity) as weight from lineitem group by 1, 2),
-vals as (select l_partkey as unit, cast(l_shipdate as date) as date, l_extendedprice as v, case when l_discount > 0.05 then l_tax * 100 end as v2, l_linestatus, l_suppkey from lineitem),
+vals as (select l_partkey as unit, cast(l_shipdate as date) as date, l_extendedprice / 1000 as v, case when l_discount > 0.05 then l_tax * 100 end as v2, l_linestatus, l_suppkey from lineitem),
 yearly as (select unit, year(date) as yr, avg(v) as v, avg(v2) as v2 from vals group by 1, 2),
 daily as (select unit, date, avg(v) as v, avg(v2) as v2 from vals group by 1, 2),
 windowed as (select unit, date '1992-01-01' + 14 * cast(floor((date - date '1992-01-01') / 14) as integer) as start_date, avg(v) as v, avg(v2) as v2 from vals group by 1, 2),
@@ -179,10 +179,10 @@ ze as ({_CTE.format(wm('v', 'd'), wm('v2', 'd'), 'zs')}), ce as ({_CTE.format(wm
 )(_cbp)
 #: Rates of the food access rules as multiples of v or v2, and the flags with their tests; `Urban` is 1 from a share of a half.
 RATES = {
-    "LALOWI1_10": ("v", 1 / 50), "LALOWI1_10share": ("v2", 0.1), "LAPOP1_10": ("v", 1 / 55), "LAPOP1_10share": ("v2", 0.09), "lalowihalf": ("v", 1 / 58), "lalowihalfshare": ("v2", 0.07),
-    "lalowi10": ("v", 1 / 62), "lalowi10share": ("v2", 0.075), "lalowi1": ("v", 1 / 57), "lalowi1share": ("v2", 0.085), "lalowi20": ("v", 1 / 66), "lalowi20share": ("v2", 0.06), "lapophalf": ("v", 1 / 61),
-    "lapophalfshare": ("v2", 0.082), "lapop1": ("v", 1 / 60), "lapop1share": ("v2", 0.08), "lapop10": ("v", 1 / 64), "lapop10share": ("v2", 0.078), "lapop20": ("v", 1 / 59), "lapop20share": ("v2", 0.065),
-    "lahunvhalf": ("v", 1 / 300), "PCTGQTRS": ("v2", 0.16), "Urban": ("v2", 0.125),
+    "LALOWI1_10": ("v", 1000 / 50), "LALOWI1_10share": ("v2", 0.1), "LAPOP1_10": ("v", 1000 / 55), "LAPOP1_10share": ("v2", 0.09), "lalowihalf": ("v", 1000 / 58), "lalowihalfshare": ("v2", 0.07),
+    "lalowi10": ("v", 1000 / 62), "lalowi10share": ("v2", 0.075), "lalowi1": ("v", 1000 / 57), "lalowi1share": ("v2", 0.085), "lalowi20": ("v", 1000 / 66), "lalowi20share": ("v2", 0.06), "lapophalf": ("v", 1000 / 61),
+    "lapophalfshare": ("v2", 0.082), "lapop1": ("v", 1000 / 60), "lapop1share": ("v2", 0.08), "lapop10": ("v", 1000 / 64), "lapop10share": ("v2", 0.078), "lapop20": ("v", 1000 / 59), "lapop20share": ("v2", 0.065),
+    "lahunvhalf": ("v", 1000 / 300), "PCTGQTRS": ("v2", 0.16), "Urban": ("v2", 0.125),
 }
 _ONE = {"LILATracts_1And10": "LALOWI1_10", "LA1and10": "LAPOP1_10", "LATracts_half": "lapophalf", "LATracts1": "lapop1", "LATracts10": "lapop10", "LATracts20": "lapop20"}
 _TWO = {"LILATracts_halfAnd10": ("lalowihalf", "lalowi10"), "LILATracts_1And20": ("lalowi1", "lalowi20"), "LAhalfand10": ("lapophalf", "lapop10"), "LA1and20": ("lapop1", "lapop20")}
@@ -206,8 +206,8 @@ FLAGS = ["Urban", *_ONE, *_TWO, "LATractsVehicle_20", "HUNVFlag", "GroupQuarters
 query("l7_food_access", _food_sql())(
     lambda r: patterns.food_access(r.episodes, r.weights, r.yearly.select("unit", "year", *[(F.col(c) * k).alias(name) for name, (c, k) in RATES.items()]), list(RATES)).select("pid", *FLAGS)
 )
-query("l8_daily_pair", f"{ROLES}, pair as (select a.unit, a.date, a.v, b.v2 from (select * from daily where v > 20000) a left join (select * from daily where v2 is not null) b on a.unit = b.unit and a.date = b.date){spaced('pair', 'date')}{timed(BY_DAY)}")(
-    lambda r: rounded(patterns.daily_pair(r.episodes, r.weights, r.daily.filter("v > 20000").select("unit", "date", "v"), r.daily.filter("v2 is not null").select("unit", "date", "v2")))
+query("l8_daily_pair", f"{ROLES}, pair as (select a.unit, a.date, a.v, b.v2 from (select * from daily where v > 20) a left join (select * from daily where v2 is not null) b on a.unit = b.unit and a.date = b.date){spaced('pair', 'date')}{timed(BY_DAY)}")(
+    lambda r: rounded(patterns.daily_pair(r.episodes, r.weights, r.daily.filter("v > 20").select("unit", "date", "v"), r.daily.filter("v2 is not null").select("unit", "date", "v2")))
 )
 query("l9_precomputed_yearly", f"{ROLES}{spaced('yearly', 'yr')}{timed(BY_YEAR.replace('left join', 'join'))}")(
     lambda r: rounded(patterns.precomputed_yearly(r.episodes, engine.weighted_aggregate(r.weights.join(r.yearly, "unit"), ["episode_id", "year"], COLUMNS, "weight"), COLUMNS))

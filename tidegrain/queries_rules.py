@@ -56,14 +56,14 @@ query("o5_input_order", f"{ROLES}{spaced('statics', '')}, m as ({timed(BY_STAY)}
 query("o6_states", "with c as (select distinct lpad(cast(l_partkey * 37 % 90000 as varchar), 5, '0') as unit from lineitem) select substr(unit, 1, 2) as state, count(*) as n from c group by 1 order by n desc, state limit 6")(
     lambda r: results.states(r.t("lineitem").select(recode.padded(F.col("l_partkey") * 37 % 90000).alias("unit")))
 )
-query("j16_outer_join", f"{ROLES}, a as (select unit, date, v from daily where v > 30000), b as (select unit, date, v2 from daily where v2 is not null) select coalesce(a.unit, b.unit) as unit, coalesce(a.date, b.date)::varchar as date, {sql_near('v')} as v, {sql_near('v2')} as v2 from a full join b on a.unit = b.unit and a.date = b.date")(
-    lambda r: rounded(readers.outer([r.daily.filter("v > 30000").select("unit", "date", "v"), r.daily.filter("v2 is not null").select("unit", "date", "v2")], ["unit", "date"])).withColumn("date", F.col("date").cast("string"))
+query("j16_outer_join", f"{ROLES}, a as (select unit, date, v from daily where v > 30), b as (select unit, date, v2 from daily where v2 is not null) select coalesce(a.unit, b.unit) as unit, coalesce(a.date, b.date)::varchar as date, {sql_near('v')} as v, {sql_near('v2')} as v2 from a full join b on a.unit = b.unit and a.date = b.date")(
+    lambda r: rounded(readers.outer([r.daily.filter("v > 30").select("unit", "date", "v"), r.daily.filter("v2 is not null").select("unit", "date", "v2")], ["unit", "date"])).withColumn("date", F.col("date").cast("string"))
 )
 query("a13_fallback_by_participant", f"""{ROLES}{spaced('statics', '')}, e as (select e.pid, e.d, s.v, s.v2 from stays e left join space s on e.episode_id = s.episode_id),
 one as (select pid, {wm('v', 'd')} as v, case when {wm('v2', 'd')} > 2500 then {wm('v2', 'd')} end as v2 from (select pid, d, v, v * 2 as v2 from e) group by 1), lost as (select pid from one where v2 is null)
 select pid, {sql_near('v')} as v, {sql_near('v2')} as v2 from one where v2 is not null union all select pid, {sql_near(wm('v', 'd'))}, {sql_near(wm('v2', 'd'))} from e where pid in (select pid from lost) group by 1""")(lambda r: _legacy(r))
-query("a24_match_rate", f"{ROLES}{spaced('yearly', 'yr')}, m as ({timed(BY_YEAR)}), k as (select distinct pid from episodes) select count(*) as cohort_n, count(*) filter (v2 is not null or v > 40000) as matched_n, round_even(100.0 * count(*) filter (v2 is not null or v > 40000) / greatest(count(*), 1), 2)::double as match_pct from k left join m on k.pid = m.pid")(
-    lambda r: results.match_rate(r.episodes, patterns.yearly_areal(r.episodes, r.weights, r.yearly, COLUMNS).withColumn("v", F.when(F.col("v") > 40000, F.col("v"))), COLUMNS)
+query("a24_match_rate", f"{ROLES}{spaced('yearly', 'yr')}, m as ({timed(BY_YEAR)}), k as (select distinct pid from episodes) select count(*) as cohort_n, count(*) filter (v2 is not null or v > 40) as matched_n, round_even(100.0 * count(*) filter (v2 is not null or v > 40) / greatest(count(*), 1), 2)::double as match_pct from k left join m on k.pid = m.pid")(
+    lambda r: results.match_rate(r.episodes, patterns.yearly_areal(r.episodes, r.weights, r.yearly, COLUMNS).withColumn("v", F.when(F.col("v") > 40, F.col("v"))), COLUMNS)
 )
 query("a25_coverage", """with e as (select cast(o_orderdate as date) as a, cast(o_orderdate as date) + cast(o_orderkey % 700 as integer) as b, -130 + o_orderkey % 800 / 10.0 as lon, 20 + o_orderkey % 350 / 10.0 as lat from orders),
 f as (select coalesce(a <= date '1996-12-31' and b >= date '1994-01-01', false) as t, lon between -125 and -66 and lat between 24 and 50 as g from e)

@@ -28,7 +28,7 @@ def people(r: Roles) -> DataFrame:
 
 PEOPLE = f"select o_orderkey as episode_id, cast({_PX.format('o_orderkey')} as double) as x, cast({_PY.format('o_orderkey')} as double) as y from orders"
 #: A supplier's box around its place, with a hole of half its sides; boxes overlap.
-_W, _H = "(300 + s_suppkey * 37 % 1500)", "(250 + s_suppkey * 53 % 1300)"
+_W, _H = "(100 + s_suppkey * 37 % 400)", "(120 + s_suppkey * 53 % 380)"
 
 
 def boxes(r: Roles) -> DataFrame:
