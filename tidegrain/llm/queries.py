@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, mixing, packing, passages, quality_rules, resharding, secrets, token_counts, token_files
+from . import exact_dedup, filter_audit, jaccard_join, lexical_search, mixing, packing, passages, quality_rules, resharding, secrets, token_counts, token_files, url_templates
 from .staging import shared_dir, written
 
 #: Shards that the documents of op1 come from; they are filed by source there, so the hot source makes one shard large.
@@ -74,7 +74,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, path)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = url_templates.with_document_labels(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return url_templates.judge(pages, "bad").withColumn("purity", F.round("purity", 9))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(spark, documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_reshard, op2_token_counts, op3_secrets, op4_passages, op5_quality_rules, op6_packing, op7_jaccard_join, op8_exact_dedup, op9_mixing, op10_token_files, rule_ablations)
+    f.__name__: f for f in (op1_reshard, op2_token_counts, op3_secrets, op4_passages, op5_quality_rules, op6_packing, op7_jaccard_join, op8_exact_dedup, op9_mixing, op10_token_files, op11_url_filters, op12_lexical_search, op13_filter_audit, rule_ablations)
 }
-ORACLES = {"op5_quality_rules": quality_rules.ORACLE, "rule_ablations": quality_rules.ABLATIONS, "op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLES = {"op5_quality_rules": quality_rules.ORACLE, "rule_ablations": quality_rules.ABLATIONS, "op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op11_url_filters": url_templates.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
