@@ -157,3 +157,73 @@ def test_nearest_takes_all_orders(spark, by):
             want[k, g] = ((own.x - x) ** 2 + (own.y - y) ** 2).min() ** 0.5
     assert len(got) == len(want) == len(people) * len(groups)
     assert all(abs(row.distance - want[row.episode_id, row.category if by else None]) < 0.01 for row in got)
+
+
+def _star(x, y, r, n, seed):
+    import numpy as np
+
+    g = np.random.default_rng(seed)
+    a, far = np.sort(g.uniform(0, 2 * math.pi, n)), g.uniform(0.3, 1, n) * r
+    return list(zip((x + far * np.cos(a)).tolist(), (y + far * np.sin(a)).tolist(), strict=True))
+
+
+RINGS = "unit string, rings array<array<struct<x: double, y: double>>>"
+
+
+def _inside(x, y, rings):
+    """Even-odd rule in numpy, over all edges."""
+    import numpy as np
+
+    odd = np.zeros(np.shape(x), bool)
+    for r in rings:
+        for (ax, ay), (bx, by) in zip(r, r[1:] + r[:1], strict=True):
+            if ay != by:
+                odd ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+    return odd
+
+
+def test_tiles_hold_what_the_polygon_holds(spark):
+    import numpy as np
+
+    shapes = [("star", [_star(0, 0, 4000, 60, 1), _star(0, 0, 900, 12, 2)]), ("box", [[(-2500.0, -2500.0), (3000.0, -2500.0), (3000.0, 2000.0), (-2500.0, 2000.0)]]), ("thin", [[(0.0, 0.0), (5000.0, 10.0), (0.0, 20.0)]]), ("box", [[(100.0, 100.0), (200.0, 100.0), (200.0, 200.0)]])]
+    shapes.append(shapes[0])  # a repeated row
+    polygons = spark.createDataFrame(shapes, RINGS)
+    g = np.random.default_rng(3)
+    places = [(k, float(x), float(y)) for k, (x, y) in enumerate(g.uniform(-4500, 5500, (400, 2)))]
+    at = spark.createDataFrame(places, "episode_id long, x double, y double").withColumns({"tx": F.floor(F.col("x") / 500), "ty": F.floor(F.col("y") / 500)})
+    held = at.join(spatial.tiled(polygons, 500.0, "unit"), ["tx", "ty"]).filter(F.col("whole") | spatial.odd_crossings(F.col("x"), F.col("y"), F.col("edges")))
+    got = {(r.episode_id, r.unit) for r in held.collect()}
+    want = {(k, unit) for unit, rings in shapes for k, x, y in places if _inside(x, y, rings)}
+    assert got == want and len(want) > 100
+
+
+def test_exact_areas_and_shares_against_a_fine_grid(spark):
+    import numpy as np
+
+    shapes = [("star", [_star(0, 0, 1500, 40, 1), _star(0, 0, 200, 9, 2)]), ("box", [[(400.0, -300.0), (1300.0, -300.0), (1300.0, 100.0), (400.0, 100.0)]]), ("far", [[(1900.0, -900.0), (2600.0, -900.0), (2600.0, 900.0), (1900.0, 900.0)]])]
+    g = np.random.default_rng(4)
+    places = [(k, float(x), float(y)) for k, (x, y) in enumerate(g.uniform(-1200, 1900, (25, 2)))]
+    radius, fine = 600.0, 4.0
+    points = spark.createDataFrame([*places, (99, None, 0.0)], "episode_id long, x double, y double")
+    got = {(r.episode_id, r.unit): r.area for r in spatial.overlap_areas(points, spark.createDataFrame(shapes, RINGS), radius, 500.0).collect()}
+    i = np.arange(-radius + fine / 2, radius, fine)
+    dx, dy = (v[(np.add.outer(i**2, i**2) <= radius**2).ravel()] for v in (c.ravel() for c in np.meshgrid(i, i)))
+    want = {(k, u): float(_inside(x + dx, y + dy, rings).sum() * fine**2) for k, x, y in places for u, rings in shapes}
+    assert all(abs(got.get(key, 0.0) - a) < 0.004 * math.pi * radius**2 for key, a in want.items()) and len(got) > 30
+    boxes = {u: (min(x for r in rings for x, _ in r), max(x for r in rings for x, _ in r), min(y for r in rings for _, y in r), max(y for r in rings for _, y in r)) for u, rings in shapes}
+    near = lambda a, b: boxes[b][0] <= boxes[a][1] + 500 and boxes[b][1] >= boxes[a][0] - 500 and boxes[b][2] <= boxes[a][3] + 500 and boxes[b][3] >= boxes[a][2] - 500
+    shares = {(r.episode_id, r.unit): r.weight for r in spatial.overlap_shares(points, spark.createDataFrame(shapes, RINGS), radius, 500.0).collect()}
+    assert shares == pytest.approx({(k, u): a / sum(b for (m, v), b in got.items() if m == k and near(u, v)) for (k, u), a in got.items()})
+    assert not near("box", "far") and any((k, "box") in got and (k, "far") in got for k, *_ in places)
+
+
+def test_a_hot_tile_is_dealt_in_packs(spark, monkeypatch):
+    from tidegrain.operators import overlap
+
+    polygons = spark.createDataFrame([("a", [_star(500, 500, 400, 30, 5)]), ("b", [_star(600, 500, 400, 30, 6)])], RINGS)
+    points = spark.range(300).selectExpr("id as episode_id", "400 + id % 17 * 10.3 as x", "400 + id % 13 * 11.1 as y").withColumns({c: F.col(c).cast("double") for c in ("x", "y")})
+    ask = lambda: [{(r.episode_id, r.unit): r.weight for r in f(points, polygons).collect()} for f in (spatial.overlap_weights, spatial.overlap_shares)]
+    whole = ask()
+    monkeypatch.setattr(overlap, "PACK", 20)
+    assert overlap._packs(points, 270.0, 1000.0).count() >= 15
+    assert all(a == pytest.approx(b) for a, b in zip(whole, ask(), strict=True)) and len(whole[0]) >= 300

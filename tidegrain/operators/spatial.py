@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.weighted import share_of_group
 from ..shared import Scratch, written
+from .overlap import overlap_areas, overlap_shares, overlap_weights  # noqa: F401
+from .tiles import edges_of, inside, odd_crossings, tiled  # noqa: F401
 
 #: Ellipsoids: semi-major axis in m, flattening.  Fixed values.
 WGS84, GRS80 = (6378137.0, 1 / 298.257223563), (6378137.0, 1 / 298.257222101)
@@ -98,37 +100,6 @@ def disk_cells(points: DataFrame, radius: float, step: float) -> DataFrame:
     return out.withColumn("area", disk_share(edge("i", "x", 0), edge("i", "x", 1), edge("j", "y", 0), edge("j", "y", 1), radius)).filter("area > 1e-9")
 
 
-def edges_of(rings: Column) -> Column:
-    """All edges of rings: array of struct<ax, ay, bx, by>."""
-    of_ring = lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda k: F.struct(
-        F.get(r, k)["x"].alias("ax"), F.get(r, k)["y"].alias("ay"), F.get(r, (k + 1) % F.size(r))["x"].alias("bx"), F.get(r, (k + 1) % F.size(r))["y"].alias("by")))
-    return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 2), of_ring))
-
-
-def odd_crossings(x: Column, y: Column, edges: Column) -> Column:
-    """Half-open ray casting to the right."""
-    crossed = F.filter(edges, lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0)) + e["ax"]))
-    return F.size(crossed) % 2 == 1
-
-
-def inside(x: Column, y: Column, ring: Column) -> Column:
-    return odd_crossings(x, y, edges_of(F.array(ring)))
-
-
-def tiled(polygons: DataFrame, tile: float, *keep: str) -> DataFrame:
-    """(*keep, tx, ty, whole, edges): polygons cut to the square tiles that they meet.  A tile that lies wholly inside has no edges;
-    else edges are those that a ray from a point of the tile to the right can cross."""
-    out = polygons.select(*keep, edges_of(F.col("rings")).alias("all")).filter(F.size("all") > 0)
-    ends = lambda f, g, a, b: f(F.transform("all", lambda e: g(e[a], e[b])))
-    span = lambda a, b: F.sequence(F.floor(ends(F.array_min, F.least, a, b) / tile), F.floor(ends(F.array_max, F.greatest, a, b) / tile))
-    out = out.withColumn("tx", F.explode(span("ax", "bx"))).withColumn("ty", F.explode(span("ay", "by")))
-    x0, y0 = F.col("tx") * tile, F.col("ty") * tile
-    row = F.filter("all", lambda e: (F.least(e["ay"], e["by"]) < y0 + tile) & (F.greatest(e["ay"], e["by"]) >= y0) & (F.greatest(e["ax"], e["bx"]) >= x0))
-    out = out.withColumn("edges", row).withColumn("mixed", F.exists("edges", lambda e: F.least(e["ax"], e["bx"]) < x0 + tile))
-    out = out.filter(F.col("mixed") | odd_crossings(x0 + tile / 2, y0 + tile / 2, F.col("edges")))
-    return out.select(*keep, "tx", "ty", (~F.col("mixed")).alias("whole"), F.when(F.col("mixed"), F.col("edges")).alias("edges"))
-
-
 def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str = "episode_id", tile: float = 1000.0) -> DataFrame:
     """(key, unit): every point with the polygon that holds it, the first in key order on a tie, missing if none does."""
     at = points.select(key, "x", "y", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"))
@@ -136,75 +107,6 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str = "episo
     return points.select(key).distinct().join(held.groupBy(key).agg(F.min("unit").alias("unit")), key, "left")
 
 
-def overlap_weights(points: DataFrame, polygons: DataFrame, radius: float = 270.0, step: float = 25.0, tile: float = 1000.0) -> DataFrame:
-    """(episode_id, unit, weight): shares of the buffer by polygon.  A cell belongs to the polygon that holds its centre, to
-    the last in key order on a tie; cells in no polygon go before the shares are made.
-
-    A disk meets the few tiles that it touches, each with all its polygons; cells and their polygons are found beside the row in numpy, as
-    ray casting in SQL functions took fifty times as long, so only sums by (episode, unit) are shuffled."""
-    per = round(tile / step)
-    if abs(per * step - tile) > 1e-9:
-        raise ValueError("the tile must be a multiple of the step")
-    h = F.sort_array(F.collect_list(F.struct("unit", "whole", "edges")), asc=False)
-    held = tiled(polygons, tile, "unit").groupBy("tx", "ty").agg(h.alias("h"))
-    corners = F.flatten(F.transform("h", lambda p: F.flatten(F.transform(F.coalesce(p["edges"], F.array().cast(_EDGES)), lambda e: F.array(e["ax"], e["ay"], e["bx"], e["by"])))))
-    held = held.select("tx", "ty", F.col("h.unit").alias("units"), F.col("h.whole").alias("whole"), F.transform("h", lambda p: F.coalesce(F.size(p["edges"]), F.lit(0))).alias("counts"), corners.alias("corners"))
-    span = lambda c: F.sequence(F.floor((F.col(c) - radius) / tile), F.floor((F.col(c) + radius) / tile))
-    disks = points.select("episode_id", "x", "y").filter("x is not null and y is not null").withColumn("tx", F.explode(span("x"))).withColumn("ty", F.explode(span("y")))
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, units, areas = [], [], []
-            for k, (x, y, tx, ty, names, whole, counts, corners) in enumerate(batch[["x", "y", "tx", "ty", "units", "whole", "counts", "corners"]].itertuples(index=False)):
-                i = np.arange(max(np.floor((x - radius) / step), tx * per), min(np.floor((x + radius) / step), tx * per + per - 1) + 1)
-                j = np.arange(max(np.floor((y - radius) / step), ty * per), min(np.floor((y + radius) / step), ty * per + per - 1) + 1)
-                i, j = (c.ravel() for c in np.meshgrid(i, j))
-                area = _disk_share(i * step - x, (i + 1) * step - x, j * step - y, (j + 1) * step - y, radius)
-                left = np.flatnonzero(area > 1e-9)
-                edges = np.asarray(corners, float).reshape(-1, 4)
-                ends = np.cumsum(counts)
-                for n, (unit, all_) in enumerate(zip(names, whole, strict=True)):  # the last in key order first
-                    if not len(left):
-                        break
-                    mine = np.ones(len(left), bool) if all_ else _odd_crossings((i[left] + 0.5) * step, (j[left] + 0.5) * step, edges[ends[n] - counts[n] : ends[n]])
-                    if mine.any():
-                        rows.append(k)
-                        units.append(unit)
-                        areas.append(float(area[left[mine]].sum()))
-                        left = left[~mine]
-            yield pd.DataFrame({"episode_id": batch.episode_id.to_numpy()[rows], "unit": units, "area": np.array(areas, float)})
-
-    kinds = dict(points.dtypes)["episode_id"], dict(polygons.dtypes)["unit"]
-    met = disks.join(held, ["tx", "ty"]).mapInPandas(measure, f"episode_id {kinds[0]}, unit {kinds[1]}, area double")
-    out = met.groupBy("episode_id", "unit").agg(F.sum("area").alias("area"))
-    return out.withColumn("weight", share_of_group("area", "episode_id")).drop("area")
-
-
-_EDGES = "array<struct<ax: double, ay: double, bx: double, by: double>>"
-
-
-def _odd_crossings(x: np.ndarray, y: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """odd_crossings() of many points with the edges of one polygon."""
-    ax, ay, bx, by = edges.T[:, :, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        crossed = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
-    return crossed.sum(axis=0) % 2 == 1
-
-
-def _disk_share(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray, r: float) -> np.ndarray:
-    """disk_share() in numpy."""
-
-    def strip(v: np.ndarray) -> np.ndarray:
-        v = np.clip(v, -r, r)
-        return r * r * (math.pi / 2 + np.arcsin(v / r)) + v * np.sqrt(np.maximum(0.0, r * r - v * v))
-
-    def corner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out, sx, sy = x * x + y * y >= r * r, strip(x), strip(y)
-        return np.select([out & (x <= 0) & (y <= 0), out & (x >= 0) & (y >= 0), out & (x < 0), out], [0.0, sx + sy - math.pi * r * r, sx, sy], (sx + sy) / 2 - math.pi * r * r / 4 + x * y)
-
-    return corner(x1, y1) - corner(x0, y1) - corner(x1, y0) + corner(x0, y0)
-
-
 def grid_weights(points: DataFrame, x0: float, y0: float, cell: float, width: int, height: int, radius: float = 270.0, offset: int = 0) -> DataFrame:
     """(episode_id, unit, weight): shares of the buffer by raster cell, row-major from the top left corner (x0, y0)."""
     moved = points.select("episode_id", (F.col("x") - x0).alias("x"), (y0 - F.col("y")).alias("y")).filter("x is not null and y is not null")

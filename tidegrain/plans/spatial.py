@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.recode import ROADS, WATER, code_class, valid_coordinates
 from ..operators.engine import duration_weighted, temporal_aggregate
 from ..operators.engine import keys as level_keys
-from ..operators.spatial import albers, bounded_nearest, degree_grid_weights, grid_weights, nearest, overlap_weights, wrong_weight_sums
+from ..operators.spatial import albers, bounded_nearest, degree_grid_weights, grid_weights, nearest, overlap_shares, overlap_weights, wrong_weight_sums
 from ..operators.spatial import proximity as proximity_distances
 from ..shared import written
 from ..sources.vectors import projected
@@ -41,9 +41,9 @@ def boundary_overlap_fast(points: DataFrame, polygons: DataFrame, radius: float
     return overlap_weights(placed(points), _metric(polygons, degrees), radius, step)
 
 
-def boundary_overlap(points: DataFrame, polygons: DataFrame, radius: float = 270.0, step: float = 25.0, degrees: bool = False) -> DataFrame:
-    """The same by the definition per polygon: the area in it over the area of the buffer in any polygon near it."""
-    return boundary_overlap_fast(points, polygons, radius, step, degrees).filter("weight > 0")
+def boundary_overlap(points: DataFrame, polygons: DataFrame, radius: float = 270.0, degrees: bool = False) -> DataFrame:
+    """(episode_id, unit, weight): the buffer's exact area in a polygon over its area in the polygons near that one; not normalised."""
+    return overlap_shares(placed(points), _metric(polygons, degrees), radius)
 
 
 def buffer_grid(points: DataFrame, grid: dict[str, float], radius: float = 270.0, offset: int = 0, degrees: bool = True, valid: DataFrame | None = None) -> DataFrame:

@@ -45,9 +45,8 @@ def _in_box(x: str, y: str) -> str:
     return f"({half_open(1.0)} and not {half_open(0.5)})"
 
 
-def _share_sql(x0: str, x1: str, y0: str, y1: str) -> str:
+def _share_sql(x0: str, x1: str, y0: str, y1: str, r: float = RADIUS) -> str:
     """Area of the disk at the origin in a rectangle, from the four corners."""
-    r = RADIUS
 
     def strip(v: str) -> str:
         v = f"greatest({-r}, least({r}, {v}))"
@@ -73,18 +72,22 @@ c as (select episode_id, i, j, {_share_sql('x0', 'x1', 'y0', 'y1')} as area from
 
 
 six = lambda c: F.round(F.col(c) + 3.3e-7, 6).alias(c)
-query(
-    "g3_overlap_weights",
-    f"""{_cells_sql(PEOPLE, STEP)}, b as ({BOXES}), m as (select episode_id, i, j, max(unit) as unit, any_value(area) as area from c join b on {_in_box(f'((i + 0.5) * {STEP})', f'((j + 0.5) * {STEP})')} where area > 1e-9 group by 1, 2, 3),
+def _overlap_sql(people_: str) -> str:
+    return f"""{_cells_sql(people_, STEP)}, b as ({BOXES}), m as (select episode_id, i, j, max(unit) as unit, any_value(area) as area from c join b on {_in_box(f'((i + 0.5) * {STEP})', f'((j + 0.5) * {STEP})')} where area > 1e-9 group by 1, 2, 3),
 a as (select episode_id, unit, sum(area) as area from m group by 1, 2)
-select episode_id, unit, round(area / sum(area) over (partition by episode_id) + 3.3e-7, 6) as weight from a""",
-)(lambda r: spatial.overlap_weights(people(r), boxes(r), RADIUS, STEP).select("episode_id", "unit", six("weight")))
+select episode_id, unit, round(area / sum(area) over (partition by episode_id) + 3.3e-7, 6) as weight from a"""
+
+
+query("g3_overlap_weights", _overlap_sql(PEOPLE))(lambda r: spatial.overlap_weights(people(r), boxes(r), RADIUS, STEP).select("episode_id", "unit", six("weight")))
 _GRID = 180.0
-query(
-    "g5_grid_weights",
-    f"""{_cells_sql(f"select episode_id, x, 10000 - y as y from ({PEOPLE})", _GRID)}, k as (select * from c where area > 1e-9 and i between 0 and 110 and j between 0 and 54)
-select episode_id, j * 111 + i + 1 as unit, round(area / sum(area) over (partition by episode_id) + 3.3e-7, 6) as weight from k""",
-)(lambda r: spatial.grid_weights(people(r), 0.0, 10_000.0, _GRID, 111, 55, RADIUS, 1).select("episode_id", "unit", six("weight")))
+
+
+def _grid_sql(people_: str) -> str:
+    return f"""{_cells_sql(f"select episode_id, x, 10000 - y as y from ({people_})", _GRID)}, k as (select * from c where area > 1e-9 and i between 0 and 110 and j between 0 and 54)
+select episode_id, j * 111 + i + 1 as unit, round(area / sum(area) over (partition by episode_id) + 3.3e-7, 6) as weight from k"""
+
+
+query("g5_grid_weights", _grid_sql(PEOPLE))(lambda r: spatial.grid_weights(people(r), 0.0, 10_000.0, _GRID, 111, 55, RADIUS, 1).select("episode_id", "unit", six("weight")))
 query("a19_weight_sums", f"""{_cells_sql(f"select episode_id, x, 10000 - y as y from ({PEOPLE})", _GRID)}, k as (select episode_id, sum(area) as total from c where area > 1e-9 and i between 0 and 110 and j between 0 and 54 group by 1)
 select episode_id, round(total / {math.pi * RADIUS * RADIUS!r} + 3.3e-7, 6) as total from k where abs(total / {math.pi * RADIUS * RADIUS!r} - 1) >= 1e-6""")(
     lambda r: spatial.wrong_weight_sums(
@@ -139,6 +142,26 @@ w as (select episode_id, year, max(case when class = 'pri' then d end) as a, max
 select episode_id, cast(year as integer) as year, round(a + 3.3e-4, 2) as dist_pri, round(b + 3.3e-4, 2) as dist_sec, round(least(a, b) + 3.3e-4, 2) as dist_prisec from w""")(
     lambda r: plans.road_distances(globe(r), _far_roads(r), cell=40_000.0).select("episode_id", "year", *[F.round(F.col(c) + 3.3e-4, 2).alias(c) for c in ("dist_pri", "dist_sec", "dist_prisec")])
 )
+# the plain again, by degrees around the projection's origin: patterns that take places in degrees
+_PLAIN_LON, _PLAIN_LAT = "(-96 + ({0} * 7919 % 20000) / 100000.0)", "(37.5 + ({0} * 104729 % 10000) / 100000.0)"
+#: Wide enough for boxes that are more than 500 m apart to be in one buffer.
+WIDE = 600.0
+
+
+def settled(r: Roles) -> DataFrame:
+    lon, lat = (F.expr(c.format("episode_id")).cast("double") for c in (_PLAIN_LON, _PLAIN_LAT))
+    return r.t("orders").select(F.col("o_orderkey").alias("episode_id")).select("episode_id", lon.alias("lon"), lat.alias("lat"))
+
+
+def _exact_sql(people_: str, r: float) -> str:
+    ring = lambda k: _share_sql(f"(bx - {k} * w - x)", f"(bx + {k} * w - x)", f"(by_ - {k} * h - y)", f"(by_ + {k} * h - y)", r)
+    return f"""with p as ({people_}), b as ({BOXES}),
+m as (select episode_id, unit, bx, by_, w, h, {ring(1.0)} - ({ring(0.5)}) as area from p join b on abs(bx - x) < w + {r} and abs(by_ - y) < h + {r}),
+a as (select * from m where area > 1e-6)
+select a.episode_id, a.unit, round(any_value(a.area) / sum(o.area) + 3.3e-7, 6) as weight from a join a o on a.episode_id = o.episode_id and abs(a.bx - o.bx) <= a.w + o.w + 500 and abs(a.by_ - o.by_) <= a.h + o.h + 500 group by 1, 2"""
+
+
+query("g4_exact_overlap", _exact_sql(PEOPLE, RADIUS))(lambda r: spatial.overlap_shares(people(r), boxes(r), RADIUS).select("episode_id", "unit", six("weight")))
 _WATER_LON, _WATER_LAT = _LON.format("c_custkey"), _LAT.format("c_custkey")
 _LAYER = "case c_custkey % 4 when 0 then 'NHDFlowline' when 1 then 'NHDWaterbody' when 2 then 'NHDArea' else 'NetworkNHDFlowline' end"
 _CODE = "case c_custkey % 7 when 0 then 46006 when 1 then 56600 when 2 then 39004 when 3 then 31200 when 4 then 55800 when 5 then 99900 else 43600 end"
@@ -156,6 +179,12 @@ def _albers_of(lon: str, lat: str) -> tuple[str, str]:
     return put(x), put(y)
 
 
+_SETTLED = "select o_orderkey as episode_id, {} as x, {} as y from orders".format(*_albers_of(f"cast({_PLAIN_LON.format('o_orderkey')} as double)", f"cast({_PLAIN_LAT.format('o_orderkey')} as double)"))
+query("l12_boundary_overlap", _exact_sql(_SETTLED, WIDE))(lambda r: plans.boundary_overlap(settled(r), boxes(r), WIDE).select("episode_id", "unit", six("weight")))
+query("l13_boundary_overlap_fast", _overlap_sql(_SETTLED))(lambda r: plans.boundary_overlap_fast(settled(r), boxes(r), RADIUS, STEP).select("episode_id", "unit", six("weight")))
+query("l14_grid_weights", _grid_sql(_SETTLED))(
+    lambda r: plans.buffer_grid(settled(r), {"x0": 0.0, "y0": 10_000.0, "cell": _GRID, "width": 111, "height": 55}, RADIUS, 1, degrees=False).select("episode_id", "unit", six("weight"))
+)
 _A, _B = _albers_of("lon1", "lat1"), _albers_of("lon2", "lat2")
 _WIDE = f"({plans.PAD} / (111320.0 * cos(radians(least(85.0, greatest(abs(lat1), abs(lat2)) + 0.5 + {plans.PAD / 110574.0!r})))))"
 _HIGH = repr(plans.PAD / 110574.0)
