@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from tidegrain import cohort, queries
 from tidegrain.functions import dates, recode, weighted
 from tidegrain.operators import engine, spatial
 from tidegrain.plans import patterns
+from tidegrain.plans import spatial as plans_spatial
 from tidegrain.sources import tables
 
 DATA = "/root/testdata/sf0.001"
@@ -160,8 +162,6 @@ def test_nearest_takes_all_orders(spark, by):
 
 
 def _star(x, y, r, n, seed):
-    import numpy as np
-
     g = np.random.default_rng(seed)
     a, far = np.sort(g.uniform(0, 2 * math.pi, n)), g.uniform(0.3, 1, n) * r
     return list(zip((x + far * np.cos(a)).tolist(), (y + far * np.sin(a)).tolist(), strict=True))
@@ -172,8 +172,6 @@ RINGS = "unit string, rings array<array<struct<x: double, y: double>>>"
 
 def _inside(x, y, rings):
     """Even-odd rule in numpy, over all edges."""
-    import numpy as np
-
     odd = np.zeros(np.shape(x), bool)
     for r in rings:
         for (ax, ay), (bx, by) in zip(r, r[1:] + r[:1], strict=True):
@@ -183,8 +181,6 @@ def _inside(x, y, rings):
 
 
 def test_tiles_hold_what_the_polygon_holds(spark):
-    import numpy as np
-
     shapes = [("star", [_star(0, 0, 4000, 60, 1), _star(0, 0, 900, 12, 2)]), ("box", [[(-2500.0, -2500.0), (3000.0, -2500.0), (3000.0, 2000.0), (-2500.0, 2000.0)]]), ("thin", [[(0.0, 0.0), (5000.0, 10.0), (0.0, 20.0)]]), ("box", [[(100.0, 100.0), (200.0, 100.0), (200.0, 200.0)]])]
     shapes.append(shapes[0])  # a repeated row
     polygons = spark.createDataFrame(shapes, RINGS)
@@ -198,8 +194,6 @@ def test_tiles_hold_what_the_polygon_holds(spark):
 
 
 def test_exact_areas_and_shares_against_a_fine_grid(spark):
-    import numpy as np
-
     shapes = [("star", [_star(0, 0, 1500, 40, 1), _star(0, 0, 200, 9, 2)]), ("box", [[(400.0, -300.0), (1300.0, -300.0), (1300.0, 100.0), (400.0, 100.0)]]), ("far", [[(1900.0, -900.0), (2600.0, -900.0), (2600.0, 900.0), (1900.0, 900.0)]])]
     g = np.random.default_rng(4)
     places = [(k, float(x), float(y)) for k, (x, y) in enumerate(g.uniform(-1200, 1900, (25, 2)))]
@@ -227,3 +221,39 @@ def test_a_hot_tile_is_dealt_in_packs(spark, monkeypatch):
     monkeypatch.setattr(overlap, "PACK", 20)
     assert overlap._packs(points, 270.0, 1000.0).count() >= 15
     assert all(a == pytest.approx(b) for a, b in zip(whole, ask(), strict=True)) and len(whole[0]) >= 300
+
+
+def test_nearest_with_a_hot_cell_of_features_and_one_of_points(spark):
+    rng = np.random.default_rng(8)
+    hot = rng.uniform(0, 200, (100_000, 2)) + [40_000, 40_000]
+    lone = rng.uniform(-400_000, 400_000, (50, 2))
+    at = np.concatenate([rng.uniform(39_000, 41_000, (150, 2)), rng.uniform(-300_000, 300_000, (150, 2)), np.full((700, 2), 123.25)])
+    feats = spark.createDataFrame(pd.DataFrame(np.concatenate([hot, lone]), columns=["x1", "y1"])).withColumns({"x2": F.col("x1"), "y2": F.col("y1"), "kind": F.when((F.col("x1") * 8).cast("long") % 3 == 0, "a").when((F.col("x1") * 8).cast("long") % 3 == 1, "b")})
+    points = spark.createDataFrame(pd.DataFrame({"episode_id": range(1000), "x": at[:, 0], "y": at[:, 1]}))
+    every, kind = np.concatenate([hot, lone]), np.fix(np.concatenate([hot, lone])[:, 0] * 8).astype(int)
+    kind = np.where(kind < 0, -((-kind) % 3), kind % 3)  # the remainder has the sign of the number
+    far = np.hypot(at[:, None, 0] - every[None, :, 0], at[:, None, 1] - every[None, :, 1])
+    got = {r.episode_id: r.distance for r in spatial.nearest(points, feats).collect()}
+    assert got == pytest.approx(dict(enumerate(far.min(axis=1).tolist())))
+    by = {(r.episode_id, r.kind): r.distance for r in spatial.nearest(points, feats, by=["kind"]).collect()}
+    names = {0: "a", 1: "b"}
+    want = {(k, name): far[k][[names.get(v) == name for v in kind.tolist()]].min() for name in ("a", "b", None) for k in range(0, 1000, 7)}
+    assert {k: v for k, v in by.items() if k in want} == pytest.approx(want) and len(by) == 3000
+
+
+def test_nearest_splits_hot_cells(spark):
+    from tidegrain.shared import Scratch
+
+    at = spark.range(5000).select(F.col("id").alias("episode_id"), (F.col("id") % 100 * 1.0).alias("x"), F.lit(7.0).alias("y"))
+    feats = spark.range(3000).select((F.col("id") * 0.01).alias("x1"), F.lit(0.0).alias("y1")).withColumns({"x2": F.col("x1"), "y2": F.col("y1")})
+    scratch = Scratch(spark, "test")
+    leaves = spatial._leaves(at, feats, [250.0, 1000.0], 4, scratch).groupBy("level", "lx", "ly", "packs").count().collect()
+    scratch.drop()
+    assert [r.packs for r in leaves] == [10] and leaves[0].level == 0
+
+
+def test_county_of_a_road_file(spark):
+    df = spark.createDataFrame([("46113", 2014), ("46113", 2015), ("46113", None), ("12001", 2020), (None, 2015)], "county string, year int")
+    assert [r[0] for r in df.select(recode.road_county(F.col("county"), F.col("year"))).collect()] == ["46113", "46102", "46113", "12001", None]
+    rows = plans_spatial.road_files(df.filter("county is not null and year is not null")).orderBy("county", "year").collect()
+    assert [r.name for r in rows] == ["tl_2020_12001_roads.zip", "tl_2014_46113_roads.zip", "tl_2015_46102_roads.zip"]

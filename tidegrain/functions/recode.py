@@ -155,6 +155,8 @@ def food_access_flags(df: DataFrame) -> DataFrame:
 
 #: Classes of roads and of water features, by the first three digits of their code.  Fixed values.
 ROADS = {"pri": "S1100", "sec": "S1200"}
+#: County codes of 2010 whose road files have another code from a year on.  Fixed values.
+RENAMED_COUNTIES = {"46113": (2015, "46102")}
 WATER = {"flow": (460, 336, 558), "water": (390, 436, 466, 493), "area": (312, 493, 460), "coast": (566,)}
 
 
@@ -209,3 +211,8 @@ def transformed(df: DataFrame, steps: list[dict], target: str | None = None) ->
         elif kind == "derive":
             df = derive(df, step["column"], step.get("formula"), step.get("key"), **step.get("columns", {}))
     return df
+
+
+def road_county(county: Column, year: Column) -> Column:
+    """The code under which a county's roads of a year are published."""
+    return F.coalesce(*[F.when((county == code) & (year >= first), F.lit(new)) for code, (first, new) in RENAMED_COUNTIES.items()], county)

@@ -8,7 +8,7 @@ a lattice that does not depend on the data, so an episode's result does not depe
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weighted import share_of_group
-from ..shared import Scratch, written
+from ..shared import Scratch, small_side, written
 from .overlap import overlap_areas, overlap_shares, overlap_weights  # noqa: F401
 from .tiles import edges_of, inside, odd_crossings, tiled  # noqa: F401
 
@@ -26,6 +26,8 @@ WGS84, GRS80 = (6378137.0, 1 / 298.257223563), (6378137.0, 1 / 298.257222101)
 CONUS_ALBERS = (29.5, 45.5, 37.5, -96.0)
 #: Groups of features that nearest() reports one by one; more are refused.
 GROUPS = 10_000
+#: Points of a leaf of nearest(), points times features of one, and features of a chunk.
+POINTS, WORK, FEATURES = 512, 4_000_000, 512
 
 
 def _cone(lat_1: float, lat_2: float, lat_0: float, ellipsoid: tuple[float, float]) -> tuple[float, float, float, float, float]:
@@ -186,7 +188,7 @@ def segments_of(polygons: DataFrame, *keep: str) -> DataFrame:
     return out.select(*keep, F.col("e.ax").alias("x1"), F.col("e.ay").alias("y1"), F.col("e.bx").alias("x2"), F.col("e.by").alias("y2"))
 
 
-def _filed(segments: DataFrame, side: float) -> DataFrame:
+def _filed(segments: DataFrame, side: float | Column) -> DataFrame:
     """Segments with the lattice cells (gx, gy) that they pass, column by column along the line."""
     low, high = F.least("x1", "x2"), F.greatest("x1", "x2")
     out = segments.withColumn("gx", F.explode(F.sequence(F.floor(low / side), F.floor(high / side))))
@@ -199,47 +201,114 @@ def _filed(segments: DataFrame, side: float) -> DataFrame:
     return out.withColumn("gy", F.explode(F.sequence(F.floor((F.least(a, b) - hair) / side), F.floor((F.greatest(a, b) + hair) / side))))
 
 
-def nearest(points: DataFrame, segments: DataFrame, key: str = "episode_id", cell: float = 1000.0, growth: float = 4.0, by: list[str] | None = None) -> DataFrame:
+def _leaves(at: DataFrame, known: DataFrame, sides: list[float], growth: int, scratch: Scratch) -> DataFrame:
+    """at with (level, lx, ly, packs): the leaf of each point in a tree of cells that is made from the counts of points and features, the
+    largest cell with few enough of both; and into how many packs the leaf's points go, as its smallest cells can hold any number."""
+    fine = lambda x, y: [F.floor(F.col(x) / sides[0]).alias("ix"), F.floor(F.col(y) / sides[0]).alias("iy")]
+    mine = scratch.written(at.groupBy(*fine("x", "y")).agg(F.count("*").alias("np")), "cells")
+    theirs = known.groupBy(*fine("x1", "y1")).agg(F.count("*").alias("nf"))
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(float(growth**k)).alias("width")) for k in range(len(sides))])).alias("l")
+    up = lambda df: df.select("*", levels).select("*", "l.level", F.floor(F.col("ix") / F.col("l.width")).alias("lx"), F.floor(F.col("iy") / F.col("l.width")).alias("ly")).drop("l")
+    counts = up(mine.withColumn("nf", F.lit(0).cast("long")).unionByName(theirs.withColumn("np", F.lit(0).cast("long")))).groupBy("level", "lx", "ly").agg(F.sum("np").alias("np"), F.sum("nf").alias("nf"))
+    fit = counts.filter((F.col("np") > 0) & ((F.col("level") == 0) | (F.col("np") <= POINTS) & (F.col("np") * F.col("nf") <= WORK)))
+    best = up(mine.drop("np")).join(fit, ["level", "lx", "ly"]).groupBy("ix", "iy").agg(F.max(F.struct("level", "lx", "ly", F.ceil(F.col("np") / POINTS).cast("long").alias("packs"))).alias("b"))
+    best = scratch.written(best.select("ix", "iy", "b.*"), "leaves")
+    return at.withColumns(dict(zip(("ix", "iy"), fine("x", "y"), strict=True))).join(small_side(best), ["ix", "iy"]).drop("ix", "iy")
+
+
+def _measured(by_point: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for ids, xs, ys, gs, *ends in batch[["ids", "xs", "ys", "gs", "x1", "y1", "x2", "y2"]].itertuples(index=False):
+                order = np.argsort(gs, kind="stable")
+                g, (x1, y1, x2, y2) = np.asarray(gs)[order], (np.asarray(e, float)[order] for e in ends)
+                first = np.flatnonzero(np.diff(g, prepend=-1))
+                dx, dy = x2 - x1, y2 - y1
+                size = dx * dx + dy * dy
+                for a in range(0, len(ids), 256):
+                    x, y = np.asarray(xs[a : a + 256], float)[:, None], np.asarray(ys[a : a + 256], float)[:, None]
+                    t = np.clip(((x - x1) * dx + (y - y1) * dy) / np.where(size == 0, 1.0, size), 0.0, 1.0)
+                    far = np.minimum.reduceat((x1 + t * dx - x) ** 2 + (y1 + t * dy - y) ** 2, first, axis=1)
+                    out.append(pd.DataFrame({by_point: np.repeat(np.asarray(ids[a : a + 256]), len(first)), "g": np.tile(g[first], len(x)), "distance": np.sqrt(far).ravel()}))
+            yield pd.concat(out) if out else pd.DataFrame({by_point: [], "g": [], "distance": []})
+
+    return measure
+
+
+def nearest(points: DataFrame, segments: DataFrame, key: str = "episode_id", cell: float = 1000.0, growth: int = 4, by: list[str] | None = None) -> DataFrame:
     """(key, *by, distance): exact distance to the nearest segment, of each group of `by`; a row for every point and group, missing
     where the point has no place or the group no features.
 
-    Round k uses cells of side s = cell * growth^k and looks into the 3 x 3 cells around a point, which hold every feature within
-    s; a distance up to s is final and written.  Only the rest goes on to larger cells, until nothing is left or one cell holds everything."""
+    Points that are close together search together.  They are the leaves of a tree of cells (sides cell / growth * growth^k) that is cut where
+    points, or points times features, are many.  A leaf's centre is at most u from some feature of a group, told by one feature for each
+    occupied cell of each level around it; with h, the leaf's half diagonal, the nearest feature of any of its points is within u + 2h
+    of the centre.  These candidates are found on cells as large as that distance, and go to numpy with the leaf's points, in packs of both:
+    a cell with a third of all features or points is the work of many tasks, and nothing is copied by group before the last step."""
     by, spark = by or [], points.sparkSession
     known = segments.filter("x1 is not null and y1 is not null and x2 is not null and y2 is not null")
+    kinds = dict(segments.dtypes)
+    listed = F.lit(0).alias("g")
+    groups = [r.asDict() for r in known.select(*by).distinct().limit(GROUPS + 1).collect()] if by else [{}]  # metadata, refused beyond the bound
+    if len(groups) > GROUPS:
+        raise ValueError(f"more than {GROUPS} groups of features")
     everyone = points.select(key).distinct()
     if by:
-        groups = known.select(*by).distinct().limit(GROUPS + 1).collect()  # metadata, refused beyond the bound
-        if len(groups) > GROUPS:
-            raise ValueError(f"more than {GROUPS} groups of features")
         if not groups:
-            return everyone.select(key, *[F.lit(None).cast(dict(segments.dtypes)[c]).alias(c) for c in by], F.lit(None).cast("double").alias("distance"))
-        kinds = dict(segments.dtypes)
-        listed = F.explode(F.array(*[F.struct(*[F.lit(g[c]).cast(kinds[c]).alias(c) for c in by]) for g in groups])).alias("__g")
-        everyone = everyone.select(key, listed).select(key, "__g.*")
-    todo = points.select(key, "x", "y").filter("x is not null and y is not null")
-    todo = todo.select(key, "x", "y", listed).select(key, "x", "y", "__g.*") if by else todo
+            return everyone.select(key, *[F.lit(None).cast(kinds[c]).alias(c) for c in by], F.lit(None).cast("double").alias("distance"))
+        rows = [F.struct(*[F.lit(g[c]).cast(kinds[c]).alias(c) for c in by], F.lit(k).alias("g")) for k, g in enumerate(groups)]
+        names = spark.range(1).select(F.explode(F.array(*rows)).alias("n")).select(F.col("n.g").alias("g"), *[F.col(f"n.{c}").alias(f"__{c}") for c in by])
+        same = F.lit(True)
+        for c in by:
+            same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+        known = known.join(F.broadcast(names), same)  # at most GROUPS rows
+        everyone = everyone.select(key, F.explode(F.array(*rows)).alias("__g")).select(key, "__g.*")
+    else:
+        known, everyone = known.withColumn("g", listed), everyone.withColumn("g", listed)
+    known, at = known.select("g", "x1", "y1", "x2", "y2"), points.select(key, "x", "y").filter("x is not null and y is not null")
     ends = known.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
-    own = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    own = at.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if ends[0] is None or own[0] is None:
-        return everyone.withColumn("distance", F.lit(None).cast("double"))
-    reach = max([1.0] + [max(ends[k + 1], own[k + 1]) - min(ends[k], own[k]) for k in (0, 2)]) * 1.5
-    scratch, done, side = Scratch(spark, "nearest"), None, cell
-    ring = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    while True:
-        asked = todo.withColumn("gx", F.explode(F.transform(ring, lambda d: F.floor(F.col("x") / side) + d))).withColumn("gy", F.explode(F.transform(ring, lambda d: F.floor(F.col("y") / side) + d)))  # noqa: B023
-        found = asked.join(_filed(known, side), [*by, "gx", "gy"]).groupBy(key, *by).agg(F.min(segment_distance(F.col("x"), F.col("y"))).alias("distance"))
-        final = scratch.written(found if side >= reach else found.filter(F.col("distance") <= side * (1 - 1e-9)), "final")
-        done = final if done is None else done.unionByName(final)
-        if side >= reach:
-            break
-        todo = scratch.written(todo.join(final.select(key, *by), [key, *by], "left_anti"), "todo")
-        if todo.isEmpty():
-            break
-        side *= growth
-    done = written(done, "nearest")
+        return everyone.drop("g").withColumn("distance", F.lit(None).cast("double"))
+    reach = max([1.0] + [max(ends[k + 1], own[k + 1]) - min(ends[k], own[k]) for k in (0, 2)]) * 1.01
+    sides = [cell / growth]
+    while sides[-1] < reach:
+        sides.append(sides[-1] * growth)
+    scratch = Scratch(spark, "nearest")
+    leaf = ["level", "lx", "ly"]
+
+    placed = scratch.written(_leaves(at, known, sides, growth, scratch), "placed")
+    packs = placed.groupBy(*leaf, F.pmod(F.xxhash64(key, "x", "y"), F.col("packs")).alias("pack")).agg(F.collect_list(F.struct(key, "x", "y")).alias("p"))
+    packs = packs.select(*leaf, F.col(f"p.{key}").alias("ids"), F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
+    box = placed.groupBy(*leaf).agg(*[f(c).alias(n) for n, f, c in (("a", F.min, "x"), ("b", F.max, "x"), ("c", F.min, "y"), ("d", F.max, "y"))])
+    centres = scratch.written(box.select(*leaf, ((F.col("a") + F.col("b")) / 2).alias("x"), ((F.col("c") + F.col("d")) / 2).alias("y"), (F.hypot(F.col("b") - F.col("a"), F.col("d") - F.col("c")) / 2).alias("h")), "centres")
+
+    # one feature of each group in each occupied cell of each level: some feature is within u
+    level = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("side")) for k, s in enumerate(sides)])).alias("s")
+    cells = lambda df, x, y, *more: df.select(*more, level, x.alias("__x"), y.alias("__y")).select(*more, "s.k", F.floor(F.col("__x") / F.col("s.side")).alias("gx"), F.floor(F.col("__y") / F.col("s.side")).alias("gy"))
+    some = cells(known, F.col("x1"), F.col("y1"), "g", "x1", "y1").groupBy("k", "gx", "gy", "g").agg(F.min(F.struct("x1", "y1")).alias("f"))
+    ring = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)).alias(c)
+    around = cells(centres, F.col("x"), F.col("y"), *leaf, "x", "y").select(*leaf, "x", "y", "k", ring("gx"), "gy").select(*leaf, "x", "y", "k", "gx", ring("gy"))
+    bound = around.join(some, ["k", "gx", "gy"]).groupBy(*leaf, "g").agg(F.min(F.hypot(F.col("x") - F.col("f.x1"), F.col("y") - F.col("f.y1"))).alias("u"))
+    asks = centres.join(bound, leaf).withColumn("r", (F.col("u") + 2 * F.col("h")) * (1 + 1e-9) + 1e-6)
+    asks = scratch.written(asks.withColumn("k", F.greatest(F.lit(0), F.floor(F.log2("r"))).cast("int")).select(*leaf, "g", "x", "y", "r", "k"), "asks")
+
+    # every feature within r of a leaf's centre, on cells of side 2^k <= r
+    used = sorted(r[0] for r in asks.select("k").distinct().collect())  # as many as there are orders of distance
+    side = F.pow(F.lit(2.0), F.col("k"))
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("r")) / side), F.floor((F.col(c) + F.col("r")) / side)))
+    wanted = asks.withColumn("gx", span("x")).withColumn("gy", span("y"))
+    filed = _filed(known.withColumn("k", F.explode(F.array(*map(F.lit, used)))), side)
+    met = wanted.join(filed, ["g", "k", "gx", "gy"]).filter(segment_distance(F.col("x"), F.col("y")) <= F.col("r"))
+    met = scratch.written(met.select(*leaf, "g", "x1", "y1", "x2", "y2"), "met")
+    many = met.groupBy(*leaf).agg(F.ceil(F.count("*") / FEATURES).cast("long").alias("parts"))
+    dealt = met.join(small_side(many), leaf).withColumn("part", F.pmod(F.xxhash64("g", "x1", "y1", "x2", "y2"), F.col("parts")))
+    chunks = dealt.groupBy(*leaf, "part").agg(F.collect_set(F.struct("g", "x1", "y1", "x2", "y2")).alias("f")).select(*leaf, F.col("f.g").alias("gs"), *[F.col(f"f.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    kind = dict(points.dtypes)[key]
+    far = packs.join(chunks, leaf).mapInPandas(_measured(key), f"{key} {kind}, g int, distance double")
+    done = written(far.groupBy(key, "g").agg(F.min("distance").alias("distance")), "nearest")
     scratch.drop()
-    return everyone.join(done, [key, *by], "left")
+    return everyone.join(done, [key, "g"], "left").drop("g")
 
 
 def proximity(points: DataFrame, segments: DataFrame | None = None, polygons: DataFrame | None = None, by: list[str] | None = None, key: str = "episode_id", cell: float = 1000.0) -> DataFrame:

@@ -9,7 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.recode import ROADS, WATER, code_class, valid_coordinates
+from ..functions.recode import ROADS, WATER, code_class, road_county, valid_coordinates
 from ..operators.engine import duration_weighted, temporal_aggregate
 from ..operators.engine import keys as level_keys
 from ..operators.spatial import albers, bounded_nearest, degree_grid_weights, grid_weights, nearest, overlap_shares, overlap_weights, wrong_weight_sums
@@ -81,6 +81,12 @@ def road_distances(points: DataFrame, roads: DataFrame, cell: float = 1000.0) ->
     return out.select("episode_id", "year", F.col("pri").alias("dist_pri"), F.col("sec").alias("dist_sec"), F.least("pri", "sec").alias("dist_prisec"))
 
 
+def road_files(counties: DataFrame) -> DataFrame:
+    """counties(county, year) -> (county, year, code, name): the road file of each county of the 2010 list in each year."""
+    code = road_county(F.col("county"), F.col("year"))
+    return counties.select("county", "year", code.alias("code")).distinct().withColumn("name", F.format_string("tl_%d_%s_roads.zip", "year", "code"))
+
+
 def _tiles(low: Column, high: Column) -> Column:
     return F.sequence(F.floor(low / TILE), F.floor(high / TILE))
 

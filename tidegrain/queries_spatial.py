@@ -162,6 +162,10 @@ select a.episode_id, a.unit, round(any_value(a.area) / sum(o.area) + 3.3e-7, 6)
 
 
 query("g4_exact_overlap", _exact_sql(PEOPLE, RADIUS))(lambda r: spatial.overlap_shares(people(r), boxes(r), RADIUS).select("episode_id", "unit", six("weight")))
+query("n2_road_files", """with k as (select distinct case when c_custkey % 5 = 0 then '46113' else lpad(cast(c_custkey % 900 * 2 + 1001 as varchar), 5, '0') end as county, cast(2012 + c_custkey % 6 as integer) as year from customer)
+select county, year, case when county = '46113' and year >= 2015 then '46102' else county end as code, 'tl_' || year || '_' || case when county = '46113' and year >= 2015 then '46102' else county end || '_roads.zip' as name from k""")(
+    lambda r: plans.road_files(r.t("customer").select(F.expr("case when c_custkey % 5 = 0 then '46113' else lpad(cast(c_custkey % 900 * 2 + 1001 as string), 5, '0') end").alias("county"), F.expr("int(2012 + c_custkey % 6)").alias("year")))
+)
 _WATER_LON, _WATER_LAT = _LON.format("c_custkey"), _LAT.format("c_custkey")
 _LAYER = "case c_custkey % 4 when 0 then 'NHDFlowline' when 1 then 'NHDWaterbody' when 2 then 'NHDArea' else 'NetworkNHDFlowline' end"
 _CODE = "case c_custkey % 7 when 0 then 46006 when 1 then 56600 when 2 then 39004 when 3 then 31200 when 4 then 55800 when 5 then 99900 else 43600 end"
