@@ -47,6 +47,12 @@ def _corner(x: np.ndarray, y: np.ndarray, r: float) -> np.ndarray:
     return np.where(out, far, (sx + sy) / 2 - math.pi * r * r / 4 + x * y)
 
 
+def cell_areas(x: np.ndarray, y: np.ndarray, r: float) -> np.ndarray:
+    """Areas of disks at the origin in the cells between the lattice lines x and y of each disk: (disks, rows, columns)."""
+    c = _corner(x[:, None, :], y[:, :, None], r)
+    return c[:, 1:, 1:] - c[:, 1:, :-1] - c[:, :-1, 1:] + c[:, :-1, :-1]
+
+
 def _inside_cells(corners: np.ndarray, x0: float, y0: float, step: float, per: int) -> np.ndarray:
     """Whether the centres of a tile's cells (row, column) are inside, by the edges that cross their row to the right of them."""
     e = corners.reshape(-1, 4)
@@ -111,8 +117,7 @@ def overlap_weights(points: DataFrame, polygons: DataFrame, radius: float = 270.
                     i0, j0 = np.floor((x - radius) / step).astype(np.int64), np.floor((y - radius) / step).astype(np.int64)
                     i, j = i0[:, None] + offset - tx * per, j0[:, None] + offset - ty * per
                     ex, ey = (i0[:, None] + offset) * step - x[:, None], (j0[:, None] + offset) * step - y[:, None]
-                    c = _corner(ex[:, None, :], ey[:, :, None], radius)
-                    area = c[:, 1:, 1:] - c[:, 1:, :-1] - c[:, :-1, 1:] + c[:, :-1, :-1]
+                    area = cell_areas(ex, ey, radius)
                     i, j = i[:, :-1], j[:, :-1]
                     held = ((i >= 0) & (i < per))[:, None, :] & ((j >= 0) & (j < per))[:, :, None] & (area > 1e-9)
                     whose = owner[np.clip(j, 0, per - 1)[:, :, None], np.clip(i, 0, per - 1)[:, None, :]]

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weighted import share_of_group
-from ..shared import Scratch, small_side, written
-from .overlap import overlap_areas, overlap_shares, overlap_weights  # noqa: F401
+from ..shared import Scratch, partitions, small_side, written
+from .overlap import cell_areas, overlap_areas, overlap_shares, overlap_weights  # noqa: F401
 from .tiles import edges_of, inside, odd_crossings, tiled  # noqa: F401
 
 #: Ellipsoids: semi-major axis in m, flattening.  Fixed values.
@@ -110,10 +110,28 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str = "episo
 
 
 def grid_weights(points: DataFrame, x0: float, y0: float, cell: float, width: int, height: int, radius: float = 270.0, offset: int = 0) -> DataFrame:
-    """(episode_id, unit, weight): shares of the buffer by raster cell, row-major from the top left corner (x0, y0)."""
+    """(episode_id, unit, weight): shares of the buffer by raster cell, row-major from the top left corner (x0, y0).  All cells of a
+    buffer are measured beside its row, each corner of the lattice once."""
+    span = np.arange(math.ceil(2 * radius / cell) + 2)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), 2048):
+                part = batch.iloc[a : a + 2048]
+                x, y = part.x.to_numpy(float), part.y.to_numpy(float)
+                i, j = (np.floor((v - radius) / cell).astype(np.int64)[:, None] + span for v in (x, y))
+                area = cell_areas(i * cell - x[:, None], j * cell - y[:, None], radius)
+                i, j = i[:, :-1], j[:, :-1]
+                held = ((i >= 0) & (i < width))[:, None, :] & ((j >= 0) & (j < height))[:, :, None] & (area > 1e-9)
+                area = np.where(held, area, 0.0)
+                share = area / np.maximum(area.sum(axis=(1, 2), keepdims=True), 1e-300)
+                row, b, a_ = np.nonzero(held)
+                yield pd.DataFrame({"episode_id": part.episode_id.to_numpy()[row], "unit": j[row, b] * width + i[row, a_] + offset, "weight": share[held]})
+
     moved = points.select("episode_id", (F.col("x") - x0).alias("x"), (y0 - F.col("y")).alias("y")).filter("x is not null and y is not null")
-    out = disk_cells(moved, radius, cell).filter(F.col("i").between(0, width - 1) & F.col("j").between(0, height - 1))
-    return out.select("episode_id", (F.col("j") * width + F.col("i") + offset).alias("unit"), share_of_group("area", "episode_id").alias("weight"))
+    kind = dict(points.dtypes)["episode_id"]
+    dealt = moved.repartition(partitions(points.sparkSession), "episode_id").dropDuplicates(["episode_id", "x", "y"])  # a repeated row is one buffer
+    return dealt.mapInPandas(measure, f"episode_id {kind}, unit long, weight double")
 
 
 def _clipped(x: np.ndarray, y: np.ndarray, at: float, keep_above: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -265,16 +283,19 @@ def nearest(points: DataFrame, segments: DataFrame, key: str = "episode_id", cel
         everyone = everyone.select(key, F.explode(F.array(*rows)).alias("__g")).select(key, "__g.*")
     else:
         known, everyone = known.withColumn("g", listed), everyone.withColumn("g", listed)
-    known, at = known.select("g", "x1", "y1", "x2", "y2"), points.select(key, "x", "y").filter("x is not null and y is not null")
+    scratch = Scratch(spark, "nearest")
+    # projected once, not again in each step below
+    known = scratch.written(known.select("g", "x1", "y1", "x2", "y2"), "known")
+    at = scratch.written(points.select(key, "x", "y").filter("x is not null and y is not null"), "at")
     ends = known.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
     own = at.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if ends[0] is None or own[0] is None:
+        scratch.drop()
         return everyone.drop("g").withColumn("distance", F.lit(None).cast("double"))
     reach = max([1.0] + [max(ends[k + 1], own[k + 1]) - min(ends[k], own[k]) for k in (0, 2)]) * 1.01
     sides = [cell / growth]
     while sides[-1] < reach:
         sides.append(sides[-1] * growth)
-    scratch = Scratch(spark, "nearest")
     leaf = ["level", "lx", "ly"]
 
     placed = scratch.written(_leaves(at, known, sides, growth, scratch), "placed")
