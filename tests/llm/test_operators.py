@@ -304,3 +304,13 @@ def test_oracles(spark, name):
     assert sorted(got.columns) == cols
     order = lambda df: df[cols].sort_values(cols, ignore_index=True)
     pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False)
+
+
+@pytest.mark.parametrize("holders", [2, 6, 10, 40])
+def test_a_changed_passage_is_found_whatever_the_number_of_its_holders(spark, holders):
+    stretch = [f"p{k}" for k in range(54)]
+    texts = [(k, " ".join([f"a{k}x{i}" for i in range(30)] + stretch + [f"b{k}x{i}" for i in range(30)])) for k in range(holders)]
+    changed = [f"z{k}" if k % 5 == 4 else w for k, w in enumerate(stretch)]
+    rows = passages.repeated_passages(spark.createDataFrame([*texts, (1000, " ".join([f"c{i}" for i in range(30)] + changed + [f"d{i}" for i in range(30)]))], "doc_id long, text string")).collect()
+    found = {r.doc_id for r in rows} | {r.partner_id for r in rows}
+    assert found >= {1000, *range(holders)}
