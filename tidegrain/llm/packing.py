@@ -4,7 +4,7 @@ A document's ids and its end id are cut into pieces of at most `capacity` ids; o
 rest that does not fill a piece comes first.  Pieces are dealt at random over partitions of some `part_rows` rows, and each
 packs its own by best-fit decreasing.  Dual feasible functions of the lengths bound a partition's number of bins
 from below; a partition that meets its bound is certified and stays.  Partitions with a gap give up the bins that have room:
-their pieces are dealt anew over fewer partitions and packed again, as long as that saves more than one bin in a thousand.
+their pieces are dealt anew over fewer partitions and packed again, as long as that saves any bin.
 
 Defined results: null text is empty and gives one piece, its end id; rows equal in doc_id and text are packed one by one; an empty
 table gives an empty result; other columns are ignored.
@@ -110,8 +110,8 @@ def _packed(rows: DataFrame, turn: int, part_rows: int, capacity: int, scratch:
     return scratch.written(dealt.groupBy("part").applyInPandas(pack, _PLACED), f"packed-{turn}")
 
 
-#: Share of the sequences of a pool that a turn must save to be followed by another one; turns that ids have room for.
-WORTH, TURNS = 0.001, 127
+#: Turns that sequence ids have room for, beside the first.
+TURNS = 127
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
@@ -121,7 +121,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS)
     scratch = Scratch(rows.sparkSession, "packing")
     last = _packed(scratch.written(rows, "pieces"), 0, part_rows, capacity, scratch)
     done: DataFrame | None = None
-    for turn in range(1, TURNS):
+    for turn in range(1, TURNS + 1):
         loose = (F.col("gap") > 0) & (F.col("fill") < capacity)
         pool = last.filter(loose)
         before = n_bins(pool)
@@ -134,8 +134,6 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS)
         stay = last.filter(~loose)
         done = stay if done is None else done.unionByName(stay)
         last = again
-        if before - after < WORTH * before:
-            break
     out = written(last if done is None else done.unionByName(last), "packed")
     scratch.drop()
     return out
