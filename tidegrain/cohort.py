@@ -45,7 +45,14 @@ def validate(df: DataFrame) -> DataFrame:
 
 
 def episodes(df: DataFrame) -> DataFrame:
-    """pid, episode_id, start_date, end_date, lon, lat.  episode_id numbers the input's rows from 0.  Dates with a time zone are refused."""
+    """pid, episode_id, start_date, end_date, lon, lat.  episode_id numbers the input's rows from 0.  Dates with a time zone are refused.
+    Columns are found whatever their case; one that is spelt exactly goes before others."""
+    found = {c.lower(): c for c in df.columns} | {c.lower(): c for c in REQUIRED if c in df.columns}
+    found.setdefault("pid", found.get("patid"))
+    absent = [c for c in REQUIRED if not found.get(c.lower())]
+    if absent:
+        raise ValueError(f"no column {', '.join(absent)}")
+    df = df.select(*[df[found[c.lower()]].alias(c) for c in REQUIRED]) if len({c.lower() for c in df.columns}) == len(df.columns) else df
     zoned = [c for c, t in df.dtypes if t == "timestamp" and c in ("startDate", "endDate")]
     if zoned:
         raise ValueError(f"{', '.join(zoned)}: a date must have no time zone")

@@ -83,7 +83,16 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with `name`, the place of each row in the order in which it is read, from 0 and gapless.
 
     The place inside a task's rows is known to the task; the tasks' counts, one row each, give the rest."""
-    rows = written(df.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "numbered")
-    tasks = rows.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
-    ahead = F.coalesce(F.sum("__n").over(Window.partitionBy().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(small_side(tasks.select("__part", (ahead - F.col("__first")).alias("__base"))), "__part").select(*df.columns, (F.col("__base") + F.col("__at")).alias(name))
+    part, at, base, n, first = (_free(df, k) for k in ("part", "at", "base", "n", "first"))
+    rows = written(df.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "numbered")
+    tasks = rows.groupBy(part).agg(F.count("*").alias(n), F.min(at).alias(first))
+    ahead = F.coalesce(F.sum(n).over(Window.partitionBy().orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(small_side(tasks.select(part, (ahead - F.col(first)).alias(base))), part).select(*df.columns, (F.col(base) + F.col(at)).alias(name))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """The name, behind as many underscores as no column of df begins with."""
+    lead = "__"
+    while any(c.startswith(lead) for c in df.columns):
+        lead += "_"
+    return lead + name

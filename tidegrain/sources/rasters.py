@@ -162,6 +162,7 @@ def box_cells(west: float, south: float, east: float, north: float, x0: float =
 
 
 def preconverted(long_cells: DataFrame, path: str, feature: str, ids: Column) -> None:
-    """Writes the cells (grid_id, date, value) of a box by feature and year, for readers to prune."""
+    """Writes the cells (grid_id, date, value) of a box by feature and year, for readers to prune.  A feature's years that are written again
+    replace what was there; others stay."""
     kept = long_cells.withColumn("__ids", ids).filter(F.array_contains("__ids", F.col("grid_id"))).drop("__ids")
-    kept.withColumns({"feature": F.lit(feature), "year": F.year("date")}).write.mode("append").partitionBy("feature", "year").parquet(path)
+    kept.withColumns({"feature": F.lit(feature), "year": F.year("date")}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feature", "year").parquet(path)

@@ -109,15 +109,41 @@ def from_wkb(df: DataFrame, column: str = "geometry") -> DataFrame:
     return cleaned(df.select(*[f.name for f in keep], column).mapInArrow(parse, schema))
 
 
+def polygons_of(rings: list) -> list[list]:
+    """Rings as polygons: each a shell and the holes right inside it, by how many rings a ring lies in."""
+    xy = [np.array([(p["x"], p["y"]) for p in r]) for r in rings]
+    boxes = [(*v.min(axis=0), *v.max(axis=0)) for v in xy]
+
+    def holds(outer: int, inner: int) -> bool:
+        """Whether most vertices and middles of edges of a ring are in another; a few may lie on it."""
+        if boxes[outer][0] > boxes[inner][0] or boxes[outer][1] > boxes[inner][1] or boxes[outer][2] < boxes[inner][2] or boxes[outer][3] < boxes[inner][3]:
+            return False
+        v = xy[inner]
+        x, y = np.concatenate([v, (v + np.roll(v, -1, axis=0)) / 2]).T
+        (ax, ay), (bx, by) = xy[outer].T[:, :, None], np.roll(xy[outer], -1, axis=0).T[:, :, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            crossed = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+        return 2 * (crossed.sum(axis=0) % 2 == 1).sum() > len(x)
+
+    area = [abs(float(np.dot(v[:, 0] - v[0, 0], np.roll(v[:, 1], -1) - np.roll(v[:, 1], 1)))) for v in xy]
+    around = [[o for o in range(len(rings)) if o != i and area[o] > area[i] and holds(o, i)] for i in range(len(rings))]
+    shells = {i: [rings[i]] for i in range(len(rings)) if len(around[i]) % 2 == 0}
+    for i, outer in enumerate(around):
+        if i not in shells:
+            shells[min(outer, key=lambda o: (-len(around[o]), area[o]))].append(rings[i])
+    return list(shells.values())
+
+
 def _packed(rings: list, lines: list) -> bytes:
     points = lambda line: struct.pack("<I", len(line)) + b"".join(struct.pack("<2d", p["x"], p["y"]) for p in line)
-    parts = [struct.pack("<BII", 1, 3, 1) + points([*r, r[0]]) for r in rings]
+    polygons = [struct.pack("<BII", 1, 3, len(p)) + b"".join(points([*r, r[0]]) for r in p) for p in polygons_of(rings)]
+    parts = [polygons[0] if len(polygons) == 1 else struct.pack("<BII", 1, 6, len(polygons)) + b"".join(polygons)] if polygons else []
     parts += [struct.pack("<BI", 1, 1) + struct.pack("<2d", x[0]["x"], x[0]["y"]) if len(x) == 1 else struct.pack("<BI", 1, 2) + points(x) for x in lines]
     return parts[0] if len(parts) == 1 else struct.pack("<BII", 1, 7, len(parts)) + b"".join(parts)
 
 
 def write_geo(df: DataFrame, path: str) -> None:
-    """Parquet with a WKB column in place of rings and lines; replaces what is there.  Each ring is a polygon of its own."""
+    """Parquet with a WKB column in place of rings and lines; replaces what is there.  Rings are written as polygons with holes."""
     keep = [f for f in df.schema.fields if f.name not in ("rings", "lines")]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
