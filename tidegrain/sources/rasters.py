@@ -1,15 +1,13 @@
 """Raster files as long tables of cells.  A file is one row of `binaryFile` and is decoded by the task that reads it, so rasters
 spread over tasks by file; files must be smaller than 2 GB.
 
-GeoTIFF: strips or tiles, uncompressed or deflated, with or without the horizontal predictor.  NetCDF and HDF have no decoder here:
-their cells are expected as Parquet (grid_id, date or start_date and end_date, value), which any converter can write."""
+GeoTIFF: strips or tiles, uncompressed, deflated or LZW, with or without a predictor.  grid_blocks.py reads single blocks of larger files,
+and classic NetCDF; cells of HDF files are expected as Parquet (grid_id, date or start_date and end_date, value)."""
 
 from __future__ import annotations
 
 import io
-import struct
 import zipfile
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.recode import no_data
+from .grid_blocks import SAMPLES, tiff_fields, unpacked
+from .grid_blocks import samples as samples_of
 from .periods import files, met_by
 
-#: Sizes and codes of the types of TIFF fields; kinds of samples; box in which a registered grid must lie in part.  Fixed values.
-_FIELD = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
-_SAMPLE = {1: "u", 2: "i", 3: "f"}
+#: Box in which a registered grid must lie in part.  Fixed values.
 REGISTERED_BOX = (-125.5, 24.0, -66.5, 49.8)
 
 
@@ -41,22 +39,7 @@ class Grid:
 
 
 def _fields(data: bytes) -> tuple[str, dict[int, tuple]]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise ValueError("not a TIFF file")
-    (at,) = struct.unpack_from(order + "I", data, 4)
-    (n,) = struct.unpack_from(order + "H", data, at)
-    found = {}
-    for k in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-        if kind not in _FIELD:
-            continue
-        width, code = _FIELD[kind]
-        where = at + 2 + 12 * k + 8
-        if width * count > 4:
-            (where,) = struct.unpack_from(order + "I", data, where)
-        found[tag] = (data[where : where + count],) if code == "s" else struct.unpack_from(order + code * count, data, where)
-    return order, found
+    return tiff_fields(lambda at, n: data[at : at + n])
 
 
 def grid_of(data: bytes) -> Grid:
@@ -73,10 +56,8 @@ def band_of(data: bytes, band: int = 1) -> np.ndarray:
     """One band as rows of numbers, band 1 first."""
     order, f = _fields(data)
     width, height, samples = f[256][0], f[257][0], f.get(277, (1,))[0]
-    kind = np.dtype(f"{order}{_SAMPLE[f.get(339, (1,))[0]]}{f[258][0] // 8}")
+    kind = np.dtype(f"{order}{SAMPLES[f.get(339, (1,))[0]]}{f[258][0] // 8}")
     planar, packing, predictor = f.get(284, (1,))[0], f.get(259, (1,))[0], f.get(317, (1,))[0]
-    if packing not in (1, 8, 32946) or predictor not in (1, 2):
-        raise ValueError(f"no decoder for compression {packing} with predictor {predictor}")
     tiles = 322 in f
     w, h = (f[322][0], f[323][0]) if tiles else (width, f.get(278, (height,))[0])
     starts, sizes = (f[324], f[325]) if tiles else (f[273], f[279])
@@ -86,10 +67,7 @@ def band_of(data: bytes, band: int = 1) -> np.ndarray:
     for k in range(across * down):
         at = k + (across * down * (band - 1) if planar == 2 else 0)
         raw = data[starts[at] : starts[at] + sizes[at]]
-        block = np.frombuffer(raw if packing == 1 else zlib.decompress(raw), kind)
-        block = block[: len(block) // (w * inner) * w * inner].reshape(-1, w, inner)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=kind)
+        block = samples_of(unpacked(raw, packing), kind, w, inner, predictor)
         y, x = k // across * h, k % across * w
         out[y : y + len(block), x : x + w] = block[..., band - 1 if planar == 1 else 0]
     return out[:height, :width]

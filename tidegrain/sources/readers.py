@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import first_format, year_and_day
 from ..functions.recode import no_data, padded
 from ..functions.weighted import nan_to_null
+from .grid_blocks import grid_cells
 from .periods import files
 from .rasters import cells
 from .tables import TRACT_DATE_FORMATS, read_table
@@ -60,6 +61,18 @@ def acag(spark: SparkSession, path: str, column: str = "value", years: list[int]
     return _wanted(_in_years(out, whole, "start_date", "end_date"), weights).filter(F.col(column).isNotNull())
 
 
+@register_reader("acag_netcdf")
+def acag_netcdf(spark: SparkSession, folder: str, column: str = "value", years: list[int] | None = None, weights: DataFrame | None = None, variable: str | None = None) -> DataFrame:
+    """The same from classic NetCDF files whose names end in `YYYYDDD-YYYYDDD.nc`, cells from 1 at the north-west corner; only the blocks with
+    wanted cells are read.  variable: by default the first that is no coordinate."""
+    named = spark.read.format("binaryFile").option("pathGlobFilter", "*.nc").load(folder).select("path")
+    days = F.regexp_extract("path", r"(\d{7}-\d{7})\.nc$", 1)
+    dated = named.filter(days != "").select("path", year_and_day(F.substring(days, 1, 7)).alias("start_date"), year_and_day(F.substring(days, 9, 7)).alias("end_date"))
+    whole = list(range(min(years), max(years) + 1)) if years else list(range(2013, 2020))
+    found = _in_years(dated, whole, "start_date", "end_date")
+    return grid_cells(spark, found, variable, weights, 1, ("start_date", "end_date"), column).select("grid_id", "start_date", "end_date", column)
+
+
 @register_reader("vnl")
 def vnl(spark: SparkSession, folder: str, years: list[int] | None = None, weights: DataFrame | None = None) -> DataFrame:
     """(grid_id, start_date, end_date, vnl) from GeoTIFFs by year or months; cells count from 1."""
