@@ -257,3 +257,49 @@ def test_county_of_a_road_file(spark):
     assert [r[0] for r in df.select(recode.road_county(F.col("county"), F.col("year"))).collect()] == ["46113", "46102", "46113", "12001", None]
     rows = plans_spatial.road_files(df.filter("county is not null and year is not null")).orderBy("county", "year").collect()
     assert [r.name for r in rows] == ["tl_2020_12001_roads.zip", "tl_2014_46113_roads.zip", "tl_2015_46102_roads.zip"]
+
+
+@pytest.mark.parametrize("level", ["participant", "episode"])
+def test_linking_sources_together_is_linking_each(spark, level):
+    from tidegrain.plans import link
+    from tidegrain.queries_link import five_variables
+
+    r, calls = queries.Roles(spark, DATA), []
+    got = five_variables(r, level, calls).toPandas()
+    keys = engine.keys(level)
+    singles = {
+        "poor": patterns.yearly_areal(r.episodes, r.weights, r.yearly, ["v"], level).withColumnRenamed("v", "poor"), "old": patterns.yearly_areal(r.episodes, r.weights, r.yearly, ["v2"], level).withColumnRenamed("v2", "old"),
+        "shade": patterns.static_areal(r.episodes, r.weights, r.static, ["v2"], level).withColumnRenamed("v2", "shade"), "dust": patterns.gridded(r.episodes, r.weights, r.daily, ["v2"], level).withColumnRenamed("v2", "dust"),
+    }
+    assert calls == [1] and list(got.columns) == [*keys, "poor", "old", "walk", "shade", "dust"]
+    for name, one in singles.items():
+        both = got[[*keys, name]].merge(one.toPandas(), on=keys, how="left", suffixes=("", "_alone"))
+        assert len(both) == len(got) and np.allclose(both[name], both[f"{name}_alone"], equal_nan=True) and both[name].notna().any()
+    everyone = r.episodes.toPandas()
+    assert got[keys[-1]].tolist() == (everyone.sort_values("episode_id").pid.drop_duplicates().tolist() if level == "participant" else sorted(everyone.episode_id))
+    sources = [link.Source(n, g, k, r.yearly, {"v": "v"}) for n, g, k in (("a", "tracts", "yearly"), ("b", "cells", "static"), ("c", "tracts", "yearly"), ("d", "tracts", "static"))]
+    steps = link.plan(sources)
+    assert [(s.what, s.geography, s.kind) for s in steps] == [("weights", "tracts", ""), ("weights", "cells", ""), ("values", "tracts", "yearly"), ("values", "cells", "static"), ("values", "tracts", "static")]
+    assert steps[2].columns == {"a": {"v": "v"}, "c": {"v": "v_c_dup"}}
+    for bad, said in ((sources[:1] * 2, "two sources"), ([], "no sources"), ([link.Source("a", "g", "hourly", r.yearly, {})], "not one of"), ([link.Source("a", "g", "daily", r.yearly, {"v": "v"})], "no column date")):
+        with pytest.raises(ValueError, match=said):
+            link.plan(bad)
+    with pytest.raises(ValueError, match="no geography"):
+        link.link(r.episodes, r.episodes, sources, {})
+
+
+def test_kept_weights_are_made_once(spark, tmp_path):
+    from tidegrain.plans import link
+
+    calls = []
+    points = spark.createDataFrame([(1, -96.0, 37.5), (2, -96.001, 37.5)], "episode_id long, lon double, lat double")
+    stays = spark.createDataFrame([("p", 1, "2019-01-01", "2019-01-10"), ("q", 2, "2019-01-01", "2019-01-10")], "pid string, episode_id long, start_date string, end_date string").withColumns({c: F.col(c).cast("date") for c in ("start_date", "end_date")})
+    shape = spark.createDataFrame([("a", [[(-1000.0, -1000.0), (1000.0, -1000.0), (1000.0, 1000.0), (-1000.0, 1000.0)]])], RINGS)
+
+    def counted(p):
+        calls.append(1)
+        return link.polygons(shape, "square").make(p)
+
+    values = spark.createDataFrame([("a", 2.5)], "unit string, v double")
+    ask = lambda: link.link(stays, points, [link.Source("s", "square", "static", values, {"v": "v"})], {"square": link.Geography(counted, {"polygons": "square"})}, folder=str(tmp_path / "kept")).collect()
+    assert [(r.pid, r.v) for r in ask()] == [("p", 2.5), ("q", 2.5)] == [(r.pid, r.v) for r in ask()] and calls == [1]

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidegrain import queries, queries_rules, queries_spatial  # noqa: F401  they add to queries.QUERIES
+from tidegrain import queries, queries_link, queries_rules, queries_spatial  # noqa: F401  they add to queries.QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
