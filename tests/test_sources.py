@@ -237,3 +237,17 @@ def test_datasets(spark, tmp_path):
     (tmp_path / "r.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"y": "2015"}, "geometry": {"type": "LineString", "coordinates": [[-96, 40], [-96, 41]]}}]}))
     made = datasets.prepared_features(vectors.read_geojson(spark, str(tmp_path / "r.geojson")), "y").first()
     assert made.year == 2015 and abs(made.lines[0][0].x) < 1e-6
+
+
+def test_uploads(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("﻿GEOID, rate ,,place\n01001,1.5,x,Zürich\n , ,,\n01003,N/A,,\n01005,10,,\"a, \"\"b\"\"\"\n".encode())
+    df = tables.read_upload(spark, str(tmp_path / "a.csv"))
+    assert df.columns == ["GEOID", "rate", "place"] and [tuple(r) for r in df.collect()] == [("01001", "1.5", "Zürich"), ("01003", "N/A", None), ("01005", "10", 'a, "b"')]
+    assert [tuple(r)[1:] for r in tables.preview(df).orderBy("place").collect()] == [("GEOID", 3, True, 1001.0, 1005.0), ("rate", 3, True, 1.5, 10.0), ("place", 3, False, None, None)]
+    assert tables.sampled(df) == {"GEOID": ["01001", "01003", "01005"], "rate": ["1.5", "10", "N/A"], "place": ["Zürich", 'a, "b"']}
+    (tmp_path / "b.csv").write_bytes("k,v\n1,Zürich\n".encode("latin-1"))
+    assert tables.read_upload(spark, str(tmp_path / "b.csv")).first().v == "Zürich"
+    for name, data, said in (("c.csv", "k,v\n , \n", "no data rows"), ("d.csv", " ,\n1,2\n", "no column names")):
+        (tmp_path / name).write_text(data)
+        with pytest.raises(ValueError, match=said):
+            tables.read_upload(spark, str(tmp_path / name))

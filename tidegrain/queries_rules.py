@@ -86,9 +86,16 @@ query("v1_cohort_checks", """with c as (select case when c_custkey % 10 = 0 then
  date '2015-01-01' + cast(c_custkey % 900 as integer) as a, date '2016-01-01' + cast(c_custkey % 700 as integer) as b from customer),
 n as (select count(*) filter (trim(pid) = '') as p, count(*) filter (lat is null) as m, count(*) filter (lat = 'x') as x, count(*) filter (abs(try_cast(lon as double)) > 180 or coalesce(abs(try_cast(lat as double)) > 90, false)) as r, count(*) filter (a > b) as o from c)
 select * from (select 'pid_missing' as "check", 'error' as level, p as n from n union all select 'coord_missing', 'error', m from n union all select 'coord_not_numeric', 'error', x from n union all select 'coord_range', 'error', r from n union all select 'date_order', 'error', o from n) where n > 0""")(lambda r: _checks(r))
-query("v4_numeric_columns", "select unnest(['half', 'tax']) as name")(
+#: The table of _mixed(), and what the rules count in each of its columns.
+_MIXED = """with t as (select cast(l_orderkey as varchar) as "key", cast(l_tax as varchar) as tax, case when l_linenumber < 3 then cast(l_discount as varchar) else 'N/A' end as half, case when l_linenumber = 1 then '1' else 'many' end as words, l_returnflag as flag from lineitem),
+u as (select unnest([{'place': 0, 'name': 'key', 'v': "key"}, {'place': 1, 'name': 'tax', 'v': tax}, {'place': 2, 'name': 'half', 'v': half}, {'place': 3, 'name': 'words', 'v': words}, {'place': 4, 'name': 'flag', 'v': flag}]) as c from t),
+e as (select c.place as place, c.name as name, nullif(trim(c.v), '') as v, nullif(trim(c.v), '') is not null and upper(trim(c.v)) not in ('', 'NA', 'N/A', 'NULL', 'NAN', '.') as given, try_cast(trim(c.v) as double) as x from u),
+k as (select place, name, count(*) as n, count(v) as entries, count(*) filter (given) as p, count(*) filter (given and x is null) as f, min(x) filter (given) as least, max(x) filter (given) as most from e group by 1, 2)"""
+query("v4_numeric_columns", f"{_MIXED} select name from k where name <> 'key' and p > 0 and f <= 0.5 * n and f < p")(
     lambda r: r.t("lineitem").sparkSession.createDataFrame([(c,) for c in tables.numeric_columns(_mixed(r), ["key"])], "name string")
 )
+query("s35_preview", f"{_MIXED} select cast(place as integer) as place, name, n as rows, entries > 0 and f = 0 as numeric, case when entries > 0 and f = 0 then least end as least, case when entries > 0 and f = 0 then most end as most from k")(lambda r: tables.preview(_mixed(r)))
+query("f11_first_and_last_year", f"{ROLES}{spaced('yearly', 'yr')}{timed(BY_YEAR + ' where p.yr between 1994 and 1996')}")(lambda r: rounded(patterns.yearly_areal(r.episodes, r.weights, r.yearly, COLUMNS, first=1994, last=1996)))
 
 
 def _numbered(df: DataFrame) -> DataFrame:

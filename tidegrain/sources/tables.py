@@ -89,6 +89,44 @@ def clean(text: Column) -> Column:
     return F.when(~F.upper(bare).isin(*MISSING), bare)
 
 
+def read_upload(spark: SparkSession, path: str) -> DataFrame:
+    """An uploaded CSV with a header, all columns as text: UTF-8, or Latin-1 if some bytes are no UTF-8; names trimmed and without the mark of
+    the byte order; blank rows and columns without a name go.  A file without names or rows is refused."""
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
+    raw = spark.read.csv(path, header=True, inferSchema=False, encoding="ISO-8859-1" if bad else "UTF-8", quote='"', escape='"', multiLine=True)
+    unnamed = [c for k, c in enumerate(raw.columns) if not c.strip(" \ufeff") or c == f"_c{k}"]
+    if len(unnamed) == len(raw.columns):
+        raise ValueError("the first line has no column names")
+    some = F.greatest(F.lit(False), *[F.coalesce(F.trim(F.col(f"`{c}`")) != "", F.lit(False)) for c in raw.columns])
+    rows = raw.filter(some).select(*[F.col(f"`{c}`").alias(c.strip(" \ufeff")) for c in raw.columns if c not in unnamed])
+    if rows.isEmpty():
+        raise ValueError("the file has a header but no data rows")
+    return rows
+
+
+#: Rows that a preview shows, rows whose values are sampled, and values of a sample.
+SHOWN, SAMPLED, SAMPLE = 5, 200, 5
+
+
+def preview(raw: DataFrame) -> DataFrame:
+    """(place, name, rows, numeric, least, most) of every column, in one pass: numeric if it has entries and all of them are numbers or marks of
+    missing ones; the range of a numeric column by value, not by text."""
+    names = raw.columns
+    text = lambda c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
+    number = lambda c: F.expr(f"try_cast(trim(`{c}`) as double)")
+    told = [F.struct(F.lit(k).alias("place"), F.lit(c).alias("name"), F.count("*").alias("rows"), ((F.count(text(c)) > 0) & (F.count_if(clean(text(c)).isNotNull() & number(c).isNull()) == 0)).alias("numeric"),
+                     F.min(F.when(clean(text(c)).isNotNull(), number(c))).alias("least"), F.max(F.when(clean(text(c)).isNotNull(), number(c))).alias("most")) for k, c in enumerate(names)]
+    row = raw.agg(*[t.alias(f"c{k}") for k, t in enumerate(told)])
+    out = row.select(F.explode(F.array(*[F.col(f"c{k}") for k in range(len(names))])).alias("c")).select("c.*")
+    return out.withColumns({c: F.when(F.col("numeric"), F.col(c)) for c in ("least", "most")})
+
+
+def sampled(raw: DataFrame) -> dict[str, list[str]]:
+    """A few distinct entries of each column from the head of the table."""
+    head = [r.asDict() for r in raw.limit(SAMPLED).collect()]  # the rows that a person looks at
+    return {c: sorted({(r[c] or "").strip() for r in head} - {""})[:SAMPLE] for c in raw.columns}
+
+
 def registered_table(raw: DataFrame, key: str, width: int, values: list[str], year: str | None = None, date: str | None = None) -> DataFrame:
     """Text columns -> unit[, year | date], doubles; sorted by key and period inside partitions."""
     from ..functions.recode import padded
