@@ -151,9 +151,10 @@ def _area(x: np.ndarray, y: np.ndarray) -> float:
     return abs(float(np.dot(x - x[0], np.roll(y, -1) - y[0]) - np.dot(np.roll(x, -1) - x[0], y - y[0]))) / 2 if len(x) > 2 else 0.0
 
 
-def degree_grid_weights(points: DataFrame, lon0: float, lat0: float, cell: float, width: int, height: int, radius: float = 270.0, offset: int = 0, valid: DataFrame | None = None, vertices: int = 400) -> DataFrame:
+def degree_grid_weights(points: DataFrame, lon0: float, lat0: float, cell: float, width: int, height: int, radius: float = 270.0, offset: int = 0, valid: DataFrame | None = None, vertices: int = 400, forward: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
     """(episode_id, unit, weight) over a grid in degrees, row-major from the top left corner (lon0, lat0): the buffer's polygon is
     taken to degrees and clipped to each cell that it meets.  valid(unit): cells with data; others go before the shares are made.
+    forward: from degrees to the grid's own coordinates, in which the corner and the cell are then given.
 
     points(episode_id, lon, lat).  A buffer in one cell, which most are, needs no clipping."""
     x, y = albers(F.col("lon"), F.col("lat"))
@@ -165,7 +166,8 @@ def degree_grid_weights(points: DataFrame, lon0: float, lat0: float, cell: float
             out = []
             for k, (px, py) in enumerate(zip(batch.x, batch.y, strict=True)):
                 lon, lat = albers_inverse(px + radius * np.cos(turn), py + radius * np.sin(turn))
-                u, v = (lon - lon0) / cell, (lat0 - lat) / cell
+                gx, gy = forward(lon, lat) if forward else (lon, lat)
+                u, v = (gx - lon0) / cell, (lat0 - gy) / cell
                 for i in range(int(np.floor(u.min())), int(np.floor(u.max())) + 1):
                     cu, cv = _clipped(*_clipped(u, v, i, True), i + 1, False)
                     for j in range(int(np.floor(cv.min())), int(np.floor(cv.max())) + 1) if len(cv) else ():

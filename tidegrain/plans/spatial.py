@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.recode import ROADS, WATER, code_class, road_county, valid_coordinates
 from ..operators.engine import duration_weighted, temporal_aggregate
 from ..operators.engine import keys as level_keys
+from ..operators.projections import Projection
 from ..operators.spatial import albers, bounded_nearest, degree_grid_weights, grid_weights, nearest, overlap_shares, overlap_weights, wrong_weight_sums
 from ..operators.spatial import proximity as proximity_distances
 from ..shared import written
@@ -46,11 +47,12 @@ def boundary_overlap(points: DataFrame, polygons: DataFrame, radius: float = 270
     return overlap_shares(placed(points), _metric(polygons, degrees), radius)
 
 
-def buffer_grid(points: DataFrame, grid: dict[str, float], radius: float = 270.0, offset: int = 0, degrees: bool = True, valid: DataFrame | None = None) -> DataFrame:
-    """(episode_id, unit, weight) over the cells of a raster's grid (x0, y0, cell, width, height); written, and checked to sum to 1."""
+def buffer_grid(points: DataFrame, grid: dict[str, float], radius: float = 270.0, offset: int = 0, degrees: bool = True, valid: DataFrame | None = None, own: Projection | None = None) -> DataFrame:
+    """(episode_id, unit, weight) over the cells of a raster's grid (x0, y0, cell, width, height); written, and checked to sum to 1.
+    own: the raster's projection, where it is neither in degrees nor in that of the buffers."""
     g = (grid["x0"], grid["y0"], grid["cell"], int(grid["width"]), int(grid["height"]))
     ok = valid_coordinates(F.col("lon").cast("double"), F.col("lat").cast("double"))
-    out = degree_grid_weights(points.filter(ok), *g, radius, offset, valid) if degrees else grid_weights(placed(points), *g, radius, offset)
+    out = degree_grid_weights(points.filter(ok), *g, radius, offset, valid, forward=own.forward if own else None) if degrees or own else grid_weights(placed(points), *g, radius, offset)
     out = written(out, "grid-weights")
     if not wrong_weight_sums(out).isEmpty():
         raise ValueError("weights of a buffer do not add up to 1")
