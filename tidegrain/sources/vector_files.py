@@ -23,6 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.projections import Projection, of_wkt
 from .vectors import _SHAPE, _parts, cleaned
 
 #: Records of one task, and of one batch of it.
@@ -152,6 +153,12 @@ def shapefile_rows(path: str, first: int, last: int) -> Iterator[pa.RecordBatch]
         yield _batch(rows)
 
 
+def projection_of(path: str) -> Projection:
+    """The projection that a shapefile's .prj file tells; without one, degrees."""
+    files = _Files(path)
+    return of_wkt(files.read(".prj").decode("utf-8", "replace")) if files.size(".prj") is not None else Projection("degrees")
+
+
 def _package(path: str) -> sqlite3.Connection:
     if "://" not in path:
         return sqlite3.connect(f"file:{path}?mode=ro&immutable=1", uri=True)
