@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.spatial import albers
 from ..shared import small_side
 from .rasters import REGISTERED_BOX
+from .rings import repaired
 from .vectors import projected
 
 KINDS = ("table", "raster", "features")
@@ -58,7 +59,9 @@ def remove(spark: SparkSession, folder: str, name: str) -> None:
 
 
 def prepared_features(shapes: DataFrame, year: str | None = None) -> DataFrame:
-    """Shapes in degrees -> in metres, of one family, areas or lines, with a year if named; fails if none touches the contiguous states."""
+    """Shapes in degrees -> in metres, of one family, areas or lines, with a year if named, rings that cross made over; fails if none touches
+    the contiguous states."""
+    shapes = repaired(shapes)
     west, south, east, north = REGISTERED_BOX
     here = lambda p: p["x"].between(west, east) & p["y"].between(south, north)
     touches = F.exists(F.flatten(F.concat("rings", "lines")), here)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import pickle
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -10,30 +13,31 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import first_format
 from ..functions.weighted import nan_to_null
+from .r_tables import frame
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, CSV and text with a header, all columns as text, or pickled frames, one task for each file."""
+def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """Parquet, CSV and text with a header, all columns as text, or pickled frames and R's, one task for each file.  key: of several tables
+    in one file of R.  A pickle runs what it holds: read only your own."""
     if path.endswith((".csv", ".txt", ".csv.gz")):
         return spark.read.csv(path, header=True, inferSchema=False)
     if path.endswith(".parquet"):
         return nan_to_null(spark.read.parquet(path))
     if path.endswith((".pkl", ".pickle")):
-        return nan_to_null(_pickled(spark, path))
-    raise ValueError(f"no reader for {path!r}: .parquet, .csv, .txt, .pkl or .pickle")
+        return nan_to_null(_framed(spark, path, lambda content: pickle.load(io.BytesIO(content))))
+    if path.lower().endswith((".rds", ".rda", ".rdata")):
+        return nan_to_null(_framed(spark, path, lambda content: frame(content, key)))
+    raise ValueError(f"no reader for {path!r}: .parquet, .csv, .txt, .pkl, .pickle, .rds or .rda")
 
 
-def _pickled(spark: SparkSession, path: str) -> DataFrame:
+def _framed(spark: SparkSession, path: str, load: Callable[[bytes], pd.DataFrame]) -> DataFrame:
     """Tasks read the files and the driver sees one row of one of them, for the names and types of the columns."""
-    import io
-    import pickle
-
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def first(batches):
         for batch in batches:
             for content in batch.content:
-                yield pd.DataFrame({"head": [pickle.dumps(pickle.load(io.BytesIO(content)).head(1))]})
+                yield pd.DataFrame({"head": [pickle.dumps(load(content).head(1))]})
                 return
 
     head = pickle.loads(files.mapInPandas(first, "head binary").first().head)
@@ -42,9 +46,9 @@ def _pickled(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches):
         for batch in batches:
             for content in batch.content:
-                frame = pickle.load(io.BytesIO(content))
-                for k in range(0, len(frame), 100_000):
-                    yield frame.iloc[k : k + 100_000]
+                whole = load(content)
+                for k in range(0, len(whole), 100_000):
+                    yield whole.iloc[k : k + 100_000]
 
     return files.mapInPandas(rows, schema)
 
