@@ -2,7 +2,7 @@
 
 `Tokenizer.encode(text, add_special_tokens=False)` of the `tokenizers` library defines the ids.  Where the same
 vocabulary also lies beside it as a rank file, texts of Latin letters without an added special token are encoded from
-the ranks, which takes a quarter of the time; tests/llm/test_tokens.py holds the two equal.  Texts with characters from
+the ranks, which takes a quarter of the time; tests/llm/test_operators.py holds the two equal.  Texts with characters from
 U+0250 on, whose Unicode classes may differ between the libraries' versions, and texts that hold the string of a special
 token always go to `tokenizers`.
 """
