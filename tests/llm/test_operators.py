@@ -298,7 +298,8 @@ def test_quality_rules(odd, none):
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from read_parquet('{DATA}/documents.parquet')")
+    for table in ("documents", "pages", "labels", "benchmark"):
+        con.sql(f"create view {table} as select * from read_parquet('{DATA}/{table}.parquet')")
     got, want = queries.QUERIES[name](spark, DATA).toPandas(), con.sql(queries.ORACLES[name]).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols

@@ -1,4 +1,4 @@
-"""Operators 11 to 13: SQL on the smallest tables, brute force on awkward ones, and what each method has to find."""
+"""Operators 11 to 13: brute force on awkward tables, and what each method has to find.  Their SQL runs with that of the others."""
 
 import math
 import re
@@ -42,11 +42,6 @@ def in_sql(sql, **tables):
     return con.sql(sql).df()
 
 
-@pytest.mark.parametrize("name", ["op11_url_filters", "op12_lexical_search", "op13_filter_audit"])
-def test_sql(spark, name):
-    same(queries.QUERIES[name](spark, DATA).toPandas(), in_sql(queries.ORACLES[name]))
-
-
 # op11
 
 
