@@ -19,7 +19,6 @@ equal scores; other columns are ignored; an empty table on either side gives no
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .staging import Scratch, id_columns, shared_dir, small_side, written
+from .staging import Scratch, id_columns, small_side, written
 
 #: Documents, and entries of lists, after which a block is closed.
 BLOCK_DOCS, BLOCK_ENTRIES = 8192, 1_000_000
@@ -241,10 +240,13 @@ def _scored(group: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def ranked(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
-    """build_index() and search() over a new index in the shared folder."""
-    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    """build_index() and search() over an index of this call's own in the shared folder, which goes when the result is written."""
+    scratch = Scratch(spark, "index")
+    path = f"{scratch.path}/index"
     n_docs, _ = build_index(docs, path)
-    return search(spark.read.parquet(path), n_docs, items, k)
+    found = search(spark.read.parquet(path), n_docs, items, k)
+    scratch.drop()
+    return found
 
 
 ORACLE = r"""
