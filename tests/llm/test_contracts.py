@@ -190,6 +190,18 @@ def test_index_places_every_row(odd):
     assert places.groupby(["depth", "bucket"]).hash.nunique().le(2).all()
 
 
+def test_hot_copies_are_combined_by_share(spark):
+    texts = ["hot"] * 60 + [None] * 9 + [""] * 20 + [f"t{k % 25}" for k in range(50)] + ["hot"] * 30
+    df = spark.createDataFrame([(k if k != 70 else None, t) for k, t in enumerate(texts)] + [(3, "hot")], "doc_id long, text string").repartition(5)
+    places = exact_dedup.index(df, bucket_rows=8)
+    assert places.groupBy("depth", "bucket", "hash").agg(F.countDistinct("owner").alias("n")).agg(F.max("n")).first()[0] > 1
+    got = exact_dedup.exact_groups(df, bucket_rows=8).toPandas()
+    want = pd.DataFrame([(k if k != 70 else -1, t or "") for k, t in enumerate(texts)] + [(3, "hot")], columns=["doc_id", "text"])
+    best, size = want.groupby("text").doc_id.transform("max"), want.groupby("text").doc_id.transform("count")
+    assert sorted(zip(got.doc_id.fillna(-1).astype(int), got.keep_id.astype(int), got.group_size)) == sorted(zip(want.doc_id, best, size))
+    assert got.kept.sum() == want.text.nunique() == exact_dedup.drop_copies(df, 8).count()
+
+
 def test_ablations_equal_recounts(spark, docs):
     book = quality_rules.ledger(spark.createDataFrame(docs[["doc_id", "text"]])).toPandas()
     for r in queries.rule_ablations(spark, DATA).collect():

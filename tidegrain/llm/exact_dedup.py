@@ -4,9 +4,10 @@ Every row enters an index of (hash, digest, rows) by its 64-bit hash.  A directo
 of the hash; a bucket with more than `bucket_rows` rows is split by one more bit, doubling the directory there, until it
 fits or holds a single hash: equal hashes chain and cannot be split.  The directory gives each owner task a range of buckets
 of about as many rows, and a bucket of one hash with more rows than that as many owners as it needs; the index is written by owners.
-Rows whose hash occurs more than once in its bucket go on to the comparison of bytes: they are grouped by (bucket, hash, text)
-with map-side combining, so a hot group of copies reaches its bucket as one row for each task, and the texts of a bucket that
-collide in the hash form its chain.  Every row finds its place by its bucket, its hash and the link of the chain that has its text.
+Rows whose hash occurs more than once in its bucket go with their texts to the bucket's owner, whose task compares the bytes; the
+texts of a bucket that collide in the hash form its chain.  A bucket with several owners, one hot hash, is combined in each of
+their shares first, so that its copies reach the first owner as one row for each share.  Every row finds its place by its owner,
+its bucket, its hash and the link of the chain that has its text.
 
 Defined results: null text counts as empty; rows equal in doc_id and text count one each in group_size and exactly one of
 them is kept; a null doc_id is smaller than any other; an empty table gives an empty result; other columns are ignored.
@@ -80,15 +81,30 @@ def index(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 def _resolved(docs: DataFrame, bucket_rows: int) -> DataFrame:
     """Index rows (one for equal rows of doc_id and text) with the document that stays and the size of the group."""
     idx = index(docs, bucket_rows)
+    owners = partitions(docs.sparkSession)
     bucket = ["depth", "bucket", "hash"]
-    twice = written(idx.groupBy(*bucket).agg(F.sum("rows").alias("n")).filter("n > 1").select(*bucket), "chains")
+    twice = idx.groupBy(*bucket).agg(F.sum("rows").alias("n"), F.min("owner").alias("first"), F.max("owner").alias("last"))
+    twice = written(twice.filter("n > 1").drop("n"), "chains")
+    hot, cold = twice.filter("first < last"), twice.filter("first = last")  # hot ones are fewer than owners
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
-    # bytes are compared here: the text itself is a grouping key
-    chains = rows.join(small_side(twice), "hash").groupBy(*bucket, "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    link = F.row_number().over(Window.partitionBy(*bucket).orderBy("text_sha256"))
-    groups = chains.select(*bucket, F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size").withColumn("link", link)
-    out = idx.join(written(groups, "groups"), [*bucket, "text_sha256"], "left")
+    one = F.lit(1).cast("long")
+    if hot.isEmpty():
+        met = rows.join(small_side(cold), "hash").select(*bucket, "first", "last", "text", F.col("doc_id").alias("keep_id"), one.alias("group_size"))
+    else:
+        met = rows.join(small_side(hot.select("hash")), "hash", "left_anti").join(small_side(cold), "hash")
+        met = met.select(*bucket, "first", "last", "text", F.col("doc_id").alias("keep_id"), one.alias("group_size"))
+        share = F.pmod(F.xxhash64("doc_id"), F.col("last") - F.col("first") + 1)
+        parts = rows.join(small_side(hot), "hash").groupBy(*bucket, "first", "last", share.alias("share"), "text")
+        met = met.unionByName(parts.agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("share"))
+    # the owner of a bucket compares bytes: the text itself is a grouping key within the owner's task
+    met = met.repartition(owners, "first")
+    chains = met.groupBy("first", "last", *bucket, "text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    link = F.row_number().over(Window.partitionBy("first", "last", *bucket).orderBy("text_sha256"))
+    groups = chains.select("first", "last", *bucket, F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size").withColumn("link", link)
+    # every owner of a bucket gets its chains
+    groups = written(groups, "groups").withColumn("owner", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    out = idx.join(groups, ["owner", *bucket, "text_sha256"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     out = out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", "rows").alias("group_size"), "text_sha256", "rows", "depth", "bucket", "owner", F.coalesce("link", F.lit(1)).alias("link"))
     return out.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id")))
