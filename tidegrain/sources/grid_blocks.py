@@ -1,12 +1,12 @@
 """Grids in files as tables of blocks: where in the file each block of cells lies.  Only blocks that hold a wanted cell are read.
 
 block_table() reads the headers, one row for each block: the tiles or strips of a GeoTIFF (also over 4 GB), bands of rows of a variable of a
-classic NetCDF file (versions 1, 2 and 5).  It is a table like any other, so which blocks are read is a semi-join with the blocks of the
+classic NetCDF file (versions 1, 2 and 5), chunks of an HDF5 file.  It is a table like any other, so which blocks are read is a semi-join with the blocks of the
 wanted cells, and the blocks that are left, of all files together, are dealt over the tasks, which read their byte ranges.
 
 Cells count row by row from the north-west corner whatever the order in the file: rows of ascending latitudes are turned over, and a variable
-(lon, lat) is taken as (lat, lon).  Paths may be local, or of any store that pyarrow reaches.  HDF5, which NetCDF-4 files are, and HDF4 have
-no decoder here."""
+(lon, lat) is taken as (lat, lon).  Paths may be local, or of any store that pyarrow reaches.  HDF5 files, which NetCDF-4 files are, give the
+chunks of a variable (hdf5.py).  HDF4 has no decoder here."""
 
 from __future__ import annotations
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.recode import no_data
 from ..shared import partitions
+from .hdf5 import hdf5_blocks, unfiltered
 
 #: Cells of a band of rows of a NetCDF variable; layouts of blocks that the files of one call may have.
 BAND, LAYOUTS = 65_536, 100
@@ -93,7 +94,10 @@ def lzw(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def unpacked(raw: bytes, packing: int) -> bytes:
+def unpacked(raw: bytes, packing: int | list[int], size: int = 1) -> bytes:
+    """The bytes of a block: packing is a compression of TIFF or the list of an HDF5 chunk's filters, for values of `size` bytes."""
+    if isinstance(packing, list):
+        return unfiltered(raw, packing, size)
     if packing not in (1, 5, 8, 32946):
         raise ValueError(f"no decoder for compression {packing}")
     return raw if packing == 1 else lzw(raw) if packing == 5 else zlib.decompress(raw)
@@ -237,11 +241,16 @@ def block_table(spark: SparkSession, found: DataFrame, part: int | str | None =
         for batch in batches:
             for path in batch.path:
                 read = opened(path)
-                made = _netcdf_blocks(read, part if isinstance(part, str) else None, masked) if read(0, 3) == b"CDF" else _tiff_blocks(read, int(part or 1))
-                layout, rows = made
-                out = pd.DataFrame(rows, columns=["place", "size", "row", "col"])
-                across = -(-layout["width"] // layout["w"])
-                yield out.assign(path=path, layout=json.dumps(layout, sort_keys=True), block=out.row // layout["h"] * across + out.col // layout["w"])
+                name = part if isinstance(part, str) else None
+                magic = read(0, 4)
+                if magic[:2] in (b"II", b"MM"):
+                    made = [_tiff_blocks(read, int(part or 1))]
+                else:
+                    made = [_netcdf_blocks(read, name, masked)] if magic[:3] == b"CDF" else hdf5_blocks(read, name, masked, BAND)
+                for layout, rows in made:
+                    out = pd.DataFrame(rows, columns=["place", "size", "row", "col"])
+                    across = -(-layout["width"] // layout["w"])
+                    yield out.assign(path=path, layout=json.dumps(layout, sort_keys=True), block=out.row // layout["h"] * across + out.col // layout["w"])
 
     return found.select("path").repartition(partitions(spark), "path").mapInPandas(heads, "path string, layout string, block long, place long, size long, row int, col int")
 
@@ -275,11 +284,14 @@ def block_cells(spark: SparkSession, blocks: DataFrame, offset: int = 0) -> Data
                     path, read = p, opened(p)
                 if layout != text:
                     text, g = layout, json.loads(layout)
-                raw = unpacked(read(int(place), int(size)), g["packing"])
+                kind = np.dtype(g["kind"])
+                raw = unpacked(read(int(place), int(size)), g["packing"], kind.itemsize)
+                if isinstance(g["packing"], list):
+                    raw = raw[: g["w"] * g["h"] * kind.itemsize]  # of planes in one chunk the first
                 if g["swap"]:
-                    v = samples(raw, np.dtype(g["kind"]), g["height"], 1, 1)[..., 0].T
+                    v = samples(raw, kind, g["h"], 1, 1)[..., 0].T
                 else:
-                    v = samples(raw, np.dtype(g["kind"]), g["w"], g["inner"], g["predictor"])[..., g["pick"]]
+                    v = samples(raw, kind, g["w"], g["inner"], g["predictor"])[..., g["pick"]]
                 v = v[: g["height"] - row, : g["width"] - col].astype(np.float64)
                 if g["nodata"] is not None:
                     v[np.isclose(v, g["nodata"])] = np.nan

@@ -63,7 +63,7 @@ def acag(spark: SparkSession, path: str, column: str = "value", years: list[int]
 
 @register_reader("acag_netcdf")
 def acag_netcdf(spark: SparkSession, folder: str, column: str = "value", years: list[int] | None = None, weights: DataFrame | None = None, variable: str | None = None) -> DataFrame:
-    """The same from classic NetCDF files whose names end in `YYYYDDD-YYYYDDD.nc`, cells from 1 at the north-west corner; only the blocks with
+    """The same from NetCDF files, classic or in HDF5, whose names end in `YYYYDDD-YYYYDDD.nc`, cells from 1 at the north-west corner; only the blocks with
     wanted cells are read.  variable: by default the first that is no coordinate."""
     named = spark.read.format("binaryFile").option("pathGlobFilter", "*.nc").load(folder).select("path")
     days = F.regexp_extract("path", r"(\d{7}-\d{7})\.nc$", 1)
