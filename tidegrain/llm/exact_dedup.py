@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .staging import partitions, small_side, unused, written
 
-BUCKET_ROWS = 1 << 16
+#: Rows of a bucket at most, and so of the texts that an owner compares at a time; a bucket of one hash may have more.
+BUCKET_ROWS = 1 << 14
 
 
 def _prefix(bits: Column) -> Column:
