@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .staging import partitions, small_side, unused, written
 
-#: Rows of a bucket at most, and so of the texts that an owner compares at a time; a bucket of one hash may have more.
-BUCKET_ROWS = 1 << 14
+#: Rows of a bucket at most, and so of the texts that an owner compares at a time; a bucket of one hash may have more.  A bucket
+#: has no more than an owner's share of all rows either, unless that is less than LEAST_ROWS.
+BUCKET_ROWS, LEAST_ROWS = 1 << 14, 1 << 10
 
 
 def _prefix(bits: Column) -> Column:
@@ -68,11 +69,12 @@ def index(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.sha2(text, 256).alias("text_sha256"))
     keys = written(keys.groupBy("doc_id", "hash", "text_sha256").agg(F.count("*").alias("rows")), "keys")
+    owners = partitions(docs.sparkSession)
+    bucket_rows = min(bucket_rows, max(LEAST_ROWS, -(-keys.count() // owners)))
     buckets = written(directory(keys.select("hash"), bucket_rows), "directory")
     depths = [r.depth for r in buckets.select("depth").distinct().orderBy("depth").collect()]  # at most 64
     own = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.lit(d)).cast("long").alias("bucket")) for d in depths or [0]])
     placed = keys.withColumn("at", F.explode(own)).select("doc_id", "hash", "text_sha256", "rows", "at.depth", "at.bucket")
-    owners = partitions(docs.sparkSession)
     placed = placed.join(small_side(written(_owners(buckets, owners), "owners")), ["depth", "bucket"])
     placed = placed.withColumn("owner", F.col("owner") + F.pmod(F.xxhash64("doc_id"), F.col("shares"))).drop("shares")
     unsigned = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))
