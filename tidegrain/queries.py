@@ -285,7 +285,7 @@ select count(*) as n_rows, count(*) filter (k is null) as blank_keys, count(*) f
 )(
     lambda r: tables.table_report(
         r.t("lineitem").select(
-            F.when(F.col("l_returnflag") == "R", "").otherwise(F.concat(recode.padded(F.col("l_partkey")), F.when(F.col("l_linenumber") == 7, "9").otherwise(""))).alias("code"),
+            F.when(F.col("l_returnflag") == "R", "").otherwise(F.concat(F.lpad(F.col("l_partkey").cast("string"), 5, "0"), F.when(F.col("l_linenumber") == 7, "9").otherwise(""))).alias("code"),
             F.when(F.col("l_tax") == 0, "N/A").when(F.col("l_tax") > 0.07, "high").otherwise(F.col("l_tax").cast("string")).alias("v"),
             F.concat(F.year("l_shipdate").cast("string"), F.when(F.col("l_linenumber") == 6, "x").otherwise("")).alias("y"),
         ),
