@@ -31,3 +31,15 @@ def same_as_sql(spark, tmp_path):
 def test_table_report_with_part_keys_of_six_digits(same_as_sql):
     got = same_as_sql("v3_table_report", lineitem="select * replace (l_partkey + 100000 * (l_orderkey % 3) as l_partkey) from base")
     assert got.n_rows[0] > 0
+
+
+def test_disks_that_only_touch_a_box(same_as_sql):
+    # episodes whose disks touch a box in a point or nearly, where areas are as good as the formula behind them
+    got = same_as_sql(
+        "g4_exact_overlap",
+        supplier="select * replace (k::bigint as s_suppkey) from (select * from base limit 1) s, unnest([383, 1333, 2210, 2407, 4498, 5826, 5857]) t(k)",
+        orders="select * replace (k::bigint as o_orderkey) from (select * from base limit 1) s, unnest([1123, 1722, 1816, 2316, 6160, 8577, 14961, 16843, 17378, 21123, 18706]) t(k)",
+    )
+    assert ((got.episode_id == 1722) & (got.unit == 1333)).any()
+    pairs = got.groupby("episode_id").weight.apply(sorted)
+    assert pairs[1123] == pairs[21123]  # one place

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weighted import share_of_group
-from ..shared import small_side
+from ..shared import Scratch, small_side
+from .places import by_place
 from .tiles import runs, tile_pieces
 
-#: Disks of a pack, about.
-PACK = 2048
+#: Disks of a pack, about, and rectangles of one.
+PACK, BOXES = 2048, 512
 #: Metres around a polygon's box within which other polygons count as near.  Fixed value.
 NEAR = 500.0
 
@@ -103,6 +105,10 @@ def overlap_weights(points: DataFrame, polygons: DataFrame, radius: float = 270.
     the last in key order on a tie; cells in no polygon go before the shares are made.
 
     Cells are given to polygons once for each tile, whatever the number of disks; a pack of disks then adds up the parts of the cells."""
+    return by_place(points, lambda places: _overlap_weights(places, polygons, radius, step, tile))
+
+
+def _overlap_weights(points: DataFrame, polygons: DataFrame, radius: float, step: float, tile: float) -> DataFrame:
     per, wide = round(tile / step), math.ceil(2 * radius / step) + 1
     kinds = dict(points.dtypes)["episode_id"], dict(polygons.dtypes)["unit"]
     offset = np.arange(wide + 1)
@@ -171,8 +177,90 @@ def _left_of(x: np.ndarray, y: np.ndarray, e: np.ndarray, r: float) -> np.ndarra
     return total
 
 
+def _centre(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and half sides from lower to upper ends.  Half sides are taken to the micrometre, so that boxes exactly as far apart as a bound
+    are told by their distance and not by how their ends were rounded."""
+    half = np.round((b - a) / 2, 6)
+    return a + half, half
+
+
+def _boxed(polygons: DataFrame) -> DataFrame:
+    """(unit, rings, box, hole): box is (x0, x1, y0, y1) where the polygon is a rectangle along the axes, hole that of a rectangle cut out of
+    it; any other polygon has no box."""
+    even = lambda r: (r[0]["x"] == r[3]["x"]) & (r[1]["x"] == r[2]["x"]) & (r[0]["y"] == r[1]["y"]) & (r[2]["y"] == r[3]["y"])
+    odd = lambda r: (r[0]["y"] == r[3]["y"]) & (r[1]["y"] == r[2]["y"]) & (r[0]["x"] == r[1]["x"]) & (r[2]["x"] == r[3]["x"])
+    plain = lambda r: F.when(F.size(r) == 4, even(r) | odd(r)).otherwise(False)
+    span = lambda r: F.struct(*[f(r[0][c], r[2][c]).alias(n) for n, f, c in (("x0", F.least, "x"), ("x1", F.greatest, "x"), ("y0", F.least, "y"), ("y1", F.greatest, "y"))])
+    a, b = F.get("rings", 0), F.get("rings", 1)
+    out = polygons.select("unit", "rings", F.when(F.size("rings").between(1, 2) & F.forall("rings", plain), span(a)).alias("box"))
+    out = out.withColumn("hole", F.when(F.col("box").isNotNull() & (F.size("rings") == 2), span(b)))
+    held = F.expr("hole.x0 >= box.x0 and hole.x1 <= box.x1 and hole.y0 >= box.y0 and hole.y1 <= box.y1")
+    return out.withColumn("box", F.when(F.col("hole").isNull() | held, F.col("box")))
+
+
+def _box_areas(points: DataFrame, boxed: DataFrame, radius: float, tile: float) -> DataFrame:
+    """(episode_id, unit, area) of rectangles, from their corners: a disk is filed to the tile of its centre, a rectangle to all tiles from which a
+    disk can reach it, so the two meet once."""
+    kinds = dict(points.dtypes)["episode_id"], dict(boxed.dtypes)["unit"]
+    names = [f"{a}{b}" for a in ("box_", "hole_") for b in ("x0", "x1", "y0", "y1")]
+    flat = boxed.distinct().select("unit", *[F.col(f"{a}.{b}").alias(f"{a}_{b}") for a in ("box", "hole") for b in ("x0", "x1", "y0", "y1")])
+    reach = lambda a, b: F.explode(F.sequence(F.floor((F.col(a) - radius) / tile), F.floor((F.col(b) + radius) / tile)))
+    filed = flat.withColumn("tx", reach("box_x0", "box_x1")).withColumn("ty", reach("box_y0", "box_y1"))
+    disks = points.select("episode_id", "x", "y").filter("x is not null and y is not null").withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
+    filed = filed.join(disks.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")
+
+    def packed(df: DataFrame, columns: list[str], size: int, name: str) -> DataFrame:
+        counts = df.groupBy("tx", "ty").agg(F.ceil(F.count("*") / size).cast("long").alias("packs"))
+        dealt = df.join(small_side(counts), ["tx", "ty"]).withColumn(name, F.pmod(F.xxhash64(*columns), F.col("packs")))
+        rows = dealt.groupBy("tx", "ty", name).agg(F.collect_list(F.struct(*columns)).alias("d"))
+        return rows.select("tx", "ty", *[F.col(f"d.{c}").alias(f"{c}s") for c in columns])
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, xs, ys, units, *ends in batch[["episode_ids", "xs", "ys", "units", *[f"{n}s" for n in names]]].itertuples(index=False):
+                sides = [np.asarray(e, float) for e in ends]
+                (cx, hx), (cy, hy) = _centre(*sides[:2]), _centre(*sides[2:4])
+                for a in range(0, len(ids), 64):
+                    x, y = np.asarray(xs[a : a + 64], float)[:, None], np.asarray(ys[a : a + 64], float)[:, None]
+                    near = (np.abs(cx - x) < hx + radius) & (np.abs(cy - y) < hy + radius)
+                    row, col = np.nonzero(near)
+                    area = np.zeros(len(row))
+                    for sign, (x0, x1, y0, y1) in ((1.0, sides[:4]), (-1.0, sides[4:])):
+                        some = np.flatnonzero(~np.isnan(x0[col]))
+                        px, py, c = x[row[some], 0], y[row[some], 0], col[some]
+                        west, east, south, north = x0[c] - px, x1[c] - px, y0[c] - py, y1[c] - py
+                        area[some] += sign * (_corner(east, north, radius) - _corner(west, north, radius) - _corner(east, south, radius) + _corner(west, south, radius))
+                    found = np.flatnonzero(area > 1e-6)
+                    yield pd.DataFrame({"episode_id": np.asarray(ids[a : a + 64])[row[found]], "unit": np.asarray(units)[col[found]], "area": area[found]})
+
+    met = packed(disks, ["episode_id", "x", "y"], PACK, "pack").join(packed(filed, ["unit", *names], BOXES, "part"), ["tx", "ty"])
+    return met.mapInPandas(measure, f"episode_id {kinds[0]}, unit {kinds[1]}, area double")
+
+
 def overlap_areas(points: DataFrame, polygons: DataFrame, radius: float = 270.0, tile: float = 1000.0) -> DataFrame:
-    """(episode_id, unit, area): exact areas of the disks inside the polygons; pairs that do not meet have no row."""
+    """(episode_id, unit, area): exact areas of the disks inside the polygons; pairs that do not meet have no row.  Rectangles along the
+    axes are measured from their corners, other polygons tile by tile."""
+    return _overlap_areas(points, _known(polygons), radius, tile)
+
+
+def _known(polygons: DataFrame) -> DataFrame:
+    """Polygons as a written table: rings that are made by a formula would be made anew for each number that is read from them."""
+    return Scratch(polygons.sparkSession, "polygons").written(polygons.select("unit", "rings"), "polygons")
+
+
+def _overlap_areas(points: DataFrame, polygons: DataFrame, radius: float, tile: float) -> DataFrame:
+    boxed = _boxed(polygons)
+    plain, others = boxed.filter("box is not null"), boxed.filter("box is null").select("unit", "rings")
+    parts = []
+    if not plain.isEmpty():
+        parts.append(_box_areas(points, plain, radius, tile))
+    if not parts or not others.isEmpty():
+        parts.append(_shape_areas(points, others, radius, tile))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.repartition("episode_id").groupBy("episode_id", "unit").agg(F.sum("area").alias("area")).filter("area > 1e-6")
+
+
+def _shape_areas(points: DataFrame, polygons: DataFrame, radius: float, tile: float) -> DataFrame:
     kinds = dict(points.dtypes)["episode_id"], dict(polygons.dtypes)["unit"]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,27 +280,45 @@ def overlap_areas(points: DataFrame, polygons: DataFrame, radius: float = 270.0,
                     area = np.zeros(len(x))
                     for a in range(0, len(e), 512):
                         area += _left_of(x, y, e[a : a + 512], radius) @ s[a : a + 512]
-                found = np.flatnonzero(area > 1e-6)
+                found = np.flatnonzero(np.abs(area) > 1e-9)  # a tile's part; the whole is judged in the end
                 rows += [ids[k] for k in found.tolist()]
                 of += [unit] * len(found)
                 areas.append(area[found])
             yield pd.DataFrame({"episode_id": rows, "unit": of, "area": np.concatenate(areas) if areas else np.zeros(0)})
 
     met = _packs(points, radius, tile).join(tile_pieces(polygons, tile, "unit"), ["tx", "ty"])
-    return met.mapInPandas(measure, f"episode_id {kinds[0]}, unit {kinds[1]}, area double").groupBy("episode_id", "unit").agg(F.sum("area").alias("area"))
+    return met.mapInPandas(measure, f"episode_id {kinds[0]}, unit {kinds[1]}, area double")
 
 
 def overlap_shares(points: DataFrame, polygons: DataFrame, radius: float = 270.0, tile: float = 1000.0, near: float = NEAR) -> DataFrame:
     """(episode_id, unit, weight): the buffer's exact area in a polygon over its area in all polygons whose boxes meet that polygon's box
     widened by `near`.  Not normalised: a buffer's values add up to 1 only if all its polygons are near one another.
 
-    Polygons are taken to be a coverage; where some overlap, each counts with its own area.  The areas of a buffer meet in one row, as
-    many as polygons that it touches."""
+    Polygons are taken to be a coverage; where some overlap, each counts with its own area.  The areas of a place meet in one row, as
+    many as polygons that its buffer touches."""
+    return by_place(points, lambda places: _overlap_shares(places, polygons, radius, tile, near))
+
+
+def _overlap_shares(points: DataFrame, polygons: DataFrame, radius: float, tile: float, near: float) -> DataFrame:
+    polygons = _known(polygons)
     ends = lambda f, c: f(F.transform(F.flatten("rings"), lambda v: v[c]))
     boxes = polygons.select("unit", *[ends(f, c).alias(n) for n, f, c in (("x0", F.array_min, "x"), ("x1", F.array_max, "x"), ("y0", F.array_min, "y"), ("y1", F.array_max, "y"))])
     boxes = boxes.groupBy("unit").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
-    held = overlap_areas(points, polygons, radius, tile).join(boxes, "unit")
-    row = held.groupBy("episode_id").agg(F.collect_list(F.struct("unit", "area", "x0", "x1", "y0", "y1")).alias("all"))
-    close = lambda a, b: (b["x0"] <= a["x1"] + near) & (b["x1"] >= a["x0"] - near) & (b["y0"] <= a["y1"] + near) & (b["y1"] >= a["y0"] - near)
-    share = F.transform("all", lambda a: F.struct(a["unit"].alias("unit"), (a["area"] / F.aggregate(F.filter("all", lambda b: close(a, b)), F.lit(0.0), lambda s, b: s + b["area"])).alias("weight")))
-    return row.select("episode_id", F.explode(share).alias("v")).select("episode_id", "v.unit", "v.weight")
+    kinds = dict(points.dtypes)["episode_id"], dict(polygons.dtypes)["unit"]
+
+    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, units, *columns in batch.itertuples(index=False):
+                area, x0, x1, y0, y1 = (np.asarray(c, float) for c in columns)
+                (cx, hx), (cy, hy) = _centre(x0, x1), _centre(y0, y1)
+                weight = np.empty(len(area))
+                for a in range(0, len(area), 256):
+                    b = slice(a, a + 256)
+                    close = (np.abs(cx[b, None] - cx) <= hx[b, None] + hx + near) & (np.abs(cy[b, None] - cy) <= hy[b, None] + hy + near)
+                    weight[b] = area[b] / (close @ area)
+                yield pd.DataFrame({"episode_id": key, "unit": units, "weight": weight})
+
+    held = _overlap_areas(points, polygons, radius, tile).join(small_side(boxes), "unit")
+    columns = ("unit", "area", "x0", "x1", "y0", "y1")
+    row = held.groupBy("episode_id").agg(F.collect_list(F.struct(*columns)).alias("d")).select("episode_id", *[F.col(f"d.{c}").alias(c) for c in columns])
+    return row.mapInPandas(share, f"episode_id {kinds[0]}, unit {kinds[1]}, weight double")
