@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.engine import keys as level_keys
 from ..operators.overlap import overlap_shares, overlap_weights
+from ..operators.places import spots_of
 from ..shared import written
 from . import patterns
 from .results import final_table, kept_weights
@@ -27,10 +28,12 @@ KINDS = {"static": (), "yearly": ("year",), "daily": ("date",), "windowed": ("st
 
 @dataclass(frozen=True)
 class Geography:
-    """make: points(episode_id, lon, lat) -> weights(episode_id, unit, weight); settings: what the weights depend on beside the points."""
+    """make: points(episode_id, lon, lat) -> weights(episode_id, unit, weight); settings: what the weights depend on beside the points.
+    by_place: the weights depend on the place only, so that they and the means in space are made once for each place."""
 
     make: Callable[[DataFrame], DataFrame]
     settings: dict = field(default_factory=dict)
+    by_place: bool = False
 
 
 @dataclass(frozen=True)
@@ -57,12 +60,12 @@ class Step:
 def polygons(table: DataFrame, name: str, radius: float = 270.0, step: float = 25.0, exact: bool = False) -> Geography:
     """Shares of the buffer by polygon of table(unit, rings) in metres; name: stands for the table in kept weights."""
     make = (lambda p: overlap_shares(placed(p), table, radius)) if exact else (lambda p: overlap_weights(placed(p), table, radius, step))
-    return Geography(make, {"polygons": name, "radius": radius, "step": None if exact else step})
+    return Geography(make, {"polygons": name, "radius": radius, "step": None if exact else step}, True)
 
 
 def grid(cells: dict[str, float], radius: float = 270.0, offset: int = 0, degrees: bool = True) -> Geography:
     """Shares of the buffer by cell of a raster's grid."""
-    return Geography(lambda p: buffer_grid(p, cells, radius, offset, degrees), {"grid": cells, "radius": radius, "offset": offset, "degrees": degrees})
+    return Geography(lambda p: buffer_grid(p, cells, radius, offset, degrees), {"grid": cells, "radius": radius, "offset": offset, "degrees": degrees}, True)
 
 
 def plan(sources: list[Source], taken: tuple[str, ...] = ()) -> list[Step]:
@@ -103,13 +106,23 @@ def link(episodes: DataFrame, points: DataFrame, sources: list[Source], geograph
     unknown = [s.geography for s in steps if s.geography not in geographies]
     if unknown:
         raise ValueError(f"no geography {unknown[0]}")
+    places = keys = None
+    if folder is None and any(geographies[s.geography].by_place for s in steps):
+        rows, keys = spots_of(points.select("episode_id", F.col("lon").alias("x"), F.col("lat").alias("y")))
+        places = rows.withColumnsRenamed({"x": "lon", "y": "lat"})
     for step in steps:
         g = geographies[step.geography]
+        placed_once = folder is None and g.by_place
         if step.what == "weights":
-            made = lambda g=g: g.make(points).select("episode_id", "unit", "weight")
+            made = lambda g=g, at=places if placed_once else points: g.make(at).select("episode_id", "unit", "weight")
             weights[step.geography] = written(made(), "weights") if folder is None else kept_weights(points.sparkSession, folder, points, g.settings | {"geography": step.geography}, made)
             continue
         columns, w, v = [n for c in step.columns.values() for n in c.values()], weights[step.geography], _values(step, by_name)
+        if placed_once and step.kind in ("static", "yearly"):
+            parts.append(patterns.areal_by_place(episodes, keys, w, v, columns, level, step.kind == "yearly"))
+            continue
+        if placed_once:
+            w = keys.join(w.withColumnRenamed("episode_id", "__spot"), "__spot").drop("__spot")
         if step.kind == "static":
             parts.append(patterns.static_areal(episodes, w, v, columns, level))
         elif step.kind == "yearly":

@@ -14,6 +14,7 @@ from ..functions.dates import overlap_days, year_end, year_start
 from ..functions.recode import food_access_flags
 
 from ..operators.engine import date_range_join, duration_weighted, keys, temporal_aggregate, weighted_aggregate
+from ..operators.engine import keys as keys_of
 
 
 def episode_years(episodes: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -41,6 +42,17 @@ def _by_years(episodes, space, columns, level, first, last, days_suffix=None) ->
     return temporal_aggregate(periods.join(space, ["episode_id", "year"], "left"), keys(level), columns, days_suffix=days_suffix)
 
 
+def areal_by_place(episodes: DataFrame, keys: DataFrame, weights: DataFrame, values: DataFrame, columns: list[str], level: str = "participant", yearly: bool = False) -> DataFrame:
+    """static_areal() or yearly_areal() with weights of places; keys(episode_id, __spot) says which place is whose.  Means in space are made once
+    for each place."""
+    space = weighted_aggregate(weights.join(values, "unit", "inner" if yearly else "left"), ["episode_id", "year"] if yearly else ["episode_id"], columns, "weight")
+    space = space.withColumnRenamed("episode_id", "__spot")
+    if not yearly:
+        return duration_weighted(keys.join(space, "__spot").drop("__spot"), episodes, columns, level)
+    periods = episode_years(episodes).join(keys, "episode_id", "left").join(space, ["__spot", "year"], "left")
+    return temporal_aggregate(periods, keys_of(level), columns)
+
+
 def yearly_areal_vintage(episodes: DataFrame, weights: DataFrame, values: DataFrame, columns: list[str], level: str = "participant", first: int | None = None, last: int | None = None) -> DataFrame:
     """weights(vintage, episode_id, unit, weight) and values(vintage, unit, year, ...): each vintage meets its own units."""
     space = weighted_aggregate(weights.join(values, ["vintage", "unit"]), ["episode_id", "year"], columns, "weight")
