@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import spatial
+from .operators.places import by_place
 from .plans import spatial as plans
 from .queries import _LAT, _LON, _X, _Y, Roles, _albers_sql, _placed, query
 
@@ -88,11 +89,14 @@ select episode_id, j * 111 + i + 1 as unit, round(area / sum(area) over (partiti
 
 
 query("g5_grid_weights", _grid_sql(PEOPLE))(lambda r: spatial.grid_weights(people(r), 0.0, 10_000.0, _GRID, 111, 55, RADIUS, 1).select("episode_id", "unit", six("weight")))
+def _wrong_sums(places: DataFrame) -> DataFrame:
+    cells = spatial.disk_cells(places, RADIUS, _GRID).filter("i between 0 and 110 and j between 0 and 54")
+    return spatial.wrong_weight_sums(cells.select("episode_id", (F.col("area") / (math.pi * RADIUS**2)).alias("weight")))
+
+
 query("a19_weight_sums", f"""{_cells_sql(f"select episode_id, x, 10000 - y as y from ({PEOPLE})", _GRID)}, k as (select episode_id, sum(area) as total from c where area > 1e-9 and i between 0 and 110 and j between 0 and 54 group by 1)
 select episode_id, round(total / {math.pi * RADIUS * RADIUS!r} + 3.3e-7, 6) as total from k where abs(total / {math.pi * RADIUS * RADIUS!r} - 1) >= 1e-6""")(
-    lambda r: spatial.wrong_weight_sums(
-        spatial.disk_cells(people(r).select("episode_id", "x", (10_000 - F.col("y")).alias("y")), RADIUS, _GRID).filter("i between 0 and 110 and j between 0 and 54").select("episode_id", (F.col("area") / (math.pi * RADIUS**2)).alias("weight"))
-    ).select("episode_id", six("total"))
+    lambda r: by_place(people(r).select("episode_id", "x", (10_000 - F.col("y")).alias("y")), _wrong_sums).select("episode_id", six("total"))
 )
 query("j19_points_in_polygons", f"with p as ({PEOPLE}), b as ({BOXES}) select episode_id, min(unit) as unit from p left join b on {_in_box('x', 'y')} group by 1")(lambda r: spatial.points_in_polygons(people(r), boxes(r)))
 
