@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import overlap_days, year_end, year_start
 from ..functions.recode import food_access_flags
-
+from ..functions.weighted import weighted_mean
 from ..operators.engine import date_range_join, duration_weighted, keys, temporal_aggregate, weighted_aggregate
 from ..operators.engine import keys as keys_of
 
@@ -31,15 +31,23 @@ def static_areal(episodes: DataFrame, weights: DataFrame, values: DataFrame, col
     return duration_weighted(space, episodes, columns, level, days_suffix)
 
 
-def yearly_areal(episodes: DataFrame, weights: DataFrame, values: DataFrame, columns: list[str], level: str = "participant", first: int | None = None, last: int | None = None, days_suffix: str | None = None) -> DataFrame:
-    """values(unit, year, columns).  Every episode that meets a year of the range has a row."""
-    space = weighted_aggregate(weights.join(values, "unit"), ["episode_id", "year"], columns, "weight")
-    return _by_years(episodes, space, columns, level, first, last, days_suffix)
+def yearly_areal(episodes: DataFrame, weights: DataFrame, values: DataFrame, columns: list[str] | dict[str, Column], level: str = "participant", first: int | None = None, last: int | None = None, days_suffix: str | None = None) -> DataFrame:
+    """values(unit, year, columns).  Every episode that meets a year of the range has a row.  columns: names, or {name: formula over a
+    value's columns}, which is worked out where the means are made."""
+    return _by_years(episodes, weights, values, ["unit"], columns, level, first, last, days_suffix)
 
 
-def _by_years(episodes, space, columns, level, first, last, days_suffix=None) -> DataFrame:
+def _by_years(episodes: DataFrame, weights: DataFrame, values: DataFrame, on: list[str], columns: list[str] | dict[str, Column], level: str, first: int | None, last: int | None, days_suffix: str | None = None) -> DataFrame:
+    """Weights meet the years of their episode before the values, so no other years are made, and what is left is shuffled once, by participant,
+    beside the episodes' years: both means are made where it lands."""
     periods = episode_years(episodes, first, last)
-    return temporal_aggregate(periods.join(space, ["episode_id", "year"], "left"), keys(level), columns, days_suffix=days_suffix)
+    made = columns if isinstance(columns, dict) else {c: F.col(c) for c in columns}
+    carried = [c for c in values.columns if c not in (*on, "year")] if isinstance(columns, dict) else columns
+    spans = periods.groupBy("pid", "episode_id").agg(F.min("year").alias("__from"), F.max("year").alias("__to"))
+    met = weights.select("episode_id", *on, "weight").join(spans, "episode_id").join(values.select(*on, "year", *carried), on).filter("year between __from and __to")
+    rows = periods.unionByName(met.select("pid", "episode_id", "year", "weight", *carried), allowMissingColumns=True).repartition("pid")
+    space = rows.groupBy("pid", "episode_id", "year").agg(F.sum("overlap_days").alias("overlap_days"), *[weighted_mean(c, F.col("weight")).alias(name) for name, c in made.items()])
+    return temporal_aggregate(space.filter("overlap_days is not null"), keys(level), list(made), days_suffix=days_suffix)
 
 
 def areal_by_place(episodes: DataFrame, keys: DataFrame, weights: DataFrame, values: DataFrame, columns: list[str], level: str = "participant", yearly: bool = False) -> DataFrame:
@@ -55,8 +63,14 @@ def areal_by_place(episodes: DataFrame, keys: DataFrame, weights: DataFrame, val
 
 def yearly_areal_vintage(episodes: DataFrame, weights: DataFrame, values: DataFrame, columns: list[str], level: str = "participant", first: int | None = None, last: int | None = None) -> DataFrame:
     """weights(vintage, episode_id, unit, weight) and values(vintage, unit, year, ...): each vintage meets its own units."""
-    space = weighted_aggregate(weights.join(values, ["vintage", "unit"]), ["episode_id", "year"], columns, "weight")
-    return _by_years(episodes, space, columns, level, first, last)
+    return _by_years(episodes, weights, values, ["vintage", "unit"], columns, level, first, last)
+
+
+def met_periods(episodes: DataFrame, weights: DataFrame, values: DataFrame, daily: bool = True) -> DataFrame:
+    """Weights with the values of their unit on the days, or in the periods, that their episode meets."""
+    e = episodes.select("episode_id", F.col("start_date").alias("__start"), F.col("end_date").alias("__end"))
+    period = F.col("date").between(F.col("__start"), F.col("__end")) if daily else (F.col("__start") <= F.col("end_date")) & (F.col("__end") >= F.col("start_date"))
+    return weights.join(e, "episode_id").withColumnRenamed("unit", "__unit").join(values, (F.col("__unit") == F.col("unit")) & period)
 
 
 def gridded(episodes: DataFrame, weights: DataFrame, values: DataFrame, columns: list[str], level: str = "participant", daily: bool = True, days_suffix: str | None = None) -> DataFrame:
@@ -64,11 +78,7 @@ def gridded(episodes: DataFrame, weights: DataFrame, values: DataFrame, columns:
 
     Days outside the episode go before the spatial aggregation: the weights meet their episode first."""
     when = ["date"] if daily else ["start_date", "end_date"]
-    e = episodes.select("episode_id", F.col("start_date").alias("__start"), F.col("end_date").alias("__end"))
-    placed = weights.join(e, "episode_id")
-    period = F.col("date").between(F.col("__start"), F.col("__end")) if daily else (F.col("__start") <= F.col("end_date")) & (F.col("__end") >= F.col("start_date"))
-    met = placed.withColumnRenamed("unit", "__unit").join(values, (F.col("__unit") == F.col("unit")) & period)
-    space = weighted_aggregate(met, ["episode_id", *when], columns, "weight")
+    space = weighted_aggregate(met_periods(episodes, weights, values, daily).select("episode_id", *when, "weight", *columns).repartition("episode_id"), ["episode_id", *when], columns, "weight")
     return temporal_aggregate(date_range_join(episodes, space, "episode_id", "date" if daily else None), keys(level), columns, days_suffix=days_suffix)
 
 
@@ -87,7 +97,7 @@ def fallback(primary: DataFrame, secondary: DataFrame, test: str, columns: list[
     return temporal_aggregate(out.withColumn("overlap_days", F.when(F.col("overlap_days") > 0, F.col("overlap_days"))), keys(level), columns)
 
 
-def food_access(episodes: DataFrame, weights: DataFrame, values: DataFrame, columns: list[str], level: str = "participant", first: int | None = None, last: int | None = None) -> DataFrame:
+def food_access(episodes: DataFrame, weights: DataFrame, values: DataFrame, columns: list[str] | dict[str, Column], level: str = "participant", first: int | None = None, last: int | None = None) -> DataFrame:
     """Mean rates first, flags from the means; every episode has a row."""
     rates = yearly_areal(episodes, weights, values, columns, level, first, last)
     everyone = episodes.select(*keys(level)).distinct()
