@@ -118,10 +118,10 @@ query("j1_join_full", "select coalesce(o_custkey, c_custkey) as o_custkey, count
     lambda r: engine.join(r.t("orders"), r.t("customer"), ["o_custkey"], ["c_custkey"], "full").groupBy("o_custkey").agg(F.count("o_orderkey").alias("n_orders"), F.max("c_name").alias("c_name"))
 )
 query("j5_date_range_join", f"{ROLES}{spaced('windowed', 'start_date')} select pid, episode_id, count(*) as n_periods, cast(sum(d) as bigint) as n_days from ({BY_WINDOW}) group by 1, 2")(
-    lambda r: engine.date_range_join(r.episodes, r.weights.join(r.windowed, "unit").select("episode_id", "start_date", "end_date").distinct(), "episode_id").groupBy("pid", "episode_id").agg(F.count("*").alias("n_periods"), F.sum("overlap_days").alias("n_days"))
+    lambda r: engine.date_range_join(r.episodes, patterns.met_periods(r.episodes, r.weights, r.windowed, False).select("episode_id", "start_date", "end_date").repartition("episode_id").distinct(), "episode_id").groupBy("pid", "episode_id").agg(F.count("*").alias("n_periods"), F.sum("overlap_days").alias("n_days"))
 )
 query("j6_point_in_interval", f"{ROLES}{spaced('daily', 'date')} select pid, episode_id, count(*) as n_days from ({BY_DAY}) group by 1, 2")(
-    lambda r: engine.date_range_join(r.episodes, r.weights.join(r.daily, "unit").select("episode_id", "date").distinct(), "episode_id", "date").groupBy("pid", "episode_id").agg(F.count("*").alias("n_days"))
+    lambda r: engine.date_range_join(r.episodes, patterns.met_periods(r.episodes, r.weights, r.daily).select("episode_id", "date").repartition("episode_id").distinct(), "episode_id", "date").groupBy("pid", "episode_id").agg(F.count("*").alias("n_days"))
 )
 query("t1_episode_years", f"{ROLES} select pid, episode_id, yr as year, cast(d as integer) as overlap_days from periods")(lambda r: patterns.episode_years(r.episodes).withColumn("year", F.col("year").cast("long")))
 query("l1_static_areal", f"{ROLES}{spaced('statics', '')}{timed(BY_STAY)}")(lambda r: rounded(patterns.static_areal(r.episodes, r.weights, r.static, COLUMNS)))
@@ -204,7 +204,7 @@ def _food_sql() -> str:
 
 FLAGS = ["Urban", *_ONE, *_TWO, "LATractsVehicle_20", "HUNVFlag", "GroupQuartersFlag"]
 query("l7_food_access", _food_sql())(
-    lambda r: patterns.food_access(r.episodes, r.weights, r.yearly.select("unit", "year", *[(F.col(c) * k).alias(name) for name, (c, k) in RATES.items()]), list(RATES)).select("pid", *FLAGS)
+    lambda r: patterns.food_access(r.episodes, r.weights, r.yearly, {name: F.col(c) * k for name, (c, k) in RATES.items()}).select("pid", *FLAGS)
 )
 query("l8_daily_pair", f"{ROLES}, pair as (select a.unit, a.date, a.v, b.v2 from (select * from daily where v > 20) a left join (select * from daily where v2 is not null) b on a.unit = b.unit and a.date = b.date){spaced('pair', 'date')}{timed(BY_DAY)}")(
     lambda r: rounded(patterns.daily_pair(r.episodes, r.weights, r.daily.filter("v > 20").select("unit", "date", "v"), r.daily.filter("v2 is not null").select("unit", "date", "v2")))
