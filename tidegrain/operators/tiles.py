@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import partitions
+
 
 def edges_of(rings: Column) -> Column:
     """All edges of rings: array of struct<ax, ay, bx, by>."""
@@ -127,7 +129,8 @@ def tile_pieces(polygons: DataFrame, tile: float, *keep: str) -> DataFrame:
                 out = []
         yield pd.DataFrame(out, columns=["keep", "tx", "ty", "whole", "corners", "left"])
 
-    cut = filed.repartition("poly", "ty").sortWithinPartitions("poly", "ty").mapInPandas(rows, "keep string, tx long, ty long, whole boolean, corners array<double>, left array<double>")
+    # a number of its own, as rows that are few bytes are still much work for one task
+    cut = filed.repartition(partitions(polygons.sparkSession), "poly", "ty").sortWithinPartitions("poly", "ty").mapInPandas(rows, "keep string, tx long, ty long, whole boolean, corners array<double>, left array<double>")
     schema = ", ".join(f"{v}: {kinds[k]}" for k, v in named.items())
     back = F.from_json("keep", f"struct<{schema}>") if keep else F.lit(None)
     return cut.withColumn("__keep", back).select(*[F.col(f"__keep.{v}").alias(k) for k, v in named.items()], "tx", "ty", "whole", "corners", "left")
